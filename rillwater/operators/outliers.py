@@ -33,18 +33,25 @@ def _per_variable(table: DataFrame) -> dict[str, tuple]:
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MULTIPLIER,
                log_columns: Sequence[str] = (), strategy: str = "auto") -> Bounds:
-    """[Q1 - m*IQR, Q3 + m*IQR] of every column; log columns on the log1p scale."""
+    """[Q1 - m*IQR, Q3 + m*IQR] of every column.
+
+    For log columns the rule works on log1p and the bounds are mapped back.
+    """
     columns = existing(df, columns)
     table = exact_quantiles(_scaled(df, columns, log_columns), (), columns,
                             {"q1": 0.25, "q3": 0.75}, strategy)
-    return {v: (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
-            for v, (q1, q3) in _per_variable(table).items() if q1 is not None}
+    bounds = {v: (q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1))
+              for v, (q1, q3) in _per_variable(table).items() if q1 is not None}
+    return {v: (math.expm1(lo), math.expm1(hi)) if v in log_columns else (lo, hi)
+            for v, (lo, hi) in bounds.items()}
 
 
 def mad_bounds(df: DataFrame, columns: Sequence[str], threshold: float = MAD_THRESHOLD,
                log_columns: Sequence[str] = (), strategy: str = "auto") -> Bounds:
     """Extreme values whose modified z is within the threshold.
 
+    For log columns z is taken on log1p. The bounds are values of the data, not
+    mapped back from the log scale, so rounding cannot push them past themselves.
     Columns whose median absolute deviation is zero have no bounds.
     """
     columns = existing(df, columns)
@@ -57,9 +64,10 @@ def mad_bounds(df: DataFrame, columns: Sequence[str], threshold: float = MAD_THR
         exact_quantiles(away, (), list(middle), half, strategy)).items() if m} if middle else {}
     if not spread:
         return {}
-    z = {c: F.lit(MODIFIED_Z) * (F.col(c) - F.lit(middle[c])) / F.lit(mad)
+    value = {c: F.log1p(c) if c in log_columns else F.col(c).cast("double") for c in spread}
+    z = {c: F.lit(MODIFIED_Z) * (value[c] - F.lit(middle[c])) / F.lit(mad)
          for c, mad in spread.items()}
-    row = scaled.agg(*[e for c in spread for e in (
+    row = df.agg(*[e for c in spread for e in (
         F.min(F.when(z[c] >= -threshold, F.col(c))),
         F.max(F.when(z[c] <= threshold, F.col(c))))]).first()
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(spread)}
@@ -70,14 +78,11 @@ def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr",
                    threshold: float = MAD_THRESHOLD, strategy: str = "auto") -> Bounds:
     """Bounds on the original scale. An unknown method warns and bounds nothing."""
     if method == "iqr":
-        bounds = iqr_bounds(df, columns, multiplier, log_columns, strategy)
-    elif method == "mad":
-        bounds = mad_bounds(df, columns, threshold, log_columns, strategy)
-    else:
-        warnings.warn(f"unknown outlier method {method!r}")
-        return {}
-    return {c: (math.expm1(lo), math.expm1(hi)) if c in log_columns else (lo, hi)
-            for c, (lo, hi) in bounds.items()}
+        return iqr_bounds(df, columns, multiplier, log_columns, strategy)
+    if method == "mad":
+        return mad_bounds(df, columns, threshold, log_columns, strategy)
+    warnings.warn(f"unknown outlier method {method!r}")
+    return {}
 
 
 def bounds_table(df: DataFrame, bounds: Bounds) -> DataFrame:
