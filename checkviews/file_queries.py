@@ -1 +1,149 @@
+"""Sources and sinks: given tables written out as files and scanned back."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checkviews.catalog import query, rounded
+from checkviews.feature_queries import RAIN_DAILY, RAIN_ROLLED, TEMP_DAILY, TEMP_ROLLED, TEMP_NAMES
+from checkviews.views import (BASIN_PARAMETERS, GAUGES, ROLES, SEGMENTS, VARIABLES, basin_long,
+                              fold_results, r, rain, sql, temperature, wq)
+from rillwater.config import RAIN_FEATURES, Experiment
+from rillwater.operators import basins, cleaning, reports, summaries, weather
+from rillwater.session import shared_folder
+from rillwater.sources import discovery, sinks, tables
+
+
+def scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/rillwater/{name}-{uuid.uuid4().hex}"
+
+
+@query("gauge_file_scan", sql("rain", RAIN_DAILY, RAIN_ROLLED, "SELECT date, " + ", ".join(
+    f"{r(c)} AS {c}" for c in RAIN_FEATURES) + " FROM rain_features"))
+def gauge_file_scan(spark, sf_dir):
+    """Tab-separated latin-1 rain file with spreadsheet dates, to rolling features."""
+    path = scratch(spark, "gauges")
+    serial = F.datediff("date", F.lit("1899-12-30").cast("date"))
+    names = ["Fecha", *[f"Estación {g} (mm)" for g in GAUGES]]
+    rows = rain(spark, sf_dir).select(serial.cast("string"),
+                                      *[F.coalesce(F.col(g).cast("string"), F.lit("s/d")) for g in GAUGES])
+    rows.toDF(*names).write.option("header", True).option("sep", "\t") \
+        .option("encoding", tables.LATIN).csv(path)
+    wide = (tables.read_gauges(spark, path).transform(cleaning.normalize_columns)
+            .transform(cleaning.rename_containing, "fecha", "date")
+            .transform(cleaning.parse_dates, "date"))
+    gauges = [c for c in wide.columns if c != "date"]
+    return rounded(weather.rain_features(cleaning.to_numeric(wide, gauges)))
+
+
+@query("two_header_scan", sql("temp", TEMP_DAILY, TEMP_ROLLED, "SELECT date, " + ", ".join(
+    f"{r(c)} AS {c}" for c in (*TEMP_NAMES, "horas_sol")) + " FROM temp_features"))
+def two_header_scan(spark, sf_dir):
+    """Two header lines in every file; columns found by parts of their names."""
+    path = scratch(spark, "two-headers")
+    wide = temperature(spark, sf_dir)
+    lines = wide.select(F.concat_ws("\t", F.date_format("date", "yyyy-MM-dd"), *[
+        F.coalesce(F.col(c).cast("string"), F.lit("s/d")) for c in wide.columns if c != "date"]).alias("value"))
+    first = "\t".join(["Estacion", *SEGMENTS, "Heliofania"])
+    second = "\t".join(["Fecha", *["Temperatura media"] * len(SEGMENTS), "horas"])
+    # One file per year, each with both headers on top.
+    years = lines.groupBy(F.substring("value", 1, 4).alias("year")).agg(
+        F.concat(F.lit(f"{first}\n{second}\n"), F.array_join(F.array_sort(F.collect_list("value")), "\n"))
+        .alias("value"))
+    years.repartition(8, "year").write.partitionBy("year").text(path)
+    read = tables.read_two_headers(spark, f"{path}/*")
+    return rounded(weather.temperature_features(read, names=TEMP_NAMES))
+
+
+@query("basin_file_scan", sql("basin", f"""
+SELECT station_code, 'Otras Cuencas' AS basin, 'EPSG:32721' AS crs,
+ {', '.join(f'{r(c)} AS {c}' for c in BASIN_PARAMETERS)} FROM basin_wide"""))
+def basin_file_scan(spark, sf_dir):
+    """Parameter files found at any depth, station from the file path, pivoted."""
+    path = scratch(spark, "parameters")
+    long = basin_long(spark, sf_dir)
+    (long.select(F.concat(F.lit("report_"), "station_code").alias("file"), "Parameter", "Value",
+                 F.lit("POINT (0 0)").alias("geometry"), F.lit("EPSG:32721").alias("crs"), "line")
+     .repartition("file").sortWithinPartitions("file", "line").drop("line")
+     .write.partitionBy("file").option("header", True).csv(path))
+    rows = discovery.read_basin_parameters(spark, path, files="part-*",
+                                           pattern=r"file=report_([^/]+)/")
+    wide = basins.pivot_parameters(rows, ["station_code", "basin", "crs"], "line", BASIN_PARAMETERS)
+    return rounded(wide)
+
+
+@query("sample_sheet_scan", sql("wq", """
+SELECT station_code, count(*) AS n_rows, count(target) AS n_target,
+ count(TRY_CAST(trim(raw_v1) AS DOUBLE)) AS n_v1, min(date) AS first_date FROM wq GROUP BY station_code"""))
+def sample_sheet_scan(spark, sf_dir):
+    """Raw sheet written as CSV with sentinels, scanned as text, cleaned."""
+    path = scratch(spark, "sheet")
+    serial = F.datediff("date", F.lit("1899-12-30").cast("date"))
+    sinks.write_csv(wq(spark, sf_dir).select(
+        F.col("station_raw").alias("Station Code"), F.col("basin").alias("Basin"), serial.alias("Date"),
+        F.coalesce(F.col("target").cast("string"), F.lit("N/D")).alias("Target"),
+        F.col("raw_v1").alias("V1")), path)
+    rows = cleaning.clean_samples(tables.read_samples(spark, path), ROLES)
+    return rows.groupBy("station_code").agg(
+        F.count("*").alias("n_rows"), F.count("target").alias("n_target"),
+        F.count("v1").alias("n_v1"), F.min("date").alias("first_date"))
+
+
+@query("export_roundtrip", sql("wq", " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, count(*) AS n_rows, count({c}) AS n_values FROM wq" for c in VARIABLES)
+    + " UNION ALL SELECT 'raw_v1', count(*), count(TRY_CAST(trim(raw_v1) AS DOUBLE)) FROM wq"))
+def export_roundtrip(spark, sf_dir):
+    """Parquet and CSV export, the export check, and the parquet scanned back."""
+    path = scratch(spark, "export")
+    sinks.export_tables(wq(spark, sf_dir).select("station_code", "basin", *VARIABLES, "raw_v1"), path)
+    problems = sinks.check_export(spark, path)
+    if problems:
+        raise AssertionError(problems)
+    back = spark.read.parquet(f"{path}/{sinks.EXPORT_NAME}.parquet")
+    return summaries.completeness(back, [*VARIABLES, "raw_v1"]).select("variable", "n_rows", "n_values")
+
+
+@query("run_summaries_scan", sql("folds", f"""
+SELECT base_experiment_id AS experiment_id, model, {r('avg(R2_log)')} AS R2_log_mean, {r('avg(RMSE_log)')} AS RMSE_log_mean,
+ {r('avg(training_time_secs)')} AS training_time_secs_mean FROM fold_results GROUP BY 1, 2"""))
+def run_summaries_scan(spark, sf_dir):
+    """Summaries with two header lines below run folders, found and ranked."""
+    path = scratch(spark, "runs")
+    metrics = ("R2_log", "RMSE_log", "training_time_secs")
+    means = fold_results(spark, sf_dir).groupBy("base_experiment_id", "model").agg(
+        *[F.avg(c).alias(c) for c in metrics])
+    head = f",{','.join(metrics)}\n,{','.join(['mean'] * len(metrics))}\nmodel{',' * len(metrics)}\n"
+    body = means.select("base_experiment_id", F.concat_ws(",", "model", *metrics).alias("value"))
+    (body.groupBy("base_experiment_id")
+     .agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("value")), "\n")).alias("value"))
+     .write.partitionBy("base_experiment_id").text(path))
+    found = discovery.discover_summaries(spark, path, [f"{m}_mean" for m in metrics], files="part-*")
+    named = found.withColumn("experiment_id", F.regexp_replace("experiment_id", "^base_experiment_id=", ""))
+    return reports.ranked_summaries(named)
+
+
+@query("run_folders_scan", sql("wq", """
+SELECT 'time_series_cv' AS strategy, 'exp=EXP_0' AS run_id, count(*) AS n_rows FROM wq WHERE n_regionkey = 0"""))
+def run_folders_scan(spark, sf_dir):
+    """Run folders matched to experiments by name; the first run of each strategy."""
+    path = scratch(spark, "folders")
+    for region in range(3):
+        sinks.write_csv(sinks.snapshot(wq(spark, sf_dir).where(F.col("n_regionkey") == region), ROLES, VARIABLES),
+                        f"{path}/exp=EXP_{region}/{discovery.SNAPSHOT_DIR}")
+    known = [Experiment(f"EXP_{i}", "Ridge", VARIABLES) for i in range(2)]
+    first = discovery.first_run_per_strategy(discovery.discover_runs(spark, path, known)).first()
+    used = tables.read_csv(spark, first["data_path"])
+    return used.agg(F.count("*").alias("n_rows")).select(
+        F.lit(first["strategy"]).alias("strategy"), F.lit(first["run_id"]).alias("run_id"), "n_rows")
+
+
+@query("cached_result", sql("wq", "SELECT basin, count(*) AS n_rows FROM wq GROUP BY basin"))
+def cached_result(spark, sf_dir):
+    """Stored under a key of parameters and input content; the second call reads it."""
+    rows = wq(spark, sf_dir).select("basin")
+    folder, key = scratch(spark, "cache"), ["basin counts", sinks.input_fingerprint(rows)]
+    build = lambda: summaries.counts_by(rows, "basin")
+    sinks.cached_result(spark, folder, key, build)
+    return sinks.cached_result(spark, folder, key, build)

@@ -1 +1,167 @@
+"""Fits, validation, searches and station clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checkviews.catalog import query, rounded
+from checkviews.feature_queries import basin_table
+from checkviews.views import BASIN_PARAMETERS, KEY, ROLES, r, scores_sql, sql, wq
+from rillwater.config import Experiment
+from rillwater.models.clusters import station_clusters
+from rillwater.models.registry import BOOSTING, FOREST, LINEAR, PREDICTION, RIDGE
+from rillwater.models.search import grid_search, random_search
+from rillwater.models.validation import (feature_importance, fit_model, forward_validation,
+                                         model_rows, predict, predictions_over_time,
+                                         shuffled_validation, sorted_model_rows)
+from rillwater.operators.ordering import shuffled_fold
+from rillwater.operators.reports import kfold_rmse
+from rillwater.plans.runs import all_results, run_experiment, run_per_cluster
+
+SPLITS = 3
+_ORDER = ", ".join(ROLES.sample_order)
+_SCORES = ("R2_log", "RMSE_log", "PBIAS_log", "NSE_log")
+# Few, shallow trees: the checks are about the runs, not about the forest.
+SMALL_FOREST = {"n_estimators": 8, "max_depth": 4, "random_state": 42}
+
+
+def _model_sql(*features):
+    """Model rows, their positions, fold ranges, and (fold, part, row) pairs."""
+    some = " AND ".join(f"{f} IS NOT NULL" for f in features)
+    return (f"""used AS (SELECT *, ln(1 + target) AS y, row_number() OVER (ORDER BY {_ORDER}) - 1 AS row_idx
+ FROM wq WHERE target IS NOT NULL AND {some})""", f"""
+ ranges AS (SELECT f AS fold, n - ({SPLITS} - f + 1) * t AS start, n - ({SPLITS} - f) * t AS stop
+ FROM (SELECT count(*) AS n, count(*) // {SPLITS + 1} AS t FROM used), range(1, {SPLITS + 1}) folds(f))""")
+
+
+@query("linear_cv", sql("wq", *_model_sql("v1"), """
+ fits AS (SELECT fold, regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept
+ FROM ranges JOIN used ON row_idx < start GROUP BY fold)""", """
+ tested AS (SELECT ranges.fold, y, intercept + slope * v1 AS p FROM ranges JOIN fits USING (fold)
+ JOIN used ON row_idx >= start AND row_idx < stop)""", f"""
+ scored AS (SELECT fold, {scores_sql()} FROM tested GROUP BY fold)""", f"""
+SELECT CAST(fold AS BIGINT) AS fold, 'Linear Regression' AS model, {r('R2', 6)} AS R2_log, {r('RMSE', 6)} AS RMSE_log,
+ {r('PBIAS', 6)} AS PBIAS_log, {r('NSE', 6)} AS NSE_log FROM scored"""))
+def linear_cv(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1"])
+    results = forward_validation(done, features, LINEAR, splits=SPLITS).results
+    return rounded(results.select("fold", "model", *_SCORES), 6)
+
+
+@query("ridge_closed_form", sql("wq", *_model_sql("v4"), """
+ sums AS (SELECT avg(v4) AS mx, avg(y) AS my, covar_pop(v4, y) * count(*) AS sxy, var_pop(v4) * count(*) AS sxx FROM used)""", """
+ line AS (SELECT sxy / (sxx + 100000000) AS slope, my - mx * sxy / (sxx + 100000000) AS intercept FROM sums)""", f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {r('intercept + slope * v4', 6)} AS prediction FROM used, line"""))
+def ridge_closed_form(spark, sf_dir):
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v4"])
+    model = fit_model(rows, features, RIDGE, {"alpha": 1e8})
+    return rounded(predict(model, rows).select("l_orderkey", "l_partkey", "l_suppkey", PREDICTION,
+                                               F.col("l_linenumber").alias("line")), 6) \
+        .withColumn("l_linenumber", F.col("line").cast("int")).drop("line")
+
+
+_alphas = (0.01, 0.1, 1.0, 10.0, 100.0)
+
+
+@query("grid_search_ridge", sql("wq", *_model_sql("v1", "v3"), """
+ sums AS (SELECT fold, avg(v1) AS m1, avg(v3) AS m2, avg(y) AS my, var_pop(v1) * count(*) AS s11, var_pop(v3) * count(*) AS s22,
+  covar_pop(v1, v3) * count(*) AS s12, covar_pop(v1, y) * count(*) AS s1y, covar_pop(v3, y) * count(*) AS s2y
+ FROM ranges JOIN used ON row_idx < start GROUP BY fold)""", f"""
+ trials AS (SELECT unnest([{', '.join(f'CAST({a} AS DOUBLE)' for a in _alphas)}]) AS alpha, unnest(range({len(_alphas)})) AS trial)""", """
+ fits AS (SELECT fold, trial, alpha, m1, m2, my,
+  (s1y * (s22 + alpha) - s2y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1,
+  (s2y * (s11 + alpha) - s1y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2 FROM sums, trials)""", """
+ tested AS (SELECT trial, alpha, ranges.fold, y, my + w1 * (v1 - m1) + w2 * (v3 - m2) AS p FROM ranges JOIN fits USING (fold)
+ JOIN used ON row_idx >= start AND row_idx < stop)""", """
+ scored AS (SELECT trial, alpha, fold, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2 FROM tested GROUP BY ALL)""", f"""
+SELECT trial, 'alpha=' || alpha AS params, {r('avg(r2)', 6)} AS mean_r2,
+ CAST(row_number() OVER (ORDER BY avg(r2) DESC, trial) AS BIGINT) AS rank FROM scored GROUP BY trial, alpha"""))
+def grid_search_ridge(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v3"])
+    found = grid_search(done, features, RIDGE, {"alpha": list(_alphas)}, SPLITS)
+    return rounded(found.trials, 6)
+
+
+@query("predictions_table", sql("wq", *_model_sql("v1"), f"""
+ line AS (SELECT regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept FROM used)""", f"""
+SELECT date, {r('y', 6)} AS actual, {r('intercept + slope * v1', 6)} AS predicted FROM used, line"""))
+def predictions_table(spark, sf_dir):
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v1"])
+    model = fit_model(rows, features, LINEAR)
+    return rounded(predictions_over_time(predict(model, rows), "date"), 6)
+
+
+@query("forest_cv")
+def forest_cv(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v3", "v4"])
+    results = forward_validation(done, features, FOREST, SMALL_FOREST, SPLITS, "forest").results
+    return rounded(results.drop("training_time_secs"))
+
+
+@query("boosting_cv")
+def boosting_cv(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v4"])
+    results = forward_validation(done, features, BOOSTING,
+                                 {"n_estimators": 5, "max_depth": 3, "random_state": 42}, 2, "boosting").results
+    return rounded(results.drop("training_time_secs"))
+
+
+@query("random_search_forest")
+def random_search_forest(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v4"])
+    found = random_search(done, features, FOREST,
+                          {"n_estimators": (3, 6), "max_depth": (2, 4), "min_samples_leaf": (1, 5)},
+                          n_trials=3, splits=2)
+    return rounded(found.trials)
+
+
+@query("grid_search_forest")
+def grid_search_forest(spark, sf_dir):
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v4"])
+    found = grid_search(done, features, FOREST,
+                        {"n_estimators": [4], "max_depth": [2, 4], "min_samples_split": [2, 5]}, splits=2)
+    return rounded(found.trials)
+
+
+@query("feature_importance")
+def importance(spark, sf_dir):
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v1", "v3", "v4"])
+    model = fit_model(rows, features, FOREST, SMALL_FOREST)
+    return rounded(feature_importance(model, features, spark))
+
+
+@query("shuffled_cv")
+def shuffled_cv(spark, sf_dir):
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v1", "v3"])
+    folded = rows.withColumn("fold", shuffled_fold(KEY, 5))
+    results = shuffled_validation(folded, features, LINEAR, "fold", 5)
+    return rounded(kfold_rmse(results))
+
+
+@query("station_clusters")
+def clusters(spark, sf_dir):
+    return rounded(station_clusters(basin_table(spark, sf_dir), 3, BASIN_PARAMETERS))
+
+
+_RIDGE_RUN = Experiment("RIDGE_v4", RIDGE, ("v1", "v4"), search="grid",
+                        param_grid={"alpha": [0.1, 10.0]}, time_series_splits=SPLITS,
+                        min_station_samples=20)
+
+
+@query("experiment_run")
+def experiment_run(spark, sf_dir):
+    """Search, then the validation run with the best parameters; scores by place."""
+    rows = wq(spark, sf_dir)
+    found = run_experiment(rows, _RIDGE_RUN, ROLES)
+    checked = run_experiment(rows, _RIDGE_RUN.as_validation(found.search.best_params), ROLES)
+    return checked.spatial(ROLES)
+
+
+@query("cluster_runs")
+def cluster_runs(spark, sf_dir):
+    exp = Experiment("LINEAR_BY_CLUSTER", LINEAR, ("v1",), time_series_splits=2, n_clusters=2,
+                     cluster_features=BASIN_PARAMETERS)
+    runs = run_per_cluster(wq(spark, sf_dir), basin_table(spark, sf_dir), exp, ROLES)
+    return rounded(all_results(runs).drop("training_time_secs"))
+
 

@@ -4,8 +4,9 @@
 value of a group in one task: right for groups of moderate size. ``bracketed``
 needs two scans but no task ever holds a group: a bounded sketch gives, per
 group and quantile, two values that enclose it; a second scan counts what lies
-below and keeps only the values in between. Both give the same numbers. ``auto``
-counts the largest group first and chooses.
+outside and keeps only the values in between. Both give the same numbers; should
+a sketch ever miss, the query fails rather than answer wrongly. ``auto`` counts
+the largest group first and chooses.
 """
 
 from __future__ import annotations
@@ -85,26 +86,29 @@ def _bracketed(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     sketch = settle(sketch)
 
     # Every row tells, per variable and quantile, whether its value lies below the
-    # bracket (value null) or inside it; what lies above is not needed.
+    # bracket, inside or above it. Only values inside stay apart; of the others the
+    # count and the value next to the bracket are kept, since a rank may fall on it.
     slots = []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
         for j, p in enumerate(fractions):
             low, high = F.col(f"b{i}")[2 * j], F.col(f"b{i}")[2 * j + 1]
             # The ends of the data bound the extreme quantiles.
-            within = (F.lit(True) if p - BRACKET <= 0 else value >= low) & (
-                F.lit(True) if p + BRACKET >= 1 else value <= high)
             below = F.lit(False) if p - BRACKET <= 0 else value < low
-            slots.append(F.when(value.isNotNull() & (within | below), F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"),
-                F.when(within, value).alias("value"))))
-    keyed = _attach(df.select(*by, *columns), sketch.select(*by, *[f"b{i}" for i in
-                                                                range(len(columns))]), by)
+            above = F.lit(False) if p + BRACKET >= 1 else value > high
+            side = F.when(below, -1).when(above, 1).otherwise(0)
+            slots.append(F.when(value.isNotNull(), F.struct(
+                F.lit(i).alias("i"), F.lit(j).alias("j"), side.alias("side"),
+                F.when(side == 0, value).alias("value"), value.alias("next"))))
+    brackets = sketch.select(*by, *[f"b{i}" for i in range(len(columns))])
+    keyed = _attach(df.select(*by, *columns), brackets, by)
     marks = (keyed.select(*by, F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull()))
                           .alias("s"))
-             .groupBy(*by, "s.i", "s.j", "s.value").agg(F.count("*").alias("n_rows")))
+             .groupBy(*by, "s.i", "s.j", "s.side", "s.value")
+             .agg(F.count("*").alias("n_rows"), F.min("s.next").alias("least"),
+                  F.max("s.next").alias("most")))
 
-    order = Window.partitionBy(*by, "i", "j").orderBy(F.col("value").asc_nulls_first())
+    order = Window.partitionBy(*by, "i", "j").orderBy("side", "value")
     upto = F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = marks.withColumn("upto", upto)
 
@@ -114,8 +118,11 @@ def _bracketed(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     position = F.lit(None).cast("double")
     for j, p in enumerate(fractions):
         position = F.when(F.col("j") == j, (F.col("n") - 1) * F.lit(float(p))).otherwise(position)
-    at = lambda rank: F.max(F.when((F.col("upto") > rank)
-                                   & (F.col("upto") - F.col("n_rows") <= rank), F.col("value")))
+    before = F.col("upto") - F.col("n_rows")
+    at = lambda rank: F.max(
+        F.when(F.col("side") == 0, F.when((before <= rank) & (rank < F.col("upto")), F.col("value")))
+        .when(F.col("side") < 0, F.when(rank == F.col("upto") - 1, F.col("most")))
+        .otherwise(F.when(rank == before, F.col("least"))))
     low_rank, high_rank = F.floor("pos"), F.ceil("pos")
     picked = (found.withColumn("pos", position)
               .groupBy(*by, "variable", "j")

@@ -96,7 +96,7 @@ STATUSES = ("OK", "Not Converged", "N/A")
 def convergence_counts(results: DataFrame) -> DataFrame:
     """Number of folds per model and status, zero where none."""
     return (results.groupBy("model").pivot("convergence_status", list(STATUSES))
-            .agg(F.count("*")).fillna(0))
+            .agg(F.count(F.lit(1))).fillna(0))
 
 
 def _fixed_text(name: str, digits: int) -> Column:

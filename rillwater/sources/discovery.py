@@ -28,33 +28,35 @@ def folder_name(path: Column, levels_up: int = 1) -> Column:
     return F.element_at(F.split(path, "/"), -1 - levels_up)
 
 
-def read_basin_parameters(spark: SparkSession, root: str) -> DataFrame:
+def read_basin_parameters(spark: SparkSession, root: str, files: str = PARAMETER_FILES,
+                          pattern: str = PARAMETER_PATTERN) -> DataFrame:
     """Parameter files ``report_<station>.csv`` at any depth, in long form.
 
-    Station comes from the file name, basin from its prefix; ``line`` keeps the
+    Other layouts are read by giving their file glob and station pattern. Station comes from the file name, basin from its prefix; ``line`` keeps the
     order of parameters inside a file.
     """
     rows = (spark.read.option("recursiveFileLookup", True)
-            .option("pathGlobFilter", PARAMETER_FILES).option("ignoreCorruptFiles", True)
+            .option("pathGlobFilter", files).option("ignoreCorruptFiles", True)
             .option("header", True).schema(PARAMETER_SCHEMA).csv(root))
-    station = F.url_decode(F.regexp_extract(file_path(), PARAMETER_PATTERN, 1))
+    station = F.url_decode(F.regexp_extract(file_path(), pattern, 1))
     return rows.select(station.alias("station_code"), basin_of(station).alias("basin"),
                        F.coalesce("crs", F.lit("Unknown")).alias("crs"), "geometry",
                        "Parameter", "Value", F.monotonically_increasing_id().alias("line"))
 
 
-def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str]) -> DataFrame:
+def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str],
+                       files: str = SUMMARY_FILE) -> DataFrame:
     """Every two-header summary below ``root``; the folder name is the run.
 
     The files hold one line per model. A file without the two headers and a data
     line gives no rows. ``metrics`` are flat names such as ``R2_log_mean``.
     """
-    files = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", SUMMARY_FILE).option("ignoreCorruptFiles", True)
-             .option("wholetext", True).text(root)
+    texts = (spark.read.option("recursiveFileLookup", True)
+             .option("pathGlobFilter", files).option("ignoreCorruptFiles", True)
+             .text(root, wholetext=True)
              .select(folder_name(file_path()).alias("experiment_id"),
                      F.split(F.trim("value"), r"\r?\n").alias("lines")))
-    cells = (files.where(F.size("lines") >= 3)
+    cells = (texts.where(F.size("lines") >= 3)
              .select("experiment_id", F.split(F.col("lines")[0], ",").alias("h1"),
                      F.split(F.col("lines")[1], ",").alias("h2"),
                      F.explode(F.slice("lines", 3, 1_000_000)).alias("line"))
@@ -81,10 +83,10 @@ def discover_runs(spark: SparkSession, root: str, experiments: Sequence[Experime
 
     The first experiment whose id is part of the folder name counts.
     """
-    files = (spark.read.option("recursiveFileLookup", True)
+    parts = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", "part-*").format("binaryFile").load(root)
              .select(F.col("path")).where(F.col("path").contains(f"/{SNAPSHOT_DIR}/")))
-    runs = files.select(folder_name(F.col("path"), 2).alias("run_id"),
+    runs = parts.select(folder_name(F.col("path"), 2).alias("run_id"),
                         F.regexp_replace("path", "/[^/]*$", "").alias("data_path")).distinct()
     match = first_contained(F.col("run_id"), [e.id for e in experiments])
     strategies = {e.id: e.validation_strategy for e in experiments}
