@@ -224,5 +224,5 @@ def sql(views: str, *more: str) -> str:
 
 
 def r(expression: str, digits: int = 4) -> str:
-    """Round half up on a decimal, as Spark rounds."""
-    return f"CAST(round(CAST({expression} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """Round half up on a decimal, six digits kept first, as ``round_to`` does."""
+    return f"CAST(round(CAST({expression} AS DECIMAL(38,{digits + 6})), {digits}) AS DOUBLE)"
