@@ -10,6 +10,7 @@ from checkviews.views import (BASIN_PARAMETERS, GAUGES, KEY, ROLES, THERMOMETERS
 from rillwater.config import RAIN_FEATURES, RobustFilterParams
 from rillwater.functions.numbers import row_mean, round_to
 from rillwater.operators import basins, filters, outliers, summaries, weather
+from rillwater.operators.quantiles import choose
 from rillwater.plans.base_table import add_season, base_table as build_base_table
 
 _keys = ", ".join(KEY)
@@ -153,7 +154,9 @@ _FLAGSHIP = ("target", "v1", "v4", "prec_acum_7d", "temp_14d", "mean_slope")
 @query("enriched_station_summary", sql(*_BASE, summary_sql(_FLAGSHIP)))
 def enriched_station_summary(spark, sf_dir):
     """Raw samples, weather, basins and season joined, then summarised per station."""
-    return summaries.station_summary(enriched(spark, sf_dir), ROLES, list(_FLAGSHIP))
+    # The joins keep the number of samples, so group sizes are read before them.
+    plan = choose(wq(spark, sf_dir), ["station_code"], "auto")
+    return summaries.station_summary(enriched(spark, sf_dir), ROLES, list(_FLAGSHIP), strategy=plan)
 
 
 @query("basin_pivot", sql("basin", f"""

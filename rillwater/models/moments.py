@@ -7,18 +7,15 @@ it on the next block, so a search over penalties costs no further scans.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from rillwater.models.registry import LABEL
+from rillwater.models.registry import LABEL, LINEAR, RIDGE
 from rillwater.operators.ordering import SortedTable, forward_folds
-
-# Aggregates per scan; more would outgrow generated code.
-SUMS_PER_SCAN = 200
-
+from rillwater.operators.products import cross_products, means
 
 @dataclass
 class Moments:
@@ -58,7 +55,7 @@ class Moments:
         return {
             "R2_log": skill if skill is not None else (1.0 if sse <= 0 else 0.0),
             "RMSE_log": float(np.sqrt(max(sse, 0.0) / self.n)),
-            "PBIAS_log": 100 * bias / observed if observed else None,
+            "PBIAS_log": float(100 * bias / observed) if observed else None,
             "NSE_log": skill,
         }
 
@@ -66,19 +63,14 @@ class Moments:
 def block_moments(table: SortedTable, features: Sequence[str],
                   splits: int) -> tuple[list[Moments], np.ndarray]:
     """Sums of products per block, and the centres they are taken around."""
-    names = [*features, LABEL]
-    centre = [m or 0.0 for m in table.rows.agg(*[F.avg(c) for c in names]).first()]
-    z = [F.lit(1.0)] + [F.col(c) - F.lit(m) for c, m in zip(names, centre)]
-    cells = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
+    columns = [F.col(f"`{c}`") for c in [*features, LABEL]]
+    centre = means(table.rows, columns)
+    z = [F.lit(1.0)] + [c - F.lit(m) for c, m in zip(columns, centre)]
     cuts = [f.test_start for f in forward_folds(table.n_rows, splits)]
-    blocks = [np.zeros((len(z), len(z))) for _ in range(splits + 1)]
-    for at in range(0, len(cells), SUMS_PER_SCAN):
-        some = cells[at:at + SUMS_PER_SCAN]
-        for row in table.rows.groupBy(table.block(cuts).alias("block")).agg(
-                *[F.sum(z[i] * z[j]).alias(f"s{k}") for k, (i, j) in enumerate(some)]).collect():
-            for k, (i, j) in enumerate(some):
-                blocks[row["block"]][i, j] = blocks[row["block"]][j, i] = row[k + 1]
-    return [Moments(b) for b in blocks], np.array(centre)
+    found = cross_products(table.rows, z, table.block(cuts))
+    empty = np.zeros((len(z), len(z)))
+    return [Moments(found[b].product if b in found else empty)
+            for b in range(splits + 1)], np.array(centre)
 
 
 def score_penalties(table: SortedTable, features: Sequence[str], splits: int,
@@ -92,3 +84,10 @@ def score_penalties(table: SortedTable, features: Sequence[str], splits: int,
             scores[k].append(test.score(train.fit(alpha), centre[-1]))
         train = train + test
     return scores
+
+
+def penalty_of(name: str, params: Mapping | None) -> float | None:
+    """Penalty of a linear model; None for models that sums of products cannot fit."""
+    if name == LINEAR:
+        return 0.0
+    return float((params or {}).get("alpha", 1.0)) if name == RIDGE else None

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.config import Roles
+from rillwater.models.moments import penalty_of, score_penalties
 from rillwater.models.registry import (FEATURES, LABEL, PREDICTION, RIDGE, SCALED,
                                        make_estimator)
 from rillwater.operators.cleaning import existing
 from rillwater.operators.ordering import SortedTable, forward_folds, sort_rows
 from rillwater.operators.reports import overall_scores
 from rillwater.operators.scaling import fit_standard, standard_stage
+from rillwater.plans.keep import store
 
 RESULT_SCHEMA = ("fold int, model string, base_experiment_id string, cluster_id int, "
                  "R2_log double, RMSE_log double, PBIAS_log double, NSE_log double, "
@@ -108,20 +110,41 @@ class Validation:
 def forward_validation(table: SortedTable, features: Sequence[str], name: str,
                        params: Mapping | None = None, splits: int = 5, base_id: str = "",
                        cluster_id: int | None = None) -> Validation:
-    """One fit per fold; the predictions of the last fold are kept for reports."""
+    """Scores of every fold; the predictions of the last fold are kept for reports.
+
+    Linear models are scored on all folds from one scan and fitted once, for the
+    last fold; other models are fitted per fold.
+    """
     rows, last = [], None
-    for f in forward_folds(table.n_rows, splits):
-        last = fit_fold(table.slice(0, f.train_end), table.slice(f.test_start, f.test_end),
-                        features, name, params)
-        rows.append(result_row(f.fold, name, base_id, cluster_id, last.scores))
+    folds = forward_folds(table.n_rows, splits)
+    alpha = penalty_of(name, params)
+    if alpha is not None:
+        began = time.perf_counter()
+        scores = score_penalties(table, features, splits, [alpha])[0]
+        share = (time.perf_counter() - began) / splits
+        rows = [result_row(f.fold, name, base_id, cluster_id,
+                           s | {"training_time_secs": share}) for f, s in zip(folds, scores)]
+        end = folds[-1]
+        model = fit_model(table.slice(0, end.train_end), features, name, params)
+        predictions = predict(model, table.slice(end.test_start, end.test_end))
+    else:
+        for f in folds:
+            last = fit_fold(table.slice(0, f.train_end), table.slice(f.test_start, f.test_end),
+                            features, name, params)
+            rows.append(result_row(f.fold, name, base_id, cluster_id, last.scores))
+        predictions = last.predictions
     spark = table.rows.sparkSession
-    return Validation(spark.createDataFrame(rows, RESULT_SCHEMA), last.predictions)
+    return Validation(spark.createDataFrame(rows, RESULT_SCHEMA), predictions)
 
 
 def shuffled_validation(df: DataFrame, features: Sequence[str], name: str, fold: str,
                         folds: int, params: Mapping | None = None, base_id: str = "") -> DataFrame:
-    """One fit per value of a fold column, tested on the rows that carry it."""
+    """One fit per value of a fold column, tested on the rows that carry it.
+
+    The rows are stored once, so that no fit repeats the work behind them.
+    """
     rows = []
+    df = store(df.select(*dict.fromkeys([fold, LABEL, *features])), "folds")
     for i in range(1, folds + 1):
         done = fit_fold(df.where(F.col(fold) != i), df.where(F.col(fold) == i),
                         features, name, params)

@@ -3,47 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.operators.cleaning import numeric_columns
+from rillwater.operators.products import cross_products, means
 
-# Pairs per aggregate; more would outgrow generated code.
-PAIRS_PER_SCAN = 200
+# Variation below this share of the squares is rounding: the variable is constant.
+ROUNDING = 1e-13
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Null when a side is constant (the built-in corr divides by zero then)."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+def correlations(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
+    """Pairwise-complete correlation matrix; NaN where undefined.
 
+    Two scans: one for the means, one for the products around them, so that large
+    offsets do not eat up the digits.
+    """
+    centred = [c.cast("double") - F.lit(m) for c, m in zip(columns, means(df, columns))]
+    found = cross_products(df, centred).get(0)
+    if found is None:
+        return np.full((len(columns), len(columns)), np.nan)
+    n = np.where(found.both > 0, found.both, np.nan)
+    cov = found.product - found.first * found.first.T / n
+    var = found.square - found.first ** 2 / n
+    var = np.where(var > ROUNDING * found.square, var, np.nan)
+    return np.where(found.both >= 2, cov / np.sqrt(var * var.T), np.nan)
 
-def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(left, right, r) rows; one scan per ``PAIRS_PER_SCAN`` pairs."""
-    parts = []
-    for at in range(0, len(pairs), PAIRS_PER_SCAN):
-        some = pairs[at:at + PAIRS_PER_SCAN]
-        wide = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"r{i}")
-                        for i, (a, b) in enumerate(some)])
-        parts.append(wide.select(F.explode(F.array(*[
-            F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(some)])).alias("p")).select("p.*"))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+
+def _number(r: float) -> float | None:
+    return None if np.isnan(r) else float(max(-1.0, min(1.0, r)))
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Lower triangle of the matrix as (variable, other, r), numeric features only."""
     names = [f for f in features if f in numeric_columns(df)]
-    pairs = [(b, a) for a, b in combinations(names, 2)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "variable string, other string, r double")
-    return _pairs(df, pairs).toDF("variable", "other", "r")
+    r = correlations(df, [F.col(f"`{c}`") for c in names]) if names else None
+    rows = [(names[i], names[j], _number(r[i, j])) for i in range(len(names)) for j in range(i)]
+    return df.sparkSession.createDataFrame(rows, "variable string, other string, r double")
 
 
 def target_correlation(df: DataFrame, features: Sequence[str], target: str,
@@ -51,7 +49,7 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str,
     """Correlation of each numeric feature with the (log) target, largest first."""
     names = [f for f in features if f in numeric_columns(df) and f != target]
     y = F.log1p(target) if log else F.col(target)
-    rows = df.select(*names, y.alias("_y"))
-    return (_pairs(rows, [(c, "_y") for c in names])
-            .select(F.col("left").alias("variable"), "r")
-            .orderBy(F.col("r").desc_nulls_last(), "variable"))
+    r = correlations(df, [*[F.col(f"`{c}`") for c in names], y])
+    rows = [(c, _number(r[i, -1])) for i, c in enumerate(names)]
+    table = df.sparkSession.createDataFrame(rows, "variable string, r double")
+    return table.orderBy(F.col("r").desc_nulls_last(), "variable")

@@ -2,9 +2,9 @@
 
 ``direct`` uses the built-in ``percentile``, whose state holds every distinct
 value of a group in one task: right for groups of moderate size. ``bracketed``
-needs two scans but no task ever holds a group: a bounded sketch gives, per
-group and quantile, two values that enclose it; a second scan counts what lies
-outside and keeps only the values in between. Both give the same numbers; should
+needs three scans but no task ever holds a group: a bounded sketch gives, per
+group and quantile, two values that enclose it; further scans count what lies
+outside and keep only the values in between. Both give the same numbers; should
 a sketch ever miss, the query fails rather than answer wrongly. ``auto`` counts
 the largest group first and chooses.
 """
@@ -85,10 +85,10 @@ def _bracketed(df: DataFrame, by: Sequence[str], columns: Sequence[str],
           for i, c in enumerate(columns)])
     sketch = settle(sketch)
 
-    # Every row tells, per variable and quantile, whether its value lies below the
-    # bracket, inside or above it. Only values inside stay apart; of the others the
-    # count and the value next to the bracket are kept, since a rank may fall on it.
-    slots = []
+    # Outside its bracket a variable needs only counts, and the value next to the
+    # bracket, since a rank may fall on it. Inside, the values stay apart: a few
+    # ten-thousandths of a group.
+    beside, inside = [], []
     for i, c in enumerate(columns):
         value = F.col(c).cast("double")
         for j, p in enumerate(fractions):
@@ -96,40 +96,45 @@ def _bracketed(df: DataFrame, by: Sequence[str], columns: Sequence[str],
             # The ends of the data bound the extreme quantiles.
             below = F.lit(False) if p - BRACKET <= 0 else value < low
             above = F.lit(False) if p + BRACKET >= 1 else value > high
-            side = F.when(below, -1).when(above, 1).otherwise(0)
-            slots.append(F.when(value.isNotNull(), F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), side.alias("side"),
-                F.when(side == 0, value).alias("value"), value.alias("next"))))
+            beside += [F.count(F.when(below, 1)).alias(f"under{i}_{j}"),
+                       F.max(F.when(below, value)).alias(f"most{i}_{j}"),
+                       F.min(F.when(above, value)).alias(f"least{i}_{j}")]
+            inside.append(F.when(value.isNotNull() & ~below & ~above, F.struct(
+                F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("value"))))
     brackets = sketch.select(*by, *[f"b{i}" for i in range(len(columns))])
     keyed = _attach(df.select(*by, *columns), brackets, by)
-    marks = (keyed.select(*by, F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull()))
-                          .alias("s"))
-             .groupBy(*by, "s.i", "s.j", "s.side", "s.value")
-             .agg(F.count("*").alias("n_rows"), F.min("s.next").alias("least"),
-                  F.max("s.next").alias("most")))
-
-    order = Window.partitionBy(*by, "i", "j").orderBy("side", "value")
-    upto = F.sum("n_rows").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = marks.withColumn("upto", upto)
+    slots = [(i, j) for i in range(len(columns)) for j in range(len(fractions))]
+    outer = keyed.groupBy(*by).agg(*beside).select(*by, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"under{i}_{j}").alias("under"),
+                 F.col(f"most{i}_{j}").alias("most"), F.col(f"least{i}_{j}").alias("least"))
+        for i, j in slots])).alias("s")).select(*by, "s.*")
+    values = (keyed.select(*by, F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull()))
+                           .alias("s"))
+              .groupBy(*by, "s.i", "s.j", "s.value").agg(F.count("*").alias("n_rows")))
+    upto = F.sum("n_rows").over(Window.partitionBy(*by, "i", "j").orderBy("value")
+                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.withColumn("upto", upto)
 
     counts = _stack(sketch, by, columns, {"n": "n"}).withColumn(
         "i", _position(columns, F.col("variable")))
-    found = _attach(ranked, counts.select(*by, "i", "variable", "n"), [*by, "i"])
+    places = _attach(outer, counts.select(*by, "i", "variable", "n"), [*by, "i"])
+    found = _attach(places, ranked, [*by, "i", "j"])
     position = F.lit(None).cast("double")
     for j, p in enumerate(fractions):
         position = F.when(F.col("j") == j, (F.col("n") - 1) * F.lit(float(p))).otherwise(position)
-    before = F.col("upto") - F.col("n_rows")
+    start, stop = F.col("under") + F.col("upto") - F.col("n_rows"), F.col("under") + F.col("upto")
     at = lambda rank: F.max(
-        F.when(F.col("side") == 0, F.when((before <= rank) & (rank < F.col("upto")), F.col("value")))
-        .when(F.col("side") < 0, F.when(rank == F.col("upto") - 1, F.col("most")))
-        .otherwise(F.when(rank == before, F.col("least"))))
+        F.when((start <= rank) & (rank < stop), F.col("value"))
+        .when(rank == F.col("under") - 1, F.col("most")))
+    after = lambda rank: F.when(rank == F.max(stop), F.max("least"))
     low_rank, high_rank = F.floor("pos"), F.ceil("pos")
     picked = (found.withColumn("pos", position)
               .groupBy(*by, "variable", "j")
-              .agg(at(low_rank).alias("low"), at(high_rank).alias("high"),
+              .agg(F.coalesce(at(low_rank), after(F.max(low_rank))).alias("low"),
+                   F.coalesce(at(high_rank), after(F.max(high_rank))).alias("high"),
                    F.max(F.col("pos") - low_rank).alias("part")))
-    inside = F.col("low").isNotNull() & F.col("high").isNotNull()
-    value = F.when(inside, F.col("low") + (F.col("high") - F.col("low")) * F.col("part")) \
+    hit = F.col("low").isNotNull() & F.col("high").isNotNull()
+    value = F.when(hit, F.col("low") + (F.col("high") - F.col("low")) * F.col("part")) \
         .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
     wide = (picked.withColumn("q", value).groupBy(*by, "variable")
             .agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(name)

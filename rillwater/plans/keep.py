@@ -39,9 +39,15 @@ def release() -> None:
             pass
 
 
-def store(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint folder and read it back."""
+def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back.
+
+    ``by`` names a column of few values that gets one folder per value.
+    """
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/rillwater/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write
+    if by:
+        writer = writer.partitionBy(by)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -17,9 +17,10 @@ from rillwater.models.search import Search, grid_search, random_search
 from rillwater.models.validation import (RESULT_SCHEMA, feature_importance, fit_model,
                                          forward_validation, predict, result_row,
                                          sorted_model_rows)
-from rillwater.operators.filters import complete_cases, enough_rows, min_station_rows
+from rillwater.operators.cleaning import existing
+from rillwater.operators.filters import complete_cases, min_station_rows
 from rillwater.operators.reports import fold_summary, group_scores, regression_line, union_results
-from rillwater.plans.keep import settle
+from rillwater.plans.keep import settle, store
 from rillwater.sources import sinks
 
 log = logging.getLogger(__name__)
@@ -68,10 +69,11 @@ def run_experiment(base: DataFrame, exp: Experiment, roles: Roles,
     """One experiment on the rows it can use; None when there are too few."""
     rows = (base.transform(complete_cases, roles, exp.feature_set)
             .transform(min_station_rows, roles, exp.min_station_samples))
-    if not enough_rows(rows, exp.min_rows):
+    table, features = sorted_model_rows(rows, roles, exp.feature_set)
+    # The count is known from sorting; no job of its own is needed.
+    if table.n_rows < exp.min_rows:
         log.warning("%s: fewer than %d rows, skipped", exp.id, exp.min_rows)
         return None
-    table, features = sorted_model_rows(rows, roles, exp.feature_set)
     everything = table.slice(0, table.n_rows)
     spark = base.sparkSession
     if exp.search is None:
@@ -94,9 +96,16 @@ def run_experiment(base: DataFrame, exp: Experiment, roles: Roles,
 
 
 def run_per_cluster(base: DataFrame, basins: DataFrame, exp: Experiment, roles: Roles) -> list[Run]:
-    """The experiment once per station cluster, in ascending cluster number."""
+    """The experiment once per station cluster, in ascending cluster number.
+
+    The rows are written once, one folder per cluster; each run then reads only
+    its own folder and the columns it needs.
+    """
     clusters = settle(station_clusters(basins, exp.n_clusters, exp.cluster_features, roles.station))
-    joined = base.join(clusters, roles.station, "left")
+    needed = existing(base, dict.fromkeys([*roles.metadata, *roles.sample_key, roles.target,
+                                           *exp.feature_set]))
+    joined = store(base.select(*[F.col(f"`{c}`") for c in needed]).join(clusters, roles.station),
+                   "clusters", by="cluster_id")
     numbers = [r[0] for r in clusters.select("cluster_id").distinct().orderBy("cluster_id").collect()]
     runs = [run_experiment(joined.where(F.col("cluster_id") == n), exp.for_cluster(n), roles, n)
             for n in numbers]
