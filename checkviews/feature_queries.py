@@ -12,6 +12,7 @@ from rillwater.functions.numbers import row_mean, round_to
 from rillwater.operators import basins, filters, outliers, summaries, weather
 from rillwater.operators.quantiles import choose
 from rillwater.plans.base_table import add_season, base_table as build_base_table
+from rillwater.plans.keep import spread
 
 _keys = ", ".join(KEY)
 TEMP_NAMES = ("temp_mean", "temp_3d", "temp_7d", "temp_14d")
@@ -99,7 +100,8 @@ def weather_join(spark, sf_dir):
 
 def samples(spark, sf_dir):
     """Samples with raw station codes, as they arrive."""
-    return wq(spark, sf_dir).drop("station_code").withColumnRenamed("station_raw", "station_code")
+    rows = spread(wq(spark, sf_dir), "l_orderkey", "l_linenumber")
+    return rows.drop("station_code").withColumnRenamed("station_raw", "station_code")
 
 
 def basin_table(spark, sf_dir):

@@ -30,7 +30,8 @@ def pivot_parameters(long: DataFrame, keys: Sequence[str], order: str,
 def inherit_rows(basins: DataFrame, mapping: DataFrame, station: str = "station_code",
                  child: str = "child", parent: str = "parent") -> DataFrame:
     """Add rows for children that are absent, copied from a parent that exists."""
-    table = basins.withColumn(station, clean_key(F.col(station)))
+    # One row per station, used three times below.
+    table = settle(basins.withColumn(station, clean_key(F.col(station))))
     wanted = mapping.select(clean_key(F.col(child)).alias(child),
                             clean_key(F.col(parent)).alias(parent)).distinct()
     absent = wanted.join(table.select(F.col(station).alias(child)), child, "left_anti")

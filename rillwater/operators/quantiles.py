@@ -165,6 +165,6 @@ def _attach(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     if not keys:
         row = small.first()
-        return big.withColumns({c: F.lit(row[c]) for c in small.columns})
+        return big.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in small.schema})
     renamed = small.withColumnsRenamed({k: f"_{k}" for k in keys})
     return big.join(renamed, _same(keys), "inner").drop(*[f"_{k}" for k in keys])

@@ -25,13 +25,15 @@ def base_table(samples: DataFrame, rain: DataFrame, temperature: DataFrame,
     """Cleaned samples left-joined with daily features and basin attributes.
 
     Rain that was not recorded counts as none; ``rain_found`` tells the two apart.
-    The result is not sorted: order matters only where folds are cut, and there
-    it is made explicitly.
+    Both daily series have one row per day, so they are put side by side first and
+    the samples are matched with days once. The result is not sorted: order matters
+    only where folds are cut, and there it is made explicitly.
     """
+    days = rain.withColumn("rain_found", F.lit(True)).join(temperature, roles.date, "full")
+    fill = {c: 0.0 for c in rain_names} | {"rain_found": False}
     return (
         samples
-        .transform(join_by_date, rain, roles, {c: 0.0 for c in rain_names}, "rain_found")
-        .transform(join_by_date, temperature, roles)
+        .transform(join_by_date, days, roles, fill)
         .transform(join_basins, inherit_rows(basins, inherited, roles.station), roles.station)
         .transform(add_season, roles.date)
     )

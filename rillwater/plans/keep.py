@@ -39,6 +39,18 @@ def release() -> None:
             pass
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use all cores on an input that arrives in fewer pieces than there are cores.
+
+    A small file of one row group is scanned by one task, and everything up to the
+    next shuffle stays there. Inputs of many row groups pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
 def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
