@@ -12,7 +12,6 @@ from rillwater.functions.numbers import row_mean, round_to
 from rillwater.operators import basins, filters, outliers, summaries, weather
 from rillwater.operators.quantiles import choose
 from rillwater.plans.base_table import add_season, base_table as build_base_table
-from rillwater.plans.keep import spread
 
 _keys = ", ".join(KEY)
 TEMP_NAMES = ("temp_mean", "temp_3d", "temp_7d", "temp_14d")
@@ -100,7 +99,7 @@ def weather_join(spark, sf_dir):
 
 def samples(spark, sf_dir):
     """Samples with raw station codes, as they arrive."""
-    rows = spread(wq(spark, sf_dir), "l_orderkey", "l_linenumber")
+    rows = wq(spark, sf_dir, all_cores=True)
     return rows.drop("station_code").withColumnRenamed("station_raw", "station_code")
 
 
@@ -157,7 +156,7 @@ _FLAGSHIP = ("target", "v1", "v4", "prec_acum_7d", "temp_14d", "mean_slope")
 def enriched_station_summary(spark, sf_dir):
     """Raw samples, weather, basins and season joined, then summarised per station."""
     # The joins keep the number of samples, so group sizes are read before them.
-    plan = choose(wq(spark, sf_dir), ["station_code"], "auto")
+    plan = choose(wq(spark, sf_dir), ["station_code"], "auto", len(_FLAGSHIP))
     return summaries.station_summary(enriched(spark, sf_dir), ROLES, list(_FLAGSHIP), strategy=plan)
 
 

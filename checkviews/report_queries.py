@@ -203,8 +203,7 @@ def minmax(spark, sf_dir):
 SELECT station_code, {r('sum(v1)')} AS v1, {r('sum(v5)')} AS v5 FROM scaled GROUP BY station_code"""))
 def impute_and_scale(spark, sf_dir):
     rows = wq(spark, sf_dir).select("station_code", "v1", "v5")
-    filled = scaling.fill_median(rows, rows, ["v1", "v5"])
-    scaled = scaling.standardize(filled, ["v1", "v5"])
+    scaled, _ = scaling.impute_and_scale(rows, rows, ["v1", "v5"])
     return rounded(scaled.groupBy("station_code").agg(F.sum("v1").alias("v1"), F.sum("v5").alias("v5")))
 
 

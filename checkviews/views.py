@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rillwater.config import Roles
 from rillwater.functions.scores import fit_sums, score_columns
+from rillwater.plans.keep import spread
 
 VARIABLES = ("v1", "v2", "v3", "v4", "v5", "v6")
 KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -30,9 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def wq(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wq(spark: SparkSession, sf_dir: str, all_cores: bool = False) -> DataFrame:
     """Samples: order lines at supplier stations in nation basins."""
-    rows = (table(spark, sf_dir, "lineitem")
+    lines = table(spark, sf_dir, "lineitem")
+    if all_cores:
+        lines = spread(lines, "l_orderkey", "l_linenumber")
+    rows = (lines
             .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"),
                   F.col("l_suppkey") == F.col("s_suppkey"))
             .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")))

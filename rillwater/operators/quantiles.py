@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from rillwater.plans.keep import settle
 
-# Largest group the built-in percentile is given, in rows.
-DIRECT_ROWS = 2_000_000
+# Largest group the built-in percentile is given, in cells (rows times variables):
+# some 50 bytes each in the worst case of all values being different.
+DIRECT_CELLS = 6_000_000
 # Relative rank error of the sketch is 1 / ACCURACY; brackets are wider by this factor.
 ACCURACY = 10_000
 BRACKET = 3.0 / ACCURACY
@@ -32,10 +33,11 @@ def largest_group(df: DataFrame, by: Sequence[str]) -> int:
     return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def choose(df: DataFrame, by: Sequence[str], strategy: str) -> str:
+def choose(df: DataFrame, by: Sequence[str], strategy: str, n_columns: int = 1) -> str:
+    """The plan to use; ``auto`` reads the key columns once to find the largest group."""
     if strategy != "auto":
         return strategy
-    return "direct" if largest_group(df, by) <= DIRECT_ROWS else "bracketed"
+    return "direct" if largest_group(df, by) * n_columns <= DIRECT_CELLS else "bracketed"
 
 
 def percentile_array(col: Column, probs: Sequence[float]) -> Column:
@@ -48,7 +50,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str],
 
     Groups in which a variable has no value give null quantiles.
     """
-    if choose(df, by, strategy) == "direct":
+    if choose(df, by, strategy, len(columns)) == "direct":
         return _direct(df, by, columns, probs)
     return _bracketed(df, by, columns, probs)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.functions.numbers import min_max
+from rillwater.operators.quantiles import exact_quantiles
 
 Scale = dict[str, tuple[float, float]]  # column -> (mean, population std)
 
@@ -42,13 +43,20 @@ def standard_stage(scale: Scale, suffix: str = "_std") -> SQLTransformer:
 def fill_median(df: DataFrame, train: DataFrame, columns: Sequence[str],
                 strategy: str = "auto") -> DataFrame:
     """Missing cells to the median of the training rows."""
-    from rillwater.operators.quantiles import exact_quantiles
-
     medians = {r["variable"]: r["m"] for r in
                exact_quantiles(train, (), columns, {"m": 0.5}, strategy).collect()}
     return df.fillna({c: m for c, m in medians.items() if m is not None})
 
 
+def impute_and_scale(train: DataFrame, test: DataFrame, columns: Sequence[str],
+                     strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+    """Median for missing cells, then standard scale; both learnt from ``train`` only."""
+    filled = fill_median(train, train, columns, strategy)
+    scale = fit_standard(filled, columns)
+    return (standardize(filled, columns, scale),
+            standardize(fill_median(test, train, columns, strategy), columns, scale))
+
+
 def minmax_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each column to 0..1 over the whole table; constants to 0."""
     row = df.agg(*[e for c in columns for e in (F.min(c), F.max(c))]).first()

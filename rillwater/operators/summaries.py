@@ -26,7 +26,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
     columns = [c for c in columns if c not in by]
     if not columns:
         raise ValueError("none of the variables exists")
-    plan = choose(df, by, strategy)
+    plan = choose(df, by, strategy, len(columns))
     moments = []
     for i, c in enumerate(columns):
         moments += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
@@ -223,9 +223,12 @@ def boxplot(df: DataFrame, roles: Roles, variable: str, area: str | None = None,
     rows = (df.where(F.col(variable).isNotNull() & F.col(roles.station).isNotNull())
             .select(*keep, value.alias("value")))
     rank = F.col(area) if area else F.lit(None).cast("double")
-    places = rows.groupBy(roles.station).agg(
-        F.min(F.struct(F.col(roles.basin).alias("basin"), rank.alias("area"))).alias("place"),
-        F.count("*").alias("n"))
+    # Grouped by basin first: the rows then meet a hash aggregate of plain numbers,
+    # and the smallest (basin, area) is sought among a few rows per station.
+    places = (rows.groupBy(roles.station, F.col(roles.basin).alias("basin"))
+              .agg(F.min(rank).alias("area"), F.count("*").alias("n"))
+              .groupBy(roles.station)
+              .agg(F.min(F.struct("basin", "area")).alias("place"), F.sum("n").alias("n")))
     boxes = exact_quantiles(rows, [roles.station], ["value"], QUARTILES, strategy).drop("variable")
     fences = settle(places.join(boxes, roles.station).select(
         roles.station, F.col("place.basin").alias("basin"), F.col("place.area").alias("area"),

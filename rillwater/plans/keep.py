@@ -40,10 +40,11 @@ def release() -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on an input that arrives in fewer pieces than there are cores.
+    """Use all cores on a scan that arrives in fewer pieces than there are cores.
 
-    A small file of one row group is scanned by one task, and everything up to the
+    A small file of one row group is read by one task, and everything up to the
     next shuffle stays there. Inputs of many row groups pass through unchanged.
+    Meant for plain scans: counting the pieces of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:

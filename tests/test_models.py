@@ -141,6 +141,8 @@ def test_scalers(spark):
     assert [r["x_std"] for r in stage.transform(df).collect()] == [-1.0, 1.0, None]
     filled = scaling.fill_median(df, df, ["x"]).collect()
     assert filled[2]["x"] == 2.0
+    _, test = scaling.impute_and_scale(df, spark.createDataFrame([(None,), (5.0,)], "x double"), ["x"])
+    assert [r["x"] for r in test.collect()] == pytest.approx([0.0, 3 / (2 / 3) ** 0.5])
 
 
 def test_scores_of_odd_groups(spark):

@@ -65,7 +65,7 @@ def test_small_groups_keep_their_ranks(spark, n):
 def test_auto_chooses_by_the_largest_group(skewed, monkeypatch):
     _, df = skewed
     assert quantiles.choose(df, ["g"], "auto") == "direct"
-    monkeypatch.setattr(quantiles, "DIRECT_ROWS", 2000)
+    monkeypatch.setattr(quantiles, "DIRECT_CELLS", 2000)
     assert quantiles.choose(df, ["g"], "auto") == "bracketed"
 
 
