@@ -144,11 +144,35 @@ def clusters(spark, sf_dir):
 
 
 _RIDGE_RUN = Experiment("RIDGE_v4", RIDGE, ("v1", "v4"), search="grid",
-                        param_grid={"alpha": [0.1, 10.0]}, time_series_splits=SPLITS,
+                        param_grid={"alpha": [0.1, 1e6]}, time_series_splits=SPLITS,
                         min_station_samples=20)
 
 
-@query("experiment_run")
+_LAST = SPLITS
+_PREDICTED = ("""
+ sums AS (SELECT fold, avg(v1) AS m1, avg(v4) AS m2, avg(y) AS my, var_pop(v1) * count(*) AS s11, var_pop(v4) * count(*) AS s22,
+  covar_pop(v1, v4) * count(*) AS s12, covar_pop(v1, y) * count(*) AS s1y, covar_pop(v4, y) * count(*) AS s2y
+ FROM ranges JOIN used ON row_idx < start GROUP BY fold)""", """
+ fits AS (SELECT fold, alpha, m1, m2, my,
+  (s1y * (s22 + alpha) - s2y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w1,
+  (s2y * (s11 + alpha) - s1y * s12) / ((s11 + alpha) * (s22 + alpha) - s12 * s12) AS w2
+ FROM sums, (SELECT unnest([CAST(0.1 AS DOUBLE), CAST(1000000 AS DOUBLE)]) AS alpha))""", """
+ tested AS (SELECT station_code, basin, alpha, ranges.fold, y, my + w1 * (v1 - m1) + w2 * (v4 - m2) AS p
+ FROM ranges JOIN fits USING (fold) JOIN used ON row_idx >= start AND row_idx < stop)""", """
+ rated AS (SELECT alpha, avg(r2) AS r2 FROM (SELECT alpha, fold, 1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2
+ FROM tested GROUP BY alpha, fold) GROUP BY alpha)""", f"""
+ last AS (SELECT * FROM tested WHERE fold = {_LAST} AND alpha = (SELECT alpha FROM rated ORDER BY r2 DESC, alpha LIMIT 1))""")
+_by = lambda level: (f"SELECT '{level}' AS level, {level} AS grupo, {scores_sql()}, count(*) AS N_Muestras"
+                     f" FROM last GROUP BY {level} HAVING count(*) >= 2")
+
+
+@query("experiment_run", sql("wq", """
+ eligible AS (SELECT * FROM wq WHERE target IS NOT NULL AND v1 IS NOT NULL AND v4 IS NOT NULL)""", """
+ used AS (SELECT *, ln(1 + target) AS y, row_number() OVER (ORDER BY """ + _ORDER + """) - 1 AS row_idx FROM eligible
+ WHERE station_code IN (SELECT station_code FROM eligible GROUP BY 1 HAVING count(*) >= 20))""",
+    _model_sql("v1")[1], *_PREDICTED, f" scored AS ({_by('basin')} UNION ALL {_by('station_code')})", f"""
+SELECT level, grupo, {r('R2', 3)} AS R2, {r('NSE', 3)} AS NSE, {r('RMSE', 3)} AS RMSE, {r('PBIAS', 3)} AS PBIAS, N_Muestras
+FROM scored WHERE R2 IS NOT NULL AND NSE IS NOT NULL AND PBIAS IS NOT NULL"""))
 def experiment_run(spark, sf_dir):
     """Search, then the validation run with the best parameters; scores by place."""
     rows = wq(spark, sf_dir)

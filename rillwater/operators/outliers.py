@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rillwater.functions.numbers import outside
 from rillwater.operators.cleaning import existing
-from rillwater.operators.quantiles import exact_quantiles
+from rillwater.operators.quantiles import choose, exact_quantiles
 
 # Usual parameters of the two rules, and the modified-z constant.
 IQR_MULTIPLIER = 1.5
@@ -55,6 +55,7 @@ def mad_bounds(df: DataFrame, columns: Sequence[str], threshold: float = MAD_THR
     Columns whose median absolute deviation is zero have no bounds.
     """
     columns = existing(df, columns)
+    strategy = choose(df, (), strategy, len(columns))
     scaled = _scaled(df, columns, log_columns)
     half = {"median": 0.5}
     middle = {v: m for v, (m,) in _per_variable(

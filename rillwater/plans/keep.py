@@ -1,9 +1,9 @@
 """Keeping intermediate results: small ones in the cache, large ones as tables.
 
-``settle`` is how this package broadcasts: the small side is cached and counted,
-so its true size is known to the planner, which broadcasts it only when it is
-below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise plans a sort-merge
-join that AQE can split on skewed keys. No broadcast hint is used anywhere.
+``settle`` is how this package broadcasts: the small side is cached and measured,
+and only below ``BROADCAST_BYTES`` is it marked for broadcast. Beyond that the
+planner is left to choose, usually a sort-merge join that AQE splits on skewed
+keys. No broadcast happens without that check.
 
 ``store`` cuts lineage by writing a table into the shared checkpoint folder, so
 that the result survives lost executors and later jobs read only the columns
@@ -15,19 +15,45 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
 
 from rillwater.session import shared_folder
 
+# Largest table that is sent to every executor. Hashed it takes about twice as much.
+BROADCAST_BYTES = 64 * 1024 * 1024
+
 _settled: list[DataFrame] = []
 
 
+def _row_bytes(df: DataFrame) -> Column | None:
+    """Upper estimate of a row's size; None for types it cannot judge."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.lit(8) + F.coalesce(F.octet_length(col), F.lit(0))
+        elif isinstance(f.dataType, ArrayType) and isinstance(f.dataType.elementType, NumericType):
+            size = size + F.lit(24) + F.lit(8) * F.greatest(F.size(col), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            return None
+        else:
+            size = size + F.lit(16)
+    return size
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cache a table that is expected to be small and make its size known."""
+    """Cache a table that is expected to be small, measure it, and mark it for
+    broadcast if it is."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    kept.count()
     _settled.append(kept)
-    return kept
+    size = _row_bytes(kept)
+    if size is None:
+        kept.count()
+        return kept
+    measured = kept.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    return F.broadcast(kept) if measured <= BROADCAST_BYTES else kept
 
 
 def release() -> None:
