@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rillwater.operators.cleaning import existing
 from rillwater.operators.ordering import first_per_key
 from rillwater.operators.scaling import standardize
-from rillwater.plans.keep import settle
+from rillwater.plans.keep import cached
 
 
 def station_clusters(basins: DataFrame, k: int, features: Sequence[str],
@@ -25,7 +25,7 @@ def station_clusters(basins: DataFrame, k: int, features: Sequence[str],
     features = existing(basins, features)
     one = first_per_key(basins.select(station, *features), [station], features)
     # One row per station, read by every iteration.
-    complete = settle(one.dropna(subset=features))
+    complete = cached(one.dropna(subset=features))
     if complete.isEmpty():
         raise ValueError("no station has all basin features")
     scaled = standardize(complete, features)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rillwater.config import Roles
 from rillwater.functions.keys import clean_key
-from rillwater.plans.keep import settle
+from rillwater.plans.keep import cached, settle
 
 
 def parameter_names(long: DataFrame, parameter: str = "Parameter") -> list[str]:
@@ -31,7 +31,7 @@ def inherit_rows(basins: DataFrame, mapping: DataFrame, station: str = "station_
                  child: str = "child", parent: str = "parent") -> DataFrame:
     """Add rows for children that are absent, copied from a parent that exists."""
     # One row per station, used three times below.
-    table = settle(basins.withColumn(station, clean_key(F.col(station))))
+    table = cached(basins.withColumn(station, clean_key(F.col(station))))
     wanted = mapping.select(clean_key(F.col(child)).alias(child),
                             clean_key(F.col(parent)).alias(parent)).distinct()
     absent = wanted.join(table.select(F.col(station).alias(child)), child, "left_anti")

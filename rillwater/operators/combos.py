@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rillwater.config import Roles
 from rillwater.functions.numbers import min_max, total
 from rillwater.operators.correlation import target_correlation
-from rillwater.plans.keep import settle
+from rillwater.plans.keep import cached
 
 # Bits handled per round when adding up supersets: a mask yields at most 2^6 rows.
 BITS_PER_ROUND = 6
@@ -104,8 +104,8 @@ def top_combinations(df: DataFrame, roles: Roles, variables: Sequence[str],
 def tradeoff(df: DataFrame, roles: Roles, variables: Sequence[str],
              sizes: Sequence[int]) -> DataFrame:
     """Best combination of each size, its rows, and the stations it leaves."""
-    masks = settle(station_masks(df, roles, variables))
-    best = settle(_ranked(combination_counts(masks, variables, sizes)).where(F.col("rank") == 1))
+    masks = cached(station_masks(df, roles, variables))
+    best = cached(_ranked(combination_counts(masks, variables, sizes)).where(F.col("rank") == 1))
     winners = [(r["k"], r["mask"]) for r in best.select("k", "mask").collect()]
     if not winners:
         return best.select(F.col("k").alias("num_variables"),
@@ -172,7 +172,7 @@ def scored_combinations(df: DataFrame, roles: Roles, variables: Sequence[str],
         mean = F.try_divide(summed, number)
     else:
         mean = F.lit(None).cast("double")
-    table = settle(counts.withColumn("corr", mean))
+    table = cached(counts.withColumn("corr", mean))
     low_n, high_n, low_c, high_c = table.agg(F.min("n_rows"), F.max("n_rows"),
                                              F.min("corr"), F.max("corr")).first()
     rows_unit = min_max(F.col("n_rows"), low_n, high_n)

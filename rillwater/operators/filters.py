@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rillwater.config import RobustFilterParams, Roles
 from rillwater.functions.numbers import total
 from rillwater.operators.cleaning import existing
-from rillwater.plans.keep import settle
+from rillwater.plans.keep import cached, settle
 
 
 def complete_columns(df: DataFrame, roles: Roles, features: Sequence[str]) -> list[str]:
@@ -100,7 +100,7 @@ def robust_filter(df: DataFrame, roles: Roles, feature_set: Sequence[str],
     """
     water = existing(df, roles.features)
     has_target = F.col(roles.target).isNotNull()
-    counts = settle(df.where(F.col(roles.station).isNotNull()).groupBy(roles.station).agg(
+    counts = cached(df.where(F.col(roles.station).isNotNull()).groupBy(roles.station).agg(
         F.count("*").alias("n"), F.count(roles.target).alias("n_target"),
         *[F.count(c).alias(f"all{i}") for i, c in enumerate(water)],
         *[F.count(F.when(has_target, F.col(c))).alias(f"with{i}") for i, c in enumerate(water)]))

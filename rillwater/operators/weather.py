@@ -15,6 +15,8 @@ from rillwater.plans.keep import settle
 
 # (output column, aggregate, days including the current one)
 Rolling = tuple[str, str, int]
+# Days per window block, about eleven years.
+BLOCK_DAYS = 4096
 
 
 def one_row_per_day(df: DataFrame, date: str, values: Sequence[str],
@@ -30,15 +32,21 @@ def rolling(df: DataFrame, date: str, value: str, specs: Sequence[Rolling],
             series: Sequence[str] = ()) -> DataFrame:
     """Time-window aggregates over the last days, open at the far end.
 
-    Needs one row per series and day, so a window holds at most the days of the
-    calendar (3.7 million up to the year 9999), whatever the number of samples.
+    Needs one row per series and day. The calendar is cut into blocks, so that one
+    long series is no single task; a day also joins the later blocks whose windows
+    reach back to it, and each block answers for its own days only.
     """
     functions = {"sum": F.sum, "mean": F.avg}
-    ordered = Window.partitionBy(*series).orderBy(day_number(F.col(date)))
-    return df.withColumns({
+    reach = max(days for _, _, days in specs) - 1
+    block_of = lambda day: F.floor(day / F.lit(BLOCK_DAYS))
+    placed = (df.withColumn("_day", day_number(F.col(date)))
+              .withColumn("_block", F.explode(F.sequence(block_of(F.col("_day")),
+                                                         block_of(F.col("_day") + reach)))))
+    ordered = Window.partitionBy(*series, "_block").orderBy("_day")
+    return (placed.withColumns({
         name: functions[how](value).over(ordered.rangeBetween(-(days - 1), Window.currentRow))
-        for name, how, days in specs
-    })
+        for name, how, days in specs})
+        .where(F.col("_block") == block_of(F.col("_day"))).drop("_day", "_block"))
 
 
 def rain_features(wide: DataFrame, date: str = "date", gauges: Sequence[str] | None = None,

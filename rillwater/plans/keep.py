@@ -43,11 +43,21 @@ def _row_bytes(df: DataFrame) -> Column | None:
     return size
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cache a table that is expected to be small, measure it, and mark it for
-    broadcast if it is."""
+def cached(df: DataFrame) -> DataFrame:
+    """Cache a reduced table that several steps read."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     _settled.append(kept)
+    return kept
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cache the small side of a join, measure it, and mark it for broadcast if it
+    is small.
+
+    Only for tables that are joined as they are or further reduced: the mark
+    travels with everything derived from the table.
+    """
+    kept = cached(df)
     size = _row_bytes(kept)
     if size is None:
         kept.count()
@@ -57,7 +67,7 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Drop everything ``settle`` cached."""
+    """Drop everything ``settle`` and ``cached`` hold."""
     while _settled:
         try:
             _settled.pop().unpersist()
@@ -89,4 +99,4 @@ def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     if by:
         writer = writer.partitionBy(by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[F.col(f"`{c}`") for c in df.columns])

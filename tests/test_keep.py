@@ -30,7 +30,7 @@ def test_large_sides_are_not(spark, monkeypatch):
 
 def test_released_tables_leave_the_cache(spark):
     small = spark.range(3)
-    keep.settle(small)
+    keep.cached(small).count()
     assert small.is_cached
     keep.release()
     assert not small.is_cached

@@ -25,7 +25,10 @@ def test_windows_are_open_at_the_far_end(spark):
     assert rows[3][mean] is None
 
 
-def test_rolling_agrees_with_pandas(spark):
+@pytest.mark.parametrize("block", [4096, 20, 4])
+def test_rolling_agrees_with_pandas(spark, monkeypatch, block):
+    # Blocks may be shorter than the window.
+    monkeypatch.setattr(weather, "BLOCK_DAYS", block)
     values = [(d, None if d % 7 == 3 else float(d * d % 17)) for d in range(60) if d % 5 != 1]
     got = weather.rolling(series(spark, values), "date", "g",
                           [("s", "sum", 3), ("m", "mean", 14)]).orderBy("date").toPandas()
