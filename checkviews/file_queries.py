@@ -125,18 +125,26 @@ def run_summaries_scan(spark, sf_dir):
 
 
 @query("run_folders_scan", sql("wq", """
-SELECT 'time_series_cv' AS strategy, 'exp=EXP_0' AS run_id, count(*) AS n_rows FROM wq WHERE n_regionkey = 0"""))
+SELECT 'exp=EXP_' || n_regionkey AS run_id, 'EXP_' || n_regionkey AS experiment,
+ CASE WHEN n_regionkey % 2 = 0 THEN 'time_series_cv' ELSE 'kfold' END AS strategy,
+ n_regionkey = min(n_regionkey) OVER (PARTITION BY n_regionkey % 2) AS stands_for_strategy, count(*) AS n_rows
+FROM wq GROUP BY n_regionkey"""))
 def run_folders_scan(spark, sf_dir):
-    """Run folders matched to experiments by name; the first run of each strategy."""
+    """Snapshots of all runs written out, their folders matched to experiments by
+    name, rows counted per run, and the run that stands for each strategy."""
     path = scratch(spark, "folders")
-    for region in range(3):
-        sinks.write_csv(sinks.snapshot(wq(spark, sf_dir).where(F.col("n_regionkey") == region), ROLES, VARIABLES),
-                        f"{path}/exp=EXP_{region}/{discovery.SNAPSHOT_DIR}")
-    known = [Experiment(f"EXP_{i}", "Ridge", VARIABLES) for i in range(2)]
-    first = discovery.first_run_per_strategy(discovery.discover_runs(spark, path, known)).first()
-    used = tables.read_csv(spark, first["data_path"])
-    return used.agg(F.count("*").alias("n_rows")).select(
-        F.lit(first["strategy"]).alias("strategy"), F.lit(first["run_id"]).alias("run_id"), "n_rows")
+    rows = wq(spark, sf_dir).withColumn("exp", F.concat(F.lit("EXP_"), F.col("n_regionkey").cast("string")))
+    rows.select(*ROLES.metadata, ROLES.target, *VARIABLES, "exp").write.partitionBy("exp") \
+        .option("header", True).csv(path)
+    known = [Experiment(f"EXP_{i}", "Ridge", VARIABLES,
+                        validation_strategy="kfold" if i % 2 else "time_series_cv") for i in range(5)]
+    runs = discovery.discover_runs(spark, path, known, snapshot=None).drop("data_path").distinct()
+    first = discovery.first_run_per_strategy(
+        discovery.discover_runs(spark, path, known, snapshot=None)).select("run_id", F.lit(True).alias("first"))
+    counts = (tables.read_csv(spark, f"{path}/*").groupBy(
+        discovery.folder_name(discovery.file_path()).alias("run_id")).agg(F.count("*").alias("n_rows")))
+    return runs.join(first, "run_id", "left").join(counts, "run_id").select(
+        "run_id", "experiment", "strategy", F.coalesce("first", F.lit(False)).alias("stands_for_strategy"), "n_rows")
 
 
 @query("cached_result", sql("wq", "SELECT basin, count(*) AS n_rows FROM wq GROUP BY basin"))

@@ -41,17 +41,17 @@ def inherit_rows(basins: DataFrame, mapping: DataFrame, station: str = "station_
 
 
 def join_basins(samples: DataFrame, basins: DataFrame, station: str = "station_code",
-                how: str = "left", suffix: str = "_cuenca") -> DataFrame:
+                how: str = "left", suffix: str = "_cuenca", settled: bool = False) -> DataFrame:
     """Join attributes to samples; clashing names on the right get the suffix.
 
-    Stations can be few or many: the planner sees the settled size and splits
-    a station that holds a large share of the samples.
+    Few stations are broadcast after a check of their size (``settled`` if that is
+    done already); with many, a station that holds a large share is split by AQE.
     """
     left = samples.withColumn(station, clean_key(F.col(station)))
     right = basins.withColumn(station, clean_key(F.col(station)))
     clashes = [c for c in right.columns if c in left.columns and c != station]
     right = right.withColumnsRenamed({c: c + suffix for c in clashes})
-    return left.join(settle(right), station, how)
+    return left.join(right if settled else settle(right), station, how)
 
 
 def unmatched_stations(samples: DataFrame, basins: DataFrame,

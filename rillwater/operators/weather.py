@@ -83,16 +83,17 @@ def temperature_features(wide: DataFrame, date: str = "date", *,
 
 
 def join_by_date(samples: DataFrame, weather: DataFrame, roles: Roles,
-                 fill: Mapping[str, float] | None = None, found: str | None = None) -> DataFrame:
+                 fill: Mapping[str, object] | None = None, found: str | None = None,
+                 settled: bool = False) -> DataFrame:
     """Left join on the exact instant. ``weather`` has one row per day.
 
     ``fill`` replaces nulls afterwards (no rain record counts as no rain);
     ``found`` names a flag column that tells filled from recorded values.
+    ``settled`` says that the table has been measured already.
     """
-    known = weather.where(F.col(roles.date).isNotNull())
     if found:
-        known = known.withColumn(found, F.lit(True))
-    joined = samples.join(settle(known), roles.date, "left")
+        weather = weather.withColumn(found, F.lit(True))
+    joined = samples.join(weather if settled else settle(weather), roles.date, "left")
     if found:
         joined = joined.fillna({found: False})
     return joined.transform(cleaning.fill_constants, fill) if fill else joined

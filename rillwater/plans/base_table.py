@@ -11,6 +11,7 @@ from rillwater.config import RAIN_FEATURES, SEASONAL_FEATURES, Roles
 from rillwater.functions.dates import season_angle
 from rillwater.operators.basins import inherit_rows, join_basins
 from rillwater.operators.weather import join_by_date
+from rillwater.plans.keep import settle_all
 
 
 def add_season(df: DataFrame, date: str, names: Sequence[str] = SEASONAL_FEATURES) -> DataFrame:
@@ -31,9 +32,10 @@ def base_table(samples: DataFrame, rain: DataFrame, temperature: DataFrame,
     """
     days = rain.withColumn("rain_found", F.lit(True)).join(temperature, roles.date, "full")
     fill = {c: 0.0 for c in rain_names} | {"rain_found": False}
+    days, stations = settle_all(days, inherit_rows(basins, inherited, roles.station))
     return (
         samples
-        .transform(join_by_date, days, roles, fill)
-        .transform(join_basins, inherit_rows(basins, inherited, roles.station), roles.station)
+        .transform(join_by_date, days, roles, fill, settled=True)
+        .transform(join_basins, stations, roles.station, settled=True)
         .transform(add_season, roles.date)
     )

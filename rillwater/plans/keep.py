@@ -13,8 +13,9 @@ they need.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, NumericType, StringType, StructType
@@ -66,6 +67,12 @@ def settle(df: DataFrame) -> DataFrame:
     return F.broadcast(kept) if measured <= BROADCAST_BYTES else kept
 
 
+def settle_all(*tables: DataFrame) -> list[DataFrame]:
+    """Settle independent tables side by side; each is a few small jobs."""
+    with ThreadPoolExecutor(max_workers=len(tables)) as pool:
+        return list(pool.map(inheritable_thread_target(tables[0].sparkSession)(settle), tables))
+
+
 def release() -> None:
     """Drop everything ``settle`` and ``cached`` hold."""
     while _settled:

@@ -78,15 +78,19 @@ def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("experiment_id", folder_name(file_path(), 2))
 
 
-def discover_runs(spark: SparkSession, root: str, experiments: Sequence[Experiment]) -> DataFrame:
+def discover_runs(spark: SparkSession, root: str, experiments: Sequence[Experiment],
+                  snapshot: str | None = SNAPSHOT_DIR) -> DataFrame:
     """Run folders with a snapshot, matched to experiments by name.
 
-    The first experiment whose id is part of the folder name counts.
+    The first experiment whose id is part of the folder name counts. ``snapshot``
+    names the folder with the rows inside a run; None if they lie in the run itself.
     """
     parts = (spark.read.option("recursiveFileLookup", True)
              .option("pathGlobFilter", "part-*").format("binaryFile").load(root)
-             .select(F.col("path")).where(F.col("path").contains(f"/{SNAPSHOT_DIR}/")))
-    runs = parts.select(folder_name(F.col("path"), 2).alias("run_id"),
+             .select(F.col("path")))
+    if snapshot:
+        parts = parts.where(F.col("path").contains(f"/{snapshot}/"))
+    runs = parts.select(folder_name(F.col("path"), 2 if snapshot else 1).alias("run_id"),
                         F.regexp_replace("path", "/[^/]*$", "").alias("data_path")).distinct()
     match = first_contained(F.col("run_id"), [e.id for e in experiments])
     strategies = {e.id: e.validation_strategy for e in experiments}
