@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwater.config import Roles
-from rillwater.operators.cleaning import existing, round_numeric, select_existing, texts_to_numeric
+from rillwater.operators.cleaning import round_numeric, select_existing, texts_to_numeric
 
 # Fixed names of exported tables; columns that stay text in the parquet export.
 EXPORT_NAME = "datos_completos"
@@ -109,7 +109,3 @@ def cached_result(spark: SparkSession, folder: str, key: Sequence[object],
     except AnalysisException:
         build().write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
-
-
-def columns_of(df: DataFrame, names: Sequence[str]) -> list[str]:
-    return existing(df, names)
