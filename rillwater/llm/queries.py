@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup
+from rillwater.llm import exact_dedup, language_id, toxicity
 from rillwater.llm.tables import table
 
+HELD_OUT = 2  # remainder of the rows that no label is learned from
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -32,3 +34,25 @@ SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM g""")
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def fold(doc_id: str = "doc_id"):
+    """crc32 of the id as text, modulo 4 (a null id as empty text)."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(fold() != HELD_OUT))
+    held = (fold() == HELD_OUT).alias("held_out")
+    return language_id.predict(docs, model, [F.col("doc_id"), held])
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.select("doc_id", "text").where(fold() != HELD_OUT), labels)
+    scored = toxicity.score(docs, model, [F.col("doc_id"), (fold() == HELD_OUT).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
