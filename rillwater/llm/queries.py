@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup, language_id, toxicity
+from rillwater.llm import exact_dedup, language_id, main_text, personal_data, toxicity
 from rillwater.llm.tables import table
 
 HELD_OUT = 2  # remainder of the rows that no label is learned from
@@ -41,6 +41,21 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+@query("op6_personal_data")
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+    base = F.filter("found", lambda s: s["kind"].isin(*personal_data.BASE_KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in personal_data.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -56,3 +71,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs.select("doc_id", "text").where(fold() != HELD_OUT), labels)
     scored = toxicity.score(docs, model, [F.col("doc_id"), (fold() == HELD_OUT).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op10_main_text")
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.main_text(table(spark, sf_dir, "pages"), [F.col("page_id"), F.col("url")])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
