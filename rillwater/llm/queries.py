@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup, language_id, main_text, personal_data, toxicity
+from rillwater.llm import exact_dedup, language_id, main_text, packing, personal_data, toxicity
 from rillwater.llm.tables import table
 
 HELD_OUT = 2  # remainder of the rows that no label is learned from
@@ -41,6 +41,17 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+def packing_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing_vocabulary(), F.col("doc_id"))
+
+
 @query("op6_personal_data")
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"), [F.col("doc_id")])
