@@ -12,7 +12,7 @@ into windows of powers of two. So no window is padded, no shuffle is needed, and
 bounded by the batch.
 
 Defined results: null and empty texts have the end token only. Rows that repeat are packed
-as often as they occur; texts are tokenised whole, in pieces cut at white space if very long.
+as often as they occur; texts are tokenised whole.
 An empty table gives no rows. Other columns take no part.
 """
 
@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,48 @@ END_TOKEN = 1
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 8 * 2048
 # Pieces that a task remembers at once; beyond that it forgets all and goes on.
-REMEMBERED_CHUNKS = 300_000
+REMEMBERED_CHUNKS = 500_000
 CHUNK_BATCH = 2000
 SEQUENCE_BITS = 33
 
 # White space that str.split() knows but the tokenizer's pattern does not.
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 # Chunks for which lower case and composition are character by character, and the pattern is ASCII plus Latin letters.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+PLAIN = re.compile("[ -~À-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+| ")
+
+
+class _Store:
+    """Id sequences one after the other, found by number."""
+
+    def __init__(self):
+        self.ids, self.starts, self.used, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Adds sequences given end to end; their numbers."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.count + len(sizes) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used:self.used + len(ids)] = ids
+        first, self.count = self.count, self.count + len(sizes)
+        self.starts[first + 1:self.count + 1] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        return range(first, self.count)
+
+    def get(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of these numbers end to end, and their sizes."""
+        starts = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - starts
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.repeat(starts - before, sizes) + np.arange(sizes.sum())], sizes
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of the first counts[0] values, of the next counts[1], and so on."""
+    total = np.concatenate([[0], np.cumsum(values)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
 
 
 class ChunkTokenizer:
@@ -65,12 +99,9 @@ class ChunkTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        self.parts: dict[str, np.ndarray] = {}
+        self.parts: dict[str, int] = {}
         self.chunks: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.starts: list[int] = []
-        self.sizes: list[int] = []
+        self.part_ids, self.chunk_ids = _Store(), _Store()
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -79,46 +110,46 @@ class ChunkTokenizer:
         for at in range(0, len(parts), CHUNK_BATCH):
             group = parts[at:at + CHUNK_BATCH]
             ids = self._encode(" ".join(group))
-            cuts = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, int)
-            if len(cuts) == len(group) and cuts[-1] == len(ids):
-                self.parts.update(zip(group, np.split(ids, cuts[:-1])))
-            else:
-                self.parts.update((p, self._encode(p)) for p in group)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(group) or cuts[-1] != len(ids):
+                each = [self._encode(p) for p in group]
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            self.parts.update(zip(group, self.part_ids.append(ids, np.diff(cuts, prepend=0))))
 
     def _learn(self, chunks: list[str]) -> None:
-        cut = {c: PART.findall(c.lower()) for c in chunks if PLAIN.fullmatch(c) and "<|" not in c}
-        self._learn_parts(list({p for ps in cut.values() for p in ps if p not in self.parts}))
-        for c in chunks:
-            ps = cut.get(c)
-            ids = self._encode(c) if ps is None else self.parts[ps[0]] if len(ps) == 1 else np.concatenate([self.parts[p] for p in ps])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.chunks[c] = len(self.starts)
-            self.starts.append(self.used)
-            self.sizes.append(len(ids))
-            self.used += len(ids)
+        plain = chunks
+        joined = " ".join(chunks)
+        if not PLAIN.fullmatch(joined) or "<|" in joined:
+            plain = [c for c in chunks if PLAIN.fullmatch(c) and "<|" not in c]
+            others = sorted(set(chunks).difference(plain))
+            each = [self._encode(c) for c in others]
+            if each:
+                self.chunks.update(zip(others, self.chunk_ids.append(np.concatenate(each), np.array([len(x) for x in each]))))
+            joined = " ".join(plain)
+        if not plain:
+            return
+        cut = PART.findall(joined.lower())
+        new = set(cut)
+        new.discard(" ")
+        self._learn_parts([p for p in new if p not in self.parts])
+        numbers = np.fromiter((self.parts.get(p, -1) for p in cut), np.int64, len(cut))  # -1: the blank between chunks
+        ends = np.append(np.flatnonzero(numbers < 0), len(numbers))
+        ids, sizes = self.part_ids.get(numbers[numbers >= 0])
+        self.chunks.update(zip(plain, self.chunk_ids.append(ids, _sums(sizes, np.diff(ends, prepend=-1) - 1))))
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         whole = {i: self._encode(t) for i, t in enumerate(texts) if OTHER_SPACE.search(t)}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
-        flat = [w for ws in words for w in ws]
+        flat = list(chain.from_iterable(words))
         if len(self.chunks) > REMEMBERED_CHUNKS:
             self.forget()
         if new := [w for w in set(flat) if w not in self.chunks]:
             self._learn(new)
         numbers = np.fromiter(map(self.chunks.__getitem__, flat), np.int64, len(flat))
-        starts, sizes = np.array(self.starts, np.int64)[numbers], np.array(self.sizes, np.int64)[numbers]
-        before = np.cumsum(sizes) - sizes
-        out = self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())] if len(flat) else self.flat[:0]
-        lengths = [int(x) for x in np.add.reduceat(np.append(sizes, 0), np.cumsum([0, *map(len, words)])[:-1])] if texts else []
-        found, at = [], 0
-        for i, ws in enumerate(words):
-            n = lengths[i] if ws else 0
-            found.append(whole[i] if i in whole else out[at:at + n])
-            at += n
-        return found
+        out, sizes = self.chunk_ids.get(numbers)
+        lengths = _sums(sizes, np.array([len(ws) for ws in words], np.int64))
+        return [whole.get(i, ids) for i, ids in enumerate(np.split(out, np.cumsum(lengths)[:-1]))] if texts else []
 
 
 class Packer:
