@@ -37,7 +37,7 @@ LOOKALIKES = str.maketrans("013457@$", "oieastas")
 class Settings:
     """``train_rows`` bounds the sample that is trained on (expected number of rows)."""
 
-    train_rows: int = 9000
+    train_rows: int = 7000
     buckets: int = 1 << 17
     dimension: int = 8
     sizes: tuple[int, int] = (3, 5)
@@ -94,6 +94,17 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return w[0] / scale, w[1] - w[0] * at / scale
 
 
+def _buckets_by_word(words: list[str], s: Settings, group: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the words, one word after the other, and how many each has."""
+    buckets, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), group):
+        part = words[at:at + group]
+        owner, bucket = subwords.subword_buckets([plain_spelling(w) for w in part], s.sizes, s.buckets)
+        buckets.append(bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(buckets), np.concatenate(sizes)
+
+
 def fit(texts: list[str], labels: list[int], s: Settings) -> Model:
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
@@ -105,12 +116,9 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model:
     # Presence of each bucket in documents of either label starts the first dimension.
     seen = np.zeros((2, s.buckets))
     known: dict[str, int] = {}
-    numbers = [np.array([known.setdefault(w, len(known)) for piece in subwords.pieces(t) for w in words_of(piece)], np.int64)
+    numbers = [np.array([known.setdefault(w, len(known)) for piece in subwords.pieces(t) for w in words_of(piece)], np.int32)
                for t in texts]
-    owner, bucket = subwords.subword_buckets([plain_spelling(w) for w in known], s.sizes, s.buckets)
-    by_word = np.argsort(owner, kind="stable")
-    bucket = bucket[by_word]
-    size = np.bincount(owner, minlength=len(known))
+    bucket, size = _buckets_by_word(list(known), s)
     first = np.cumsum(size) - size
 
     def buckets_of(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,7 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model:
         return spans, np.array(top)
 
     def sums():
-        return np.bincount(np.repeat(np.arange(len(known)), size), (embed @ out)[bucket], len(known))
+        return np.add.reduceat((embed @ out)[bucket], first)
 
     for epoch in range(s.epochs):
         word_sums = sums()
@@ -188,9 +196,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("id"), col(text_col).alias("t"))
     n = usable.join(texts.select("id"), "id", "left_semi").count()
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, s.train_rows / max(n, 1)))
-    rows = texts.where(share).join(usable.where(share), "id").select("t", "y").limit(2 * s.train_rows).collect()
-    rows.sort(key=lambda r: (r["t"], r["y"]))
-    return fit([r["t"] for r in rows], [r["y"] for r in rows], s)
+    rows = texts.where(share).join(usable.where(share), "id").select("t", "y").limit(2 * s.train_rows)
+    found = sorted((r["t"], r["y"]) for r in rows.toLocalIterator())
+    return fit([t for t, _ in found], [y for _, y in found], s)
 
 
 def _score(table: subwords.WordTable, model: Model, texts: list[str]) -> np.ndarray:
