@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup, language_id, main_text, packing, personal_data, toxicity
+from rillwater.llm import exact_dedup, language_id, main_text, ngram_join, packing, personal_data, toxicity
 from rillwater.llm.tables import table
 
 HELD_OUT = 2  # remainder of the rows that no label is learned from
@@ -52,6 +52,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing_vocabulary(), F.col("doc_id"))
 
 
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_text_links")
+
+
 @query("op6_personal_data")
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find(table(spark, sf_dir, "documents"), [F.col("doc_id")])
