@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup, language_id, main_text, ngram_join, packing, personal_data, toxicity
+from rillwater.llm import exact_dedup, fingerprints, language_id, main_text, ngram_join, packing, personal_data, toxicity
 from rillwater.llm.tables import table
 
 HELD_OUT = 2  # remainder of the rows that no label is learned from
@@ -41,6 +41,11 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4))
 
 
+@query("op2_fingerprints")
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def packing_vocabulary() -> str:
     import public_tokenizers
 
