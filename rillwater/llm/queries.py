@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwater.llm import exact_dedup, fingerprints, language_id, main_text, ngram_join, packing, personal_data, toxicity
+from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, toxicity
+from rillwater.llm.pipeline import vocabulary
 from rillwater.llm.tables import table
 
 HELD_OUT = 2  # remainder of the rows that no label is learned from
@@ -46,15 +47,36 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
-def packing_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op3_packing")
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), packing_vocabulary(), F.col("doc_id"))
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), F.col("doc_id"))
+
+
+@query("op4_chat_trees", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+             sum(13 + length(replace(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'), '|', '&pipe;'))
+                 + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&lb;'))) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g""")
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are reply trees of one branch: each turn replies to the one before."""
+    odd = "</s>[INST] ok [/INST]"
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    given = given.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], given.schema))
+    turns = Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    replies = given.withColumn("node", F.row_number().over(turns)).withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+    made = chat_trees.conversations(replies, "conv_id", "node", "parent")
+    read = made.select(F.col("tree").alias("conv_id"), "formatted", chat_trees.read_turns(F.col("formatted")).alias("turns"),
+                       chat_trees.learned_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    listed = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 @query("op5_ngram_join")
@@ -78,6 +100,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("row.doc_id", "source_group", "lang_group", "topic", "tokens", "probability", "kept")
+
+
 @query("op8_language_id")
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

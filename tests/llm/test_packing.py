@@ -7,10 +7,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rillwater.llm import packing, queries
+from rillwater.llm import packing, pipeline, queries
 from rillwater.llm.tables import table
 
-PATH = queries.packing_vocabulary()
+PATH = pipeline.vocabulary()
 PLAIN = Tokenizer.from_file(PATH)
 CHUNKED = packing.ChunkTokenizer(PATH)
 
