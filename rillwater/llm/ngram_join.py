@@ -35,7 +35,7 @@ from rillwater.llm.shingles import _mix, distinct, shingle_hashes
 from rillwater.llm.tables import col, shuffle_partitions, written
 
 GROUP_CHARS = 1 << 20
-BLOCK_NODES = 1024
+BLOCK_NODES = 256
 BLOCK_SHINGLES = 400_000
 MATRIX_CELLS = 1 << 23
 
