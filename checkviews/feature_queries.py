@@ -10,7 +10,7 @@ from checkviews.views import (BASIN_PARAMETERS, GAUGES, KEY, ROLES, THERMOMETERS
 from rillwater.config import RAIN_FEATURES, RobustFilterParams
 from rillwater.functions.numbers import row_mean, round_to
 from rillwater.operators import basins, filters, outliers, summaries, weather
-from rillwater.operators.quantiles import choose
+from rillwater.plans.keep import store
 from rillwater.plans.base_table import add_season, base_table as build_base_table
 
 _keys = ", ".join(KEY)
@@ -99,7 +99,7 @@ def weather_join(spark, sf_dir):
 
 def samples(spark, sf_dir):
     """Samples with raw station codes, as they arrive."""
-    rows = wq(spark, sf_dir, all_cores=True)
+    rows = wq(spark, sf_dir)
     return rows.drop("station_code").withColumnRenamed("station_raw", "station_code")
 
 
@@ -155,9 +155,8 @@ _FLAGSHIP = ("target", "v1", "v4", "prec_acum_7d", "temp_14d", "mean_slope")
 @query("enriched_station_summary", sql(*_BASE, summary_sql(_FLAGSHIP)))
 def enriched_station_summary(spark, sf_dir):
     """Raw samples, weather, basins and season joined, then summarised per station."""
-    # The joins keep the number of samples, so group sizes are read before them.
-    plan = choose(wq(spark, sf_dir), ["station_code"], "auto", len(_FLAGSHIP))
-    return summaries.station_summary(enriched(spark, sf_dir), ROLES, list(_FLAGSHIP), strategy=plan)
+    rows = store(enriched(spark, sf_dir).select("station_code", *_FLAGSHIP), "flagship-rows")
+    return summaries.station_summary(rows, ROLES, list(_FLAGSHIP))
 
 
 @query("basin_pivot", sql("basin", f"""
@@ -315,7 +314,7 @@ def _treated_sql(bounds, strategy):
     return sql("wq", bounds, " UNION ALL ".join(parts))
 
 
-def _treated(spark, sf_dir, method, strategy, threshold=1.2, quantiles="auto"):
+def _treated(spark, sf_dir, method, strategy, threshold=1.2, quantiles="ranked"):
     rows = outliers.treat_outliers(wq(spark, sf_dir), _CHECKED, method, strategy, ["target"],
                                    threshold=threshold, quantiles=quantiles)
     wide = rows.agg(*[e.alias(f"{c}_{n}") for c in _CHECKED for n, e in (

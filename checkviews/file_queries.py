@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from checkviews.catalog import query, rounded
@@ -12,14 +10,10 @@ from checkviews.views import (BASIN_PARAMETERS, GAUGES, ROLES, SEGMENTS, VARIABL
                               fold_results, r, rain, sql, temperature, wq)
 from rillwater.config import RAIN_FEATURES, Experiment
 from rillwater.operators import basins, cleaning, reports, summaries, weather
-from rillwater.session import shared_folder
+from rillwater.plans.keep import scratch
 from rillwater.sources import discovery, sinks, tables
 
 
-def scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/rillwater/{name}-{uuid.uuid4().hex}"
-
-
 @query("gauge_file_scan", sql("rain", RAIN_DAILY, RAIN_ROLLED, "SELECT date, " + ", ".join(
     f"{r(c)} AS {c}" for c in RAIN_FEATURES) + " FROM rain_features"))
 def gauge_file_scan(spark, sf_dir):

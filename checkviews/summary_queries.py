@@ -23,7 +23,7 @@ def station_summary(spark, sf_dir):
 @query("station_summary_large_groups", sql("wq", summary_sql(_SUMMED, "wq")))
 def station_summary_large_groups(spark, sf_dir):
     """The same report by the plan for groups too large for one task."""
-    return summaries.station_summary(wq(spark, sf_dir), ROLES, list(_SUMMED), strategy="bracketed")
+    return summaries.station_summary(wq(spark, sf_dir), ROLES, list(_SUMMED), strategy="ranked")
 
 
 @query("station_summary_wide", sql("wq", f"""
@@ -204,7 +204,7 @@ FROM (SELECT *, row_number() OVER w - 1 AS position, lag(basin) OVER w AS before
 def boxplot_stats(spark, sf_dir):
     rows = basins.join_basins(wq(spark, sf_dir), basin_table(spark, sf_dir))
     return rounded(summaries.boxplot(rows, ROLES, "target", "basin_area_a", log=True,
-                                     strategy="bracketed"))
+                                     strategy="ranked"))
 
 
 _corr = lambda a, b: r(f"CASE WHEN isnan(corr({a}, {b})) THEN NULL ELSE corr({a}, {b}) END", 6)

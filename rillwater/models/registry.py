@@ -31,14 +31,24 @@ def _feature_share(value) -> str:
 
 
 def _common(params: Mapping, known: Mapping[str, tuple[str, Callable]]) -> dict:
-    """Translate known parameters; unknown names are ignored, as the caller expects."""
+    """Translate known parameters; every other name is ignored with a warning."""
     found = {spark: turn(params[name]) for name, (spark, turn) in known.items() if name in params}
-    if "min_samples_split" in params:
-        warnings.warn("min_samples_split has no counterpart and is ignored")
+    _warn_of(set(params) - set(known))
     return found
 
 
-_depth = lambda d: DEEPEST if d is None else min(int(d), DEEPEST)
+def _warn_of(names: set[str]) -> None:
+    for name in sorted(names):
+        warnings.warn(f"{name} has no counterpart and is ignored")
+
+
+def _depth(d) -> int:
+    if d is None:
+        return DEEPEST
+    if int(d) > DEEPEST:
+        raise ValueError(f"trees can be at most {DEEPEST} levels deep, not {d}")
+    return int(d)
+
 
 # Fixed names on the left; settings that reproduce the usual defaults below.
 _FOREST_PARAMS = {
@@ -53,6 +63,9 @@ _BOOSTING_PARAMS = {
     "max_bins": ("maxBins", int),
 }
 
+# Parameters that change the estimator.
+MAPPED = {FOREST: set(_FOREST_PARAMS), BOOSTING: set(_BOOSTING_PARAMS), LINEAR: set(), RIDGE: {"alpha"}}
+
 
 def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
                    label_std: float = 0.0) -> Estimator:
@@ -68,8 +81,10 @@ def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
             params, _BOOSTING_PARAMS)
         return GBTRegressor(**names, **settings)
     if name == LINEAR:
+        _warn_of(set(params))
         return LinearRegression(**names, regParam=0.0, solver="normal")
     if name == RIDGE:
+        _warn_of(set(params) - {"alpha"})
         # The solver divides the squared error by the rows and scales the label by
         # its population deviation, so the penalty is brought to the same footing.
         penalty = float(params.get("alpha", 1.0)) / max(n_rows, 1) * label_std
@@ -82,5 +97,5 @@ def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
 
 def grid_key(name: str, params: Mapping) -> tuple:
     """Trials that give the same estimator share a key and are fitted once."""
-    skip = {"min_samples_split"} if name in TREES else set()
-    return tuple(sorted((k, repr(v)) for k, v in params.items() if k not in skip))
+    used = MAPPED.get(name, set(params))
+    return tuple(sorted((k, repr(v)) for k, v in params.items() if k in used))

@@ -8,8 +8,10 @@ then adding up supersets replaces one scan of the data per combination.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import comb
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwater.config import Roles
@@ -19,8 +21,8 @@ from rillwater.plans.keep import cached
 
 # Bits handled per round when adding up supersets: a mask yields at most 2^6 rows.
 BITS_PER_ROUND = 6
-# Masks are 64-bit; far fewer variables already give more combinations than can be listed.
-MAX_VARIABLES = 30
+# Masks are signed 64-bit numbers.
+MASK_BITS = 62
 
 
 def _bit(variables: Sequence[str], position: int) -> int:
@@ -72,19 +74,51 @@ def superset_counts(masks: DataFrame, n_bits: int) -> DataFrame:
 def combination_counts(masks: DataFrame, variables: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """(k, mask, n_rows) of every combination of the given sizes, also empty ones."""
     p = len(variables)
-    if p > MAX_VARIABLES:
-        raise ValueError(f"2^{p} combinations cannot be listed; choose at most {MAX_VARIABLES} variables")
-    wanted = [k for k in sizes if 0 < k <= p]
-    every = (df_range(masks, 1 << p).select(F.col("id").alias("mask"),
-                                            F.bit_count(F.col("id")).cast("int").alias("k"))
-             .where(F.col("k").isin(*wanted)))
-    counts = superset_counts(masks.select("mask", "n_rows"), p)
+    if p > MASK_BITS:
+        raise ValueError(f"masks have {MASK_BITS} bits; {p} variables do not fit")
+    wanted = sorted({k for k in sizes if 0 < k <= p})
+    every = subsets(masks.sparkSession, p, wanted)
+    if sum(comb(p, k) for k in range(max(wanted, default=0) + 1)) * 4 < 1 << p:
+        # Few of all combinations are wanted: a row is handed to those of its mask.
+        counts = subset_counts(masks.select("mask", "n_rows"), p, wanted)
+    else:
+        counts = superset_counts(masks.select("mask", "n_rows"), p)
     return (every.join(counts, "mask", "left")
             .select("k", "mask", F.coalesce("n_rows", F.lit(0)).alias("n_rows")))
 
 
-def df_range(df: DataFrame, end: int) -> DataFrame:
-    return df.sparkSession.range(end)
+def _grown(rows: DataFrame, p: int, allowed: Column) -> DataFrame:
+    """Masks with one more bit, below the lowest they have, out of the allowed ones."""
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+    lower = F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: (i < F.col("lowest")) & (allowed.bitwiseAND(bit(i)) != 0))
+    keep = [c for c in rows.columns if c not in ("mask", "lowest")]
+    return (rows.select(*keep, "mask", F.explode(lower).alias("i"))
+            .select(*keep, (F.col("mask") + bit(F.col("i"))).alias("mask"), F.col("i").alias("lowest")))
+
+
+def subsets(spark: SparkSession, p: int, sizes: Sequence[int]) -> DataFrame:
+    """(k, mask) of every subset of the given sizes, made size by size from the sizes below only."""
+    rows = spark.range(1).select(F.lit(0).cast("bigint").alias("mask"), F.lit(p).alias("lowest"))
+    found = []
+    for k in range(1, max(sizes, default=0) + 1):
+        rows = _grown(rows, p, F.lit((1 << p) - 1).cast("bigint"))
+        if k in sizes:
+            found.append(rows.select(F.lit(k).alias("k"), "mask"))
+    if not found:
+        return rows.select(F.lit(0).alias("k"), "mask").limit(0)
+    return reduce(DataFrame.unionByName, found)
+
+
+def subset_counts(masks: DataFrame, p: int, sizes: Sequence[int]) -> DataFrame:
+    """For every subset of the given sizes that a mask contains, the rows of those masks."""
+    rows = masks.groupBy(F.col("mask").alias("whole")).agg(F.sum("n_rows").alias("n_rows")).select(
+        "whole", "n_rows", F.lit(0).cast("bigint").alias("mask"), F.lit(p).alias("lowest"))
+    found = []
+    for k in range(1, max(sizes, default=0) + 1):
+        rows = _grown(rows, p, F.col("whole"))
+        if k in sizes:
+            found.append(rows.select("mask", "n_rows"))
+    return reduce(DataFrame.unionByName, found).groupBy("mask").agg(F.sum("n_rows").alias("n_rows"))
 
 
 def _ranked(counts: DataFrame) -> DataFrame:

@@ -1,22 +1,24 @@
-"""Sums of products of many columns, from one scan.
+"""Sums of products of many columns, as aggregates of the engine.
 
-Correlations and linear models of p variables need about p^2 sums. As single
-aggregates they outgrow generated code and would have to be spread over several
-scans; here each task multiplies its Arrow batches with NumPy and hands on one
-small matrix per block, which Spark adds up.
+p columns need about 4 p^2 sums. They are taken in tiles of a few columns by a few columns,
+each an aggregation small enough for generated code that reads only its own columns; tiles
+run side by side. Every sum is combined in the tasks before it is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SCHEMA = "block int, cell int, value double"
+# Columns on each side of a tile; a tile has at most six sums for each pair.
+TILE = 5
+AT_ONCE = 4
 
 
 @dataclass
@@ -29,23 +31,16 @@ class Products:
     square: np.ndarray  # sum of x_i^2 where j is present
 
 
-def _partials(batches: Iterable[pa.RecordBatch], p: int) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p + 1)]
-        blocks, x = columns[0], np.column_stack(columns[1:]).astype(float)
-        for block in np.unique(blocks):
-            part = x[blocks == block]
-            here = ~np.isnan(part)
-            filled, mask = np.where(here, part, 0.0), here.astype(float)
-            found = np.stack([mask.T @ mask, filled.T @ filled, filled.T @ mask,
-                              (filled * filled).T @ mask]).ravel()
-            sums[int(block)] = sums[int(block)] + found if int(block) in sums else found
-    for block, values in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(values), block, dtype=np.int32)),
-             pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)],
-            names=["block", "cell", "value"])
+def _tile(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> list:
+    sums = []
+    for i, j in pairs:
+        a, b = F.col(f"x{i}"), F.col(f"x{j}")
+        where_b, where_a = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        sums += [F.count(where_b), F.sum(a * b), F.sum(where_b), F.sum(where_b * where_b)]
+        if i != j:
+            sums += [F.sum(where_a), F.sum(where_a * where_a)]
+    # One row per block comes back, whatever the number of rows.
+    return rows.groupBy("block").agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).collect()
 
 
 def cross_products(df: DataFrame, columns: Sequence[Column],
@@ -54,13 +49,26 @@ def cross_products(df: DataFrame, columns: Sequence[Column],
     p = len(columns)
     rows = df.select((F.lit(0) if block is None else block).cast("int").alias("block"),
                      *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    added = (rows.mapInArrow(lambda batches: _partials(batches, p), _SCHEMA)
-             .groupBy("block", "cell").agg(F.sum("value").alias("value")))
+    starts = range(0, p, TILE)
+    tiles = [[(i, j) for i in range(a, min(a + TILE, p)) for j in range(b, min(b + TILE, p)) if i <= j]
+             for a in starts for b in starts if a <= b]
+    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
+        found = list(pool.map(inheritable_thread_target(df.sparkSession)(lambda t: _tile(rows, t)), tiles))
     filled: dict[int, np.ndarray] = {}
-    # 4 p^2 figures per block come back, whatever the number of rows.
-    for r in added.collect():
-        filled.setdefault(r["block"], np.zeros(4 * p * p))[r["cell"]] = r["value"]
-    return {b: Products(*v.reshape(4, p, p)) for b, v in filled.items()}
+    for pairs, blocks in zip(tiles, found):
+        for row in blocks:
+            table = filled.setdefault(row[0], np.zeros((4, p, p)))
+            at = 1
+            for i, j in pairs:
+                n, product, first, square = (v or 0.0 for v in row[at:at + 4])
+                table[0, i, j] = table[0, j, i] = n
+                table[1, i, j] = table[1, j, i] = product
+                table[2, i, j], table[3, i, j] = first, square
+                at += 4
+                if i != j:
+                    table[2, j, i], table[3, j, i] = (v or 0.0 for v in row[at:at + 2])
+                    at += 2
+    return {b: Products(*v) for b, v in filled.items()}
 
 
 def means(df: DataFrame, columns: Sequence[Column]) -> list[float]:

@@ -1,12 +1,12 @@
-"""Exact interpolated quantiles per group that survive very large groups.
-
-``direct`` uses the built-in ``percentile``, whose state holds every distinct
-value of a group in one task: right for groups of moderate size. ``bracketed``
-needs three scans but no task ever holds a group: a bounded sketch gives, per
-group and quantile, two values that enclose it; further scans count what lies
-outside and keep only the values in between. Both give the same numbers; should
-a sketch ever miss, the query fails rather than answer wrongly. ``auto`` counts
-the largest group first and chooses.
+"""Exact interpolated quantiles per group, by ranks.
+
+The distinct values of each group and variable are counted, spread over the tasks by range
+of (group, variable, value) and stored once. Sizes of the pieces tell which pieces hold the
+wanted ranks; only those are read again and summed up in order. A group of any size is
+split by its values, nothing is approximate and nothing can miss.
+
+``direct`` uses the built-in ``percentile`` instead, whose state holds every distinct value of
+a group in one task: one scan less, for callers who know that their groups are small.
 """
 
 from __future__ import annotations
@@ -16,28 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwater.plans.keep import settle
-
-# Largest group the built-in percentile is given, in cells (rows times variables):
-# some 50 bytes each in the worst case of all values being different.
-DIRECT_CELLS = 6_000_000
-# Relative rank error of the sketch is 1 / ACCURACY; brackets are wider by this factor.
-ACCURACY = 10_000
-BRACKET = 3.0 / ACCURACY
-
-
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group; reads only the key columns."""
-    if not by:
-        return df.count()
-    return df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+from rillwater.plans.keep import store
 
-
-def choose(df: DataFrame, by: Sequence[str], strategy: str, n_columns: int = 1) -> str:
-    """The plan to use; ``auto`` reads the key columns once to find the largest group."""
-    if strategy != "auto":
-        return strategy
-    return "direct" if largest_group(df, by) * n_columns <= DIRECT_CELLS else "bracketed"
+STRATEGIES = ("ranked", "direct")
 
 
 def percentile_array(col: Column, probs: Sequence[float]) -> Column:
@@ -45,25 +26,14 @@ def percentile_array(col: Column, probs: Sequence[float]) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str],
-                    probs: dict[str, float], strategy: str = "auto") -> DataFrame:
+                    probs: dict[str, float], strategy: str = "ranked") -> DataFrame:
     """One row per group and variable: keys, ``variable``, and one column per quantile.
 
     Groups in which a variable has no value give null quantiles.
     """
-    if choose(df, by, strategy, len(columns)) == "direct":
-        return _direct(df, by, columns, probs)
-    return _bracketed(df, by, columns, probs)
-
-
-def _stack(df: DataFrame, by: Sequence[str], columns: Sequence[str],
-           fields: dict[str, str]) -> DataFrame:
-    """Wide aggregates ``<prefix><i>`` of column i to one row per variable."""
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("variable"),
-                 *[F.col(f"{prefix}{i}").alias(name) for name, prefix in fields.items()])
-        for i, c in enumerate(columns)
-    ])
-    return df.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}")
+    return (_direct if strategy == "direct" else _ranked)(df, by, columns, probs)
 
 
 def _direct(df: DataFrame, by: Sequence[str], columns: Sequence[str],
@@ -71,102 +41,58 @@ def _direct(df: DataFrame, by: Sequence[str], columns: Sequence[str],
     wide = df.groupBy(*by).agg(*[
         percentile_array(F.col(c), list(probs.values())).alias(f"q{i}")
         for i, c in enumerate(columns)])
-    long = _stack(wide, by, columns, {"q": "q"})
-    return long.select(*by, "variable", *[F.col("q")[j].alias(name)
-                                          for j, name in enumerate(probs)])
-
-
-def _bracketed(df: DataFrame, by: Sequence[str], columns: Sequence[str],
-               probs: dict[str, float]) -> DataFrame:
-    names, fractions = list(probs), list(probs.values())
-    cuts = [x for p in fractions for x in (max(p - BRACKET, 0.0), min(p + BRACKET, 1.0))]
-    lists = F.array(*[F.lit(float(x)) for x in cuts])
-    sketch = df.groupBy(*by).agg(
-        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(F.col(c).cast("double"), lists, ACCURACY).alias(f"b{i}")
-          for i, c in enumerate(columns)])
-    sketch = settle(sketch)
-
-    # Outside its bracket a variable needs only counts, and the value next to the
-    # bracket, since a rank may fall on it. Inside, the values stay apart: a few
-    # ten-thousandths of a group.
-    beside, inside = [], []
-    for i, c in enumerate(columns):
-        value = F.col(c).cast("double")
-        for j, p in enumerate(fractions):
-            low, high = F.col(f"b{i}")[2 * j], F.col(f"b{i}")[2 * j + 1]
-            # The ends of the data bound the extreme quantiles.
-            below = F.lit(False) if p - BRACKET <= 0 else value < low
-            above = F.lit(False) if p + BRACKET >= 1 else value > high
-            beside += [F.count(F.when(below, 1)).alias(f"under{i}_{j}"),
-                       F.max(F.when(below, value)).alias(f"most{i}_{j}"),
-                       F.min(F.when(above, value)).alias(f"least{i}_{j}")]
-            inside.append(F.when(value.isNotNull() & ~below & ~above, F.struct(
-                F.lit(i).alias("i"), F.lit(j).alias("j"), value.alias("value"))))
-    brackets = sketch.select(*by, *[f"b{i}" for i in range(len(columns))])
-    keyed = _attach(df.select(*by, *columns), brackets, by)
-    slots = [(i, j) for i in range(len(columns)) for j in range(len(fractions))]
-    outer = keyed.groupBy(*by).agg(*beside).select(*by, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"under{i}_{j}").alias("under"),
-                 F.col(f"most{i}_{j}").alias("most"), F.col(f"least{i}_{j}").alias("least"))
-        for i, j in slots])).alias("s")).select(*by, "s.*")
-    values = (keyed.select(*by, F.explode(F.filter(F.array(*inside), lambda s: s.isNotNull()))
-                           .alias("s"))
-              .groupBy(*by, "s.i", "s.j", "s.value").agg(F.count("*").alias("n_rows")))
-    upto = F.sum("n_rows").over(Window.partitionBy(*by, "i", "j").orderBy("value")
-                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = values.withColumn("upto", upto)
-
-    counts = _stack(sketch, by, columns, {"n": "n"}).withColumn(
-        "i", _position(columns, F.col("variable")))
-    places = _attach(outer, counts.select(*by, "i", "variable", "n"), [*by, "i"])
-    found = _attach(places, ranked, [*by, "i", "j"])
-    position = F.lit(None).cast("double")
-    for j, p in enumerate(fractions):
-        position = F.when(F.col("j") == j, (F.col("n") - 1) * F.lit(float(p))).otherwise(position)
-    start, stop = F.col("under") + F.col("upto") - F.col("n_rows"), F.col("under") + F.col("upto")
-    at = lambda rank: F.max(
-        F.when((start <= rank) & (rank < stop), F.col("value"))
-        .when(rank == F.col("under") - 1, F.col("most")))
-    after = lambda rank: F.when(rank == F.max(stop), F.max("least"))
-    low_rank, high_rank = F.floor("pos"), F.ceil("pos")
-    picked = (found.withColumn("pos", position)
-              .groupBy(*by, "variable", "j")
-              .agg(F.coalesce(at(low_rank), after(F.max(low_rank))).alias("low"),
-                   F.coalesce(at(high_rank), after(F.max(high_rank))).alias("high"),
-                   F.max(F.col("pos") - low_rank).alias("part")))
-    hit = F.col("low").isNotNull() & F.col("high").isNotNull()
-    value = F.when(hit, F.col("low") + (F.col("high") - F.col("low")) * F.col("part")) \
-        .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-    wide = (picked.withColumn("q", value).groupBy(*by, "variable")
-            .agg(*[F.max(F.when(F.col("j") == j, F.col("q"))).alias(name)
-                   for j, name in enumerate(names)]))
-    return (counts.select(*by, "variable")
-            .join(wide.select(*[F.col(b).alias(f"_{b}") for b in by],
-                              F.col("variable").alias("_variable"), *names),
-                  _same([*by, "variable"]), "left")
-            .select(*by, "variable", *names))
-
-
-def _position(columns: Sequence[str], variable: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(c) for c in columns]), variable).cast("int") - 1
-
-
-def _same(keys: Sequence[str]) -> Column:
-    """Equality of ``k`` and ``_k`` in which null keys match each other."""
-    test = F.lit(True)
-    for k in keys:
-        test = test & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return test
+    rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"q{i}").alias("q"))
+                     for i, c in enumerate(columns)])
+    return (wide.select(*by, F.explode(rows).alias("r"))
+            .select(*by, "r.variable", *[F.col("r.q")[j].alias(name)
+                                         for j, name in enumerate(probs)]))
 
 
-def _attach(big: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bring the columns of a keyed table to the rows of another.
-
-    Without keys the table is one row, whose values become literals.
-    """
-    if not keys:
-        row = small.first()
-        return big.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in small.schema})
-    renamed = small.withColumnsRenamed({k: f"_{k}" for k in keys})
-    return big.join(renamed, _same(keys), "inner").drop(*[f"_{k}" for k in keys])
+def _ranked(df: DataFrame, by: Sequence[str], columns: Sequence[str],
+            probs: dict[str, float]) -> DataFrame:
+    spark = df.sparkSession
+    cells = F.array(*[F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_value"))
+                      for i, c in enumerate(columns)])
+    long = df.select(*by, F.explode(cells).alias("_cell")).select(*by, "_cell.*")
+    if not by:
+        # Without keys there is one group, even if the table is empty.
+        seeds = F.array(*[F.lit(i) for i in range(len(columns))])
+        long = long.unionByName(spark.range(1).select(
+            F.explode(seeds).alias("_i"), F.lit(None).cast("double").alias("_value")))
+    # A null stands for the group itself and counts nothing.
+    counts = long.groupBy(*by, "_i", "_value").agg(
+        F.sum(F.when(F.col("_value").isNotNull(), 1).otherwise(0)).alias("_n"))
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = store(counts.repartitionByRange(number, *by, "_i", "_value")
+                   .withColumn("_piece", F.spark_partition_id()), "ranked-values")
+
+    group = Window.partitionBy(*by, "_i")
+    sizes = pieces.groupBy(*by, "_i", "_piece").agg(F.sum("_n").alias("_size"))
+    sizes = sizes.withColumns({
+        "_total": F.sum("_size").over(group),
+        "_before": F.sum("_size").over(group.orderBy("_piece").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)) - F.col("_size")})
+    places = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs.values()]
+    wanted = F.col("_total") == 0
+    for at in places:
+        wanted = wanted | ((F.col("_before") <= F.ceil(at)) & (F.floor(at) < F.col("_before") + F.col("_size")))
+    keys = [*by, "_i", "_piece"]
+    needed = sizes.where(wanted).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    found = pieces.join(needed, same).drop(*[f"_of_{k}" for k in keys])
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    found = found.withColumn("_stop", F.col("_before") + upto).withColumn("_start", F.col("_stop") - F.col("_n"))
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_stop")), F.col("_value")))
+
+    picked = found.groupBy(*by, "_i").agg(*[e for j, at in enumerate(places) for e in (
+        value_at(F.floor(at)).alias(f"_low{j}"), value_at(F.ceil(at)).alias(f"_high{j}"),
+        F.max(at - F.floor(at)).alias(f"_part{j}"))])
+    variable = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("_i") + 1).alias("variable")
+    return picked.select(*by, variable, *[
+        (F.col(f"_low{j}") + (F.col(f"_high{j}") - F.col(f"_low{j}")) * F.col(f"_part{j}")).alias(name)
+        for j, name in enumerate(probs)])

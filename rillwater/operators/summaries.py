@@ -12,40 +12,39 @@ from rillwater.functions import numbers
 from rillwater.functions.dates import whole_days
 from rillwater.operators import cleaning
 from rillwater.operators.ordering import row_index
-from rillwater.operators.quantiles import choose, exact_quantiles, percentile_array
-from rillwater.plans.keep import settle
+from rillwater.operators.quantiles import exact_quantiles, percentile_array
+from rillwater.plans.keep import settle, store
 
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                     by: Sequence[str] = (), strategy: str = "auto",
+                     by: Sequence[str] = (), strategy: str = "ranked",
                      digits: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of each variable (and group)."""
     columns = cleaning.numeric_columns(df) if columns is None else cleaning.existing(df, columns)
     columns = [c for c in columns if c not in by]
     if not columns:
         raise ValueError("none of the variables exists")
-    plan = choose(df, by, strategy, len(columns))
     moments = []
     for i, c in enumerate(columns):
         moments += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"),
                     F.stddev_samp(c).alias(f"std{i}"),
                     F.min(c).cast("double").alias(f"min{i}"),
                     F.max(c).cast("double").alias(f"max{i}")]
-        if plan == "direct":
+        if strategy == "direct":
             moments.append(percentile_array(F.col(c), list(QUARTILES.values())).alias(f"q{i}"))
     wide = df.groupBy(*by).agg(*moments)
     parts = ["n", "mean", "std", "min", "max"]
     rows = F.array(*[
         F.struct(F.lit(c).alias("variable"), *[F.col(f"{p}{i}").alias(p) for p in parts],
                  *([F.col(f"q{i}")[j].alias(q) for j, q in enumerate(QUARTILES)]
-                   if plan == "direct" else []))
+                   if strategy == "direct" else []))
         for i, c in enumerate(columns)
     ])
     long = wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
-    if plan != "direct":
-        quartiles = exact_quantiles(df, by, columns, QUARTILES, plan)
+    if strategy != "direct":
+        quartiles = exact_quantiles(df, by, columns, QUARTILES, strategy)
         renamed = quartiles.withColumnsRenamed({k: f"_{k}" for k in [*by, "variable"]})
         same = F.lit(True)
         for k in [*by, "variable"]:
@@ -58,7 +57,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def station_summary(df: DataFrame, roles: Roles, variables: Sequence[str] | None = None,
-                    digits: int = 2, strategy: str = "auto") -> DataFrame:
+                    digits: int = 2, strategy: str = "ranked") -> DataFrame:
     """``describe_numeric`` per station, text variables read as numbers."""
     if variables is not None:
         df = df.transform(cleaning.to_numeric, variables)
@@ -206,22 +205,23 @@ def date_histogram(df: DataFrame, date: str, bins: int = 50) -> DataFrame:
     return every.join(filled, "bin", "left").fillna({"n": 0})
 
 
-def center_lines(df: DataFrame, variables: Sequence[str], strategy: str = "auto") -> DataFrame:
+def center_lines(df: DataFrame, variables: Sequence[str], strategy: str = "ranked") -> DataFrame:
     """Mean and median of each variable, the reference lines of a series plot."""
     return (describe_numeric(df, variables, strategy=strategy)
             .select("variable", "mean", "median"))
 
 
 def boxplot(df: DataFrame, roles: Roles, variable: str, area: str | None = None,
-            log: bool = False, whisker: float = 1.5, strategy: str = "auto") -> DataFrame:
+            log: bool = False, whisker: float = 1.5, strategy: str = "ranked") -> DataFrame:
     """Box statistics per station in plot order (basin, then basin area).
 
     Position counts from zero; ``new_basin`` marks where a divider line goes.
     """
     value = F.log1p(F.col(variable)) if log else F.col(variable).cast("double")
     keep = [roles.station, roles.basin] + ([area] if area else [])
-    rows = (df.where(F.col(variable).isNotNull() & F.col(roles.station).isNotNull())
-            .select(*keep, value.alias("value")))
+    # Several reports are made of these rows, so the joins behind them run once.
+    rows = store(df.where(F.col(variable).isNotNull() & F.col(roles.station).isNotNull())
+                 .select(*keep, value.alias("value")), "box-rows")
     rank = F.col(area) if area else F.lit(None).cast("double")
     # Grouped by basin first: the rows then meet a hash aggregate of plain numbers,
     # and the smallest (basin, area) is sought among a few rows per station.

@@ -26,6 +26,7 @@ from rillwater.session import shared_folder
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 _settled: list[DataFrame] = []
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def _row_bytes(df: DataFrame) -> Column | None:
@@ -82,17 +83,22 @@ def release() -> None:
             pass
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores on a scan that arrives in fewer pieces than there are cores.
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, removed by ``remove_stored``."""
+    folder = f"{shared_folder(spark).rstrip('/')}/rillwater-{spark.sparkContext.applicationId}"
+    _stored.append((spark, f"{folder}/{label}-{uuid.uuid4().hex}"))
+    return _stored[-1][1]
 
-    A small file of one row group is read by one task, and everything up to the
-    next shuffle stays there. Inputs of many row groups pass through unchanged.
-    Meant for plain scans: counting the pieces of a plan with shuffles would run them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+
+def remove_stored() -> None:
+    """Delete the tables that ``store`` and ``scratch`` made, once their results are used up."""
+    while _stored:
+        spark, path = _stored.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session that owned it is gone
+            pass
 
 
 def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
@@ -101,7 +107,7 @@ def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     ``by`` names a column of few values that gets one folder per value.
     """
     spark: SparkSession = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/rillwater/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     writer = df.write
     if by:
         writer = writer.partitionBy(by)

@@ -25,13 +25,20 @@ def local_session(app: str = "rillwater", cpus: int | str = "*", partitions: int
     )
 
 
+def _plain(path: str) -> str:
+    return path.removeprefix("file:").replace("//", "/").rstrip("/") + "/"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as the cluster names it.
 
-    Only where nothing is configured (tests, a laptop) a fresh local folder is
-    made and kept for the rest of the session.
+    A folder given to this context by ``setCheckpointDir`` counts before the one in
+    the settings, from which Spark starts. Only where nothing is configured (tests, a
+    laptop) a fresh local folder is made and kept for the rest of the session.
     """
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    named, given = spark.conf.get(CHECKPOINT_KEY, None), spark.sparkContext.getCheckpointDir()
+    if given and not (named and _plain(given).startswith(_plain(named))):
+        return given
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwater.config import Experiment
@@ -32,11 +32,12 @@ def read_basin_parameters(spark: SparkSession, root: str, files: str = PARAMETER
                           pattern: str = PARAMETER_PATTERN) -> DataFrame:
     """Parameter files ``report_<station>.csv`` at any depth, in long form.
 
-    Other layouts are read by giving their file glob and station pattern. Station comes from the file name, basin from its prefix; ``line`` keeps the
-    order of parameters inside a file.
+    Other layouts are read by giving their file glob and station pattern. Station comes
+    from the file name, basin from its prefix; ``line`` keeps the order of parameters
+    inside a file. A damaged file ends the scan with an error, it does not vanish.
     """
     rows = (spark.read.option("recursiveFileLookup", True)
-            .option("pathGlobFilter", files).option("ignoreCorruptFiles", True)
+            .option("pathGlobFilter", files)
             .option("header", True).schema(PARAMETER_SCHEMA).csv(root))
     station = F.url_decode(F.regexp_extract(file_path(), pattern, 1))
     return rows.select(station.alias("station_code"), basin_of(station).alias("basin"),
@@ -44,31 +45,63 @@ def read_basin_parameters(spark: SparkSession, root: str, files: str = PARAMETER
                        "Parameter", "Value", F.monotonically_increasing_id().alias("line"))
 
 
+def _cells(line: Column) -> Column:
+    """Cells of a CSV line; a quoted cell may hold commas, and quotes written twice."""
+    found = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'("(?:[^"]|"")*"|[^,]*),'), F.lit(1))
+    plain = lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    return F.transform(found, lambda c: F.coalesce(plain(c), c))
+
+
+def _summary_lines(spark: SparkSession, root: str, files: str) -> DataFrame:
+    """(file, line, n, at): the lines of all summaries that are not blank, none of them held with another.
+
+    ``at`` orders the lines of a file; ``n`` is 1 and 2 for its first two and null for the others.
+    """
+    rows = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(root)
+            .select(file_path().alias("file"), F.col("value").alias("line"),
+                    F.struct(F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("place")).alias("at"))
+            .where(F.trim("line") != ""))
+    order = Window.partitionBy("file").orderBy("at")
+    first = (rows.where(F.col("at.block") == 0).withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2)
+             .groupBy("file").agg(F.max(F.when(F.col("n") == 1, F.col("line"))).alias("h1"),
+                                  F.max(F.when(F.col("n") == 2, F.col("line"))).alias("h2"), F.max("at").alias("until")))
+    return rows.join(first, "file")
+
+
+def _figures(line: Column) -> Column:
+    """Whether a line has a cell besides its name; the line that only names the index has none."""
+    cells = _cells(line)
+    return F.exists(F.slice(cells, F.lit(2), F.size(cells)), lambda c: F.trim(c) != "")
+
+
+def skipped_summaries(spark: SparkSession, root: str, files: str = SUMMARY_FILE) -> DataFrame:
+    """(experiment_id, reason) of the summary files that ``discover_summaries`` reads nothing from."""
+    paths = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).format("binaryFile")
+             .load(root).select(F.col("path").alias("file")))
+    counts = _summary_lines(spark, root, files).groupBy("file").agg(
+        F.count("*").alias("lines"), F.count(F.when((F.col("at") > F.col("until")) & _figures(F.col("line")), 1)).alias("figures"))
+    reason = (F.when(F.col("lines").isNull(), "empty").when(F.col("lines") < 3, "no data line")
+              .when(F.col("figures") == 0, "no figures"))
+    return (paths.join(counts, "file", "left").select(folder_name(F.col("file")).alias("experiment_id"), reason.alias("reason"))
+            .where(F.col("reason").isNotNull()))
+
+
 def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str],
                        files: str = SUMMARY_FILE) -> DataFrame:
     """Every two-header summary below ``root``; the folder name is the run.
 
     The files hold one line per model. A file without the two headers and a data
-    line gives no rows. ``metrics`` are flat names such as ``R2_log_mean``.
+    line gives no rows (see ``skipped_summaries``). Cells may be quoted. ``metrics``
+    are flat names such as ``R2_log_mean``.
     """
-    texts = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", files).option("ignoreCorruptFiles", True)
-             .text(root, wholetext=True)
-             .select(folder_name(file_path()).alias("experiment_id"),
-                     F.split(F.trim("value"), r"\r?\n").alias("lines")))
-    cells = (texts.where(F.size("lines") >= 3)
-             .select("experiment_id", F.split(F.col("lines")[0], ",").alias("h1"),
-                     F.split(F.col("lines")[1], ",").alias("h2"),
-                     F.explode(F.slice("lines", 3, 1_000_000)).alias("line"))
-             .select("experiment_id", F.transform(
-                 F.arrays_zip(F.col("h1").alias("a"), F.col("h2").alias("b")),
-                 lambda h: F.concat(F.trim(h["a"]), F.lit("_"), F.trim(h["b"]))).alias("names"),
-                 F.split("line", ",").alias("cells"))
-             # The line that only names the index has no figures.
-             .where(F.exists(F.slice("cells", 2, 1_000_000), lambda c: F.trim(c) != "")))
+    names = F.transform(F.arrays_zip(_cells(F.col("h1")).alias("a"), _cells(F.col("h2")).alias("b")),
+                        lambda h: F.concat(F.trim(h["a"]), F.lit("_"), F.trim(h["b"])))
+    data = (_summary_lines(spark, root, files).where((F.col("at") > F.col("until")) & _figures(F.col("line")))
+            .select(folder_name(F.col("file")).alias("experiment_id"), names.alias("names"), _cells(F.col("line")).alias("cells")))
     value = lambda m: F.try_element_at(F.col("cells"), F.array_position("names", m).cast("int"))
     known = lambda m: F.array_position("names", m) > 0
-    return cells.select(F.trim(F.col("cells")[0]).alias("model"), "experiment_id", *[
+    return data.select(F.trim(F.col("cells")[0]).alias("model"), "experiment_id", *[
         F.when(known(m), value(m).try_cast("double")).alias(m) for m in metrics])
 
 

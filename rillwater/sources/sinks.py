@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rillwater.config import Roles
 from rillwater.operators.cleaning import round_numeric, select_existing, texts_to_numeric
+from rillwater.plans.keep import store
 
 # Fixed names of exported tables; columns that stay text in the parquet export.
 EXPORT_NAME = "datos_completos"
@@ -28,9 +29,9 @@ def write_csv(df: DataFrame, path: str) -> None:
 def export_tables(df: DataFrame, folder: str, name: str = EXPORT_NAME,
                   keep_text: Sequence[str] = TEXT_COLUMNS) -> None:
     """Parquet with numbers in number columns, and CSV as it is; 4 decimals in both."""
-    (df.transform(texts_to_numeric, keep_text).transform(round_numeric, EXPORT_DIGITS)
-     .write.mode("overwrite").parquet(f"{folder}/{name}.parquet"))
-    write_csv(df.transform(round_numeric, EXPORT_DIGITS), f"{folder}/{name}.csv")
+    rows = store(df, "export")  # what is behind the table runs once for both
+    export_parquet(rows, folder, name, keep_text)
+    write_csv(rows.transform(round_numeric, EXPORT_DIGITS), f"{folder}/{name}.csv")
 
 
 def export_parquet(df: DataFrame, folder: str, name: str = EXPORT_NAME,
@@ -95,17 +96,21 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]
 def input_fingerprint(df: DataFrame) -> str:
     """Identifies the content of a table regardless of row order."""
     row = df.select(F.xxhash64(*df.columns).alias("h")).agg(
-        F.count("*"), F.bit_xor("h"), F.sum(F.pmod("h", F.lit(2147483647)))).first()
+        F.count("*"), F.bit_xor("h"), F.sum(F.col("h").cast("decimal(38,0)"))).first()
     return "-".join(str(v) for v in row)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end; a folder without that mark counts as missing."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
 def cached_result(spark: SparkSession, folder: str, key: Sequence[object],
                   build: Callable[[], DataFrame]) -> DataFrame:
     """Stored result for a key, built and stored on first use."""
     digest = hashlib.sha256("\x1f".join(map(str, key)).encode()).hexdigest()[:24]
     path = f"{folder.rstrip('/')}/{digest}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    if not finished(spark, path):
         build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    return spark.read.parquet(path)

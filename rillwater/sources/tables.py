@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -43,13 +43,28 @@ def read_two_headers(spark: SparkSession, path, sep: str = "\t",
     """Delimited text whose first two lines are headers, flattened to one.
 
     Only the two lines come to the driver. The scan skips the first line of
-    every file itself; the second is recognised by its cells.
+    every file itself; the second is recognised by its cells. A file whose first
+    line differs, or that lacks the second, is an error: its columns would land
+    under the names of another one.
     """
     options = {"sep": sep, "encoding": encoding}
     head = spark.read.options(**options).csv(path).limit(2).collect()
     if len(head) < 2:
         raise ValueError("the file has no second header line")
     first, second = [[c or "" for c in row] for row in head]
+    lines = spark.read.options(**options).csv(path)
+
+    def equals(cells: Sequence[str]) -> Column:
+        same = F.lit(True)
+        for name, cell in zip(lines.columns, cells):
+            same = same & (F.trim(F.coalesce(F.col(name), F.lit(""))) == cell.strip())
+        return F.max(same)
+
+    # Lines of one file may be read by several tasks, so both headers are sought among all of them.
+    odd = (lines.groupBy(F.col("_metadata.file_path").alias("file")).agg(equals(first).alias("a"), equals(second).alias("b"))
+           .where("not (a and b)").select("file").limit(3).collect())
+    if odd:
+        raise ValueError(f"other headers than in the first file: {', '.join(r['file'] for r in odd)}")
     names = joined_names(first, second)
     if len(set(names)) < len(names):
         raise ValueError(f"header names collide: {names}")

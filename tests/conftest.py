@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from rillwater.plans.keep import release  # noqa: E402
+from rillwater.plans.keep import release, remove_stored  # noqa: E402
 from rillwater.session import local_session  # noqa: E402
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -24,6 +24,7 @@ def spark(tmp_path_factory):
 def drop_caches():
     yield
     release()
+    remove_stored()
 
 
 @pytest.fixture(scope="session")

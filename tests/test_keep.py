@@ -41,9 +41,3 @@ def test_stored_tables_have_no_lineage(spark):
     assert stored.columns == ["k", "id"] and stored.count() == 10
     plan = stored.where("k = 1")._jdf.queryExecution().executedPlan().toString()
     assert "Range" not in plan and "PartitionFilters" in plan
-
-
-def test_spread_leaves_wide_inputs_alone(spark):
-    wide = spark.range(0, 1000, 1, 64)
-    assert keep.spread(wide) is wide
-    assert keep.spread(spark.range(0, 1000, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -205,3 +205,33 @@ def test_importance_is_sorted(samples, spark):
     model = validation.fit_model(rows, features, registry.FOREST, {"n_estimators": 3, "max_depth": 3})
     table = validation.feature_importance(model, features, spark, n=1).collect()
     assert len(table) == 1 and table[0]["feature"] == "a"
+
+
+def test_unmapped_parameters_warn_and_too_deep_trees_are_an_error():
+    with pytest.warns(UserWarning, match="criterion"):
+        registry.make_estimator(registry.FOREST, {"criterion": "mae", "n_estimators": 3})
+    with pytest.warns(UserWarning, match="fit_intercept"):
+        registry.make_estimator(registry.LINEAR, {"fit_intercept": False})
+    with pytest.raises(ValueError, match="levels deep"):
+        registry.make_estimator(registry.FOREST, {"max_depth": 31})
+
+
+def test_sums_of_products_need_no_package_on_the_workers(tmp_path):
+    """A session started elsewhere, whose Python workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from rillwater.session import local_session
+from rillwater.operators.correlation import correlation_matrix
+spark = local_session("elsewhere", 2, 2, "1g")
+df = spark.range(50).selectExpr("cast(id as double) a", "cast(id * id as double) b")
+print(round(correlation_matrix(df, ["a", "b"]).first()["r"], 3))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("0.967"), done.stderr[-2000:]

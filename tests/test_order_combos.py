@@ -147,8 +147,6 @@ def test_combinations_without_rows_are_listed(spark):
     df = spark.createDataFrame([("s", 1.0, None, None)], "station_code string, y double, a double, b double")
     rows = combos.top_combinations(df, Roles(target="y"), ["a", "b"], [1, 2]).collect()
     assert sorted((r["combinacion"], r["filas_restantes"]) for r in rows) == [("a", 0), ("a, b", 0), ("b", 0)]
-    with pytest.raises(ValueError):
-        combos.combination_counts(df, [f"x{i}" for i in range(31)], [1])
 
 
 def test_scores_weigh_rows_and_correlation(gappy):
@@ -178,3 +176,22 @@ def test_elbow_of_a_sharp_bend(spark):
     assert combos.elbow(line, "k", "rows").where("is_elbow").count() == 0
     flat = spark.createDataFrame([(1, 5)], "k int, rows int")
     assert combos.elbow(flat, "k", "rows").where("is_elbow").count() == 0
+
+
+def test_few_sizes_of_many_variables(spark):
+    from itertools import combinations
+
+    from rillwater.config import Roles
+    from rillwater.operators import combos
+
+    names = [f"c{i}" for i in range(34)]
+    rows = [[None if (r * 7 + i * 3) % 5 == 0 else 1.0 for i in range(34)] for r in range(25)]
+    df = spark.createDataFrame([("s", 1.0, *r) for r in rows], "station_code string, target double, " + ", ".join(f"{n} double" for n in names))
+    got = combos.top_combinations(df, Roles(target="target"), names, [1, 2], n=3).collect()
+    for k in (1, 2):
+        counts = [(sum(all(r[i] is not None for i in c) for r in rows), ", ".join(names[i] for i in c)) for c in combinations(range(34), k)]
+        counts.sort(key=lambda x: -x[0])
+        best = [(r["filas_restantes"], r["combinacion"]) for r in sorted(got, key=lambda r: r["rank"]) if r["k"] == k]
+        assert best == counts[:3]
+    with pytest.raises(ValueError):
+        combos.combination_counts(spark.createDataFrame([(1, 1)], "mask long, n_rows long"), [f"c{i}" for i in range(63)], [1])

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from rillwater.config import Experiment
 from rillwater.operators import cleaning, summaries
@@ -116,3 +117,47 @@ def test_presence_of_columns_in_reports(spark):
     row = summaries.viability_report(df, Roles(target="t"), ["a"]).first()
     assert row.asDict() == {"station_code": "s", "basin": "b", "total_muestras": 1, "muestras_con_target": 0,
                             "t_pct_completo": 0.0, "a_pct_completo": 100.0}
+
+
+def test_all_lines_and_quoted_cells_of_a_summary_are_read(spark, tmp_path):
+    run = tmp_path / "EXP_1_20240101"
+    run.mkdir()
+    lines = [",R2_log,R2_log", ",mean,std", "model,,", '"a, ""b""",0.5,0.1'] + [f"m{i},{i},1" for i in range(1_000_010)]
+    (run / "summary_results.csv").write_text("\n".join(lines))
+    for name, text in (("EMPTY", ""), ("SHORT", ",a\n,b\n"), ("BARE", ",a\n,b\nmodel,\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary_results.csv").write_text(text)
+    found = discovery.discover_summaries(spark, str(tmp_path), ["R2_log_mean"])
+    assert found.count() == 1_000_011
+    assert found.where("experiment_id = 'EXP_1_20240101' and model = 'a, \"b\"' and R2_log_mean = 0.5").count() == 1
+    skipped = {r["experiment_id"]: r["reason"] for r in discovery.skipped_summaries(spark, str(tmp_path)).collect()}
+    assert skipped == {"EMPTY": "empty", "SHORT": "no data line", "BARE": "no figures"}
+
+
+def test_swapped_headers_are_an_error(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("A\tB\nx\ty\n1\t2\n")
+    (tmp_path / "b.tsv").write_text("B\tA\ny\tx\n3\t4\n")
+    with pytest.raises(ValueError, match="other headers"):
+        tables.read_two_headers(spark, str(tmp_path))
+    (tmp_path / "b.tsv").write_text("A\tB\nx\ty\n3\t4\n")
+    assert sorted(tuple(r) for r in tables.read_two_headers(spark, str(tmp_path)).collect()) == [("1", "2"), ("3", "4")]
+
+
+def test_half_written_results_are_built_again(spark, tmp_path):
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert sinks.cached_result(spark, str(tmp_path), ["k"], build).count() == 3
+    assert len(made) == 1
+    (folder,) = tmp_path.iterdir()
+    (folder / "_SUCCESS").unlink()
+    assert sinks.cached_result(spark, str(tmp_path), ["k"], build).count() == 3 and len(made) == 2
+
+
+def test_fingerprint_of_many_rows_does_not_overflow(spark):
+    large = spark.range(1_000_000).select(F.lit(1).alias("x"))
+    assert sinks.input_fingerprint(large) != sinks.input_fingerprint(large.limit(999_999))

@@ -32,7 +32,7 @@ def skewed(spark):
 PROBS = {"p0": 0.0, "p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99, "p100": 1.0}
 
 
-@pytest.mark.parametrize("strategy", ["direct", "bracketed"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked"])
 def test_quantiles_by_group_equal_pandas(skewed, strategy):
     frame, df = skewed
     found = quantiles.exact_quantiles(df, ["g"], ["x", "ties", "flat"], PROBS, strategy).collect()
@@ -46,7 +46,7 @@ def test_quantiles_by_group_equal_pandas(skewed, strategy):
                 assert r[name] == pytest.approx(values.quantile(p), rel=1e-12)
 
 
-@pytest.mark.parametrize("strategy", ["direct", "bracketed"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked"])
 def test_quantiles_of_everything_equal_pandas(skewed, strategy):
     frame, df = skewed
     for r in quantiles.exact_quantiles(df, (), ["x", "ties"], PROBS, strategy).collect():
@@ -57,19 +57,22 @@ def test_quantiles_of_everything_equal_pandas(skewed, strategy):
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 12, 99, 601])
 def test_small_groups_keep_their_ranks(spark, n):
     df = spark.range(n).select(F.lit("k").alias("g"), (F.col("id") * F.col("id")).cast("double").alias("x"))
-    row = quantiles.exact_quantiles(df, ["g"], ["x"], {"p90": 0.9, "p10": 0.1}, "bracketed").first()
+    row = quantiles.exact_quantiles(df, ["g"], ["x"], {"p90": 0.9, "p10": 0.1}, "ranked").first()
     want = pd.Series([float(i * i) for i in range(n)])
     assert row["p90"] == pytest.approx(want.quantile(0.9)) and row["p10"] == pytest.approx(want.quantile(0.1))
 
 
-def test_auto_chooses_by_the_largest_group(skewed, monkeypatch):
-    _, df = skewed
-    assert quantiles.choose(df, ["g"], "auto") == "direct"
-    monkeypatch.setattr(quantiles, "DIRECT_CELLS", 2000)
-    assert quantiles.choose(df, ["g"], "auto") == "bracketed"
+def test_groups_without_values_and_unknown_plans(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), (None, 3.0)], "g string, x double")
+    got = {r["g"]: r["m"] for r in quantiles.exact_quantiles(df, ["g"], ["x"], {"m": 0.5}).collect()}
+    assert got == {"a": 1.0, "b": None, None: 3.0}
+    none = quantiles.exact_quantiles(df.limit(0), (), ["x"], {"m": 0.5}).collect()
+    assert [(r["variable"], r["m"]) for r in none] == [("x", None)]
+    with pytest.raises(ValueError):
+        quantiles.exact_quantiles(df, ["g"], ["x"], {"m": 0.5}, "auto")
 
 
-@pytest.mark.parametrize("strategy", ["direct", "bracketed"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked"])
 def test_summary_of_one_and_no_values(spark, strategy):
     df = spark.createDataFrame([("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)], "station_code string, y double")
     rows = {r["station_code"]: r for r in summaries.station_summary(df, Roles(target="y"), ["y"], strategy=strategy).collect()}
@@ -136,7 +139,7 @@ def test_correlation_of_an_empty_table(spark):
     assert [r["r"] for r in correlation.correlation_matrix(df, ["a", "b"]).collect()] == [None]
 
 
-@pytest.mark.parametrize("quantile_plan", ["direct", "bracketed"])
+@pytest.mark.parametrize("quantile_plan", ["direct", "ranked"])
 def test_outlier_rules(spark, quantile_plan):
     df = spark.createDataFrame([(float(x), 5.0, None) for x in [*range(20), 1000]] + [(None, 5.0, None)],
                                "x double, flat double, empty double")
