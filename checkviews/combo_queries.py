@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from checkviews.catalog import query, rounded
 from checkviews.views import ROLES, VARIABLES, r, sql, wq
 from rillwater.operators import combos
@@ -65,3 +67,22 @@ ORDER BY 0.5 * nu + 0.5 * cu DESC, combinacion_wq LIMIT 15"""))
 def combo_score(spark, sf_dir):
     scored = combos.scored_combinations(wq(spark, sf_dir), ROLES, VARIABLES, (2, 3, 4, 5))
     return rounded(combos.best_scores(scored), 6)
+
+
+# Fourteen variables, of which pairs and triples are sought.
+_MANY = tuple(f"c{i}" for i in range(14))
+_gap = lambda i: f"(l_partkey * {i + 3} + l_linenumber * {2 * i + 1}) % {i % 5 + 2}"
+_many_mask = " + ".join(f"CASE WHEN {_gap(i)} <> 0 THEN {1 << (13 - i)} ELSE 0 END" for i in range(14))
+_many_names = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN s & {1 << (13 - i)} <> 0 THEN '{v}' END" for i, v in enumerate(_MANY)) + ")"
+
+
+@query("combo_topk_many", sql("wq", f"""
+ masks AS (SELECT {_many_mask} AS m, count(*) AS n FROM wq WHERE target IS NOT NULL GROUP BY 1)""", """
+ wanted AS (SELECT s, bit_count(CAST(s AS BIGINT)) AS k FROM range(1, 16384) t(s) WHERE bit_count(CAST(s AS BIGINT)) IN (2, 3))""", """
+ counts AS (SELECT s, k, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM wanted LEFT JOIN masks ON m & s = s GROUP BY s, k)""", RANKED, f"""
+SELECT CAST(k AS BIGINT) AS k, place AS rank, {_many_names} AS combinacion, n AS filas_restantes FROM ranked WHERE place <= 10"""))
+def combo_topk_many(spark, sf_dir):
+    rows = wq(spark, sf_dir)
+    rows = rows.select("station_code", "target", *[F.when(F.expr(_gap(i)) != 0, 1.0).alias(v) for i, v in enumerate(_MANY)])
+    return rounded(combos.top_combinations(rows, ROLES, _MANY, (2, 3)))

@@ -279,6 +279,19 @@ def robust_filter(spark, sf_dir):
         F.count("v1").alias("n_v1")).withColumn("features", F.lit(", ".join(done.features)))
 
 
+@query("robust_filter_audit", sql("wq", f"""counts AS (SELECT station_code, count(*) AS n, count(target) AS n_target,
+ {', '.join(f'count({v}) AS all_{v}' for v in VARIABLES)}, {_with_target} FROM wq GROUP BY station_code)""",
+    f"kept AS ({_kept})", f"""
+SELECT CAST(1 AS BIGINT) AS stage, 'station' AS kind, station_code AS name FROM counts WHERE n_target < {ROBUST.min_samples_target}
+UNION ALL SELECT 2, 'variable', v FROM (SELECT unnest([{', '.join(f"'{v}'" for v in VARIABLES)}]) AS v)
+ WHERE v NOT IN (SELECT variable FROM kept)
+UNION ALL SELECT 3, 'station', station_code FROM counts
+ WHERE n_target >= {ROBUST.min_samples_target} AND NOT {_solid} >= {ROBUST.k_min_features}"""))
+def robust_filter_audit(spark, sf_dir):
+    """Stations and variables that each stage of the robust filter takes out."""
+    return rounded(filters.robust_filter(wq(spark, sf_dir), ROLES, list(VARIABLES), ROBUST).dropped)
+
+
 _CHECKED = ("target", "v1", "v4", "v6")
 _scale = lambda c: f"ln(1 + {c})" if c == "target" else c
 _back = lambda c, e: f"exp({e}) - 1" if c == "target" else e
@@ -332,7 +345,7 @@ def outliers_iqr_remove(spark, sf_dir):
 
 @query("outliers_iqr_winsorize", _treated_sql(_iqr_bounds_sql(), "winsorize"))
 def outliers_iqr_winsorize(spark, sf_dir):
-    return _treated(spark, sf_dir, "iqr", "winsorize", quantiles="bracketed")
+    return _treated(spark, sf_dir, "iqr", "winsorize", quantiles="ranked")
 
 
 @query("outliers_mad_remove", _treated_sql(_mad_bounds_sql(), "remove"))
@@ -342,7 +355,7 @@ def outliers_mad_remove(spark, sf_dir):
 
 @query("outliers_mad_winsorize", _treated_sql(_mad_bounds_sql(), "winsorize"))
 def outliers_mad_winsorize(spark, sf_dir):
-    return _treated(spark, sf_dir, "mad", "winsorize", quantiles="bracketed")
+    return _treated(spark, sf_dir, "mad", "winsorize", quantiles="ranked")
 
 
 @query("outlier_bounds", sql("wq", _iqr_bounds_sql(), f"""

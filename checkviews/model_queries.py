@@ -6,17 +6,19 @@ from pyspark.sql import functions as F
 
 from checkviews.catalog import query, rounded
 from checkviews.feature_queries import basin_table
-from checkviews.views import BASIN_PARAMETERS, KEY, ROLES, r, scores_sql, sql, wq
+from checkviews.views import BASIN_PARAMETERS, KEY, ROLES, r, scores_sql, sql, table, wq
 from rillwater.config import Experiment
 from rillwater.models.clusters import station_clusters
 from rillwater.models.registry import BOOSTING, FOREST, LINEAR, PREDICTION, RIDGE
-from rillwater.models.search import grid_search, random_search
+from rillwater.models.search import grid_search, random_search, random_trials
 from rillwater.models.validation import (feature_importance, fit_model, forward_validation,
                                          model_rows, predict, predictions_over_time,
                                          shuffled_validation, sorted_model_rows)
-from rillwater.operators.ordering import shuffled_fold
+from rillwater.operators.ordering import digest_fold, shuffled_fold
 from rillwater.operators.reports import kfold_rmse
+from rillwater.plans.keep import scratch
 from rillwater.plans.runs import all_results, run_experiment, run_per_cluster
+from rillwater.sources import sinks
 
 SPLITS = 3
 _ORDER = ", ".join(ROLES.sample_order)
@@ -189,3 +191,148 @@ def cluster_runs(spark, sf_dir):
     return rounded(all_results(runs).drop("training_time_secs"))
 
 
+# Trees can learn a function of one column with seven values without error, whatever else they
+# are given. So their scores and importances follow from the data and can be stated in SQL.
+def _by_line(spark, sf_dir):
+    rows = wq(spark, sf_dir).withColumn("line", F.col("l_linenumber").cast("double"))
+    return rows.withColumn("target", F.col("line") * F.lit(100.0) + (F.col("line") % 3) * F.lit(7.0))
+
+
+def _by_line_sql(splits):
+    used, _ = _model_sql("v1")
+    return (used.replace("FROM wq WHERE target IS NOT NULL AND v1", "FROM lined WHERE target IS NOT NULL AND v1"), f"""
+ ranges AS (SELECT f AS fold, n - ({splits} - f + 1) * t AS start, n - ({splits} - f) * t AS stop
+ FROM (SELECT count(*) AS n, count(*) // {splits + 1} AS t FROM used), range(1, {splits + 1}) folds(f))""")
+
+
+_LINED = """lined AS (SELECT * EXCLUDE (target), CAST(l_linenumber AS DOUBLE) AS line,
+ l_linenumber * CAST(100 AS DOUBLE) + (l_linenumber % 3) * CAST(7 AS DOUBLE) AS target FROM wq)"""
+# A value of the column is predicted by its own mean in the rows before, which is exact.
+_EXACT = lambda splits: (*_by_line_sql(splits), """
+ means AS (SELECT fold, line, avg(y) AS p FROM ranges JOIN used ON row_idx < start GROUP BY fold, line)""", """
+ tested AS (SELECT ranges.fold, y, p FROM ranges JOIN used ON row_idx >= start AND row_idx < stop
+ JOIN means ON means.fold = ranges.fold AND means.line = used.line)""", f"""
+ scored AS (SELECT fold, {scores_sql()} FROM tested GROUP BY fold)""")
+
+
+def _fold_sql(splits, model):
+    return sql("wq", _LINED, *_EXACT(splits), f"""
+SELECT CAST(fold AS BIGINT) AS fold, '{model}' AS model, {r('R2', 6)} AS R2_log, {r('NSE', 6)} AS NSE_log,
+ {r('abs(RMSE)', 6)} AS RMSE_log, {r('abs(PBIAS)', 6)} AS PBIAS_log FROM scored""")
+
+
+def _fold_scores(results):
+    return rounded(results.select("fold", "model", "R2_log", "NSE_log", F.abs("RMSE_log").alias("RMSE_log"),
+                                  F.abs("PBIAS_log").alias("PBIAS_log")), 6)
+
+
+@query("forest_cv_exact", _fold_sql(SPLITS, FOREST))
+def forest_cv_exact(spark, sf_dir):
+    done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
+    return _fold_scores(forward_validation(done, features, FOREST, SMALL_FOREST, SPLITS).results)
+
+
+@query("boosting_cv_exact", _fold_sql(2, BOOSTING))
+def boosting_cv_exact(spark, sf_dir):
+    done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
+    return _fold_scores(forward_validation(done, features, BOOSTING, {"n_estimators": 5, "max_depth": 4, "random_state": 42}, 2).results)
+
+
+@query("feature_importance_exact", sql("wq", _LINED, *_by_line_sql(SPLITS), f"""
+ shares AS (SELECT 'line' AS feature, var_pop(y) - (SELECT sum(n * v) / sum(n) FROM (SELECT count(*) AS n, var_pop(y) AS v FROM used GROUP BY line)) AS part,
+  var_pop(y) AS whole FROM used)""", f"""
+SELECT feature, {r('part / whole', 6)} AS importance FROM shares UNION ALL
+SELECT 'v1', {r('1 - part / whole', 6)} FROM shares"""))
+def feature_importance_exact(spark, sf_dir):
+    rows, features = model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
+    return rounded(feature_importance(fit_model(rows, features, FOREST, SMALL_FOREST), features, spark), 6)
+
+
+_FOREST_GRID = {"n_estimators": [4], "max_depth": [4, 5], "min_samples_leaf": [1, 2]}
+_FOREST_SPACE = {"n_estimators": (3, 6), "max_depth": (4, 6)}
+_RANDOM_TRIALS = [", ".join(f"{k}={v}" for k, v in t.items()) for t in random_trials(_FOREST_SPACE, 3)]
+
+
+def _trial_sql(params):
+    listed = ", ".join(f"'{p}'" for p in params)
+    return sql("wq", _LINED, *_EXACT(2), f" trials AS (SELECT unnest([{listed}]) AS params, unnest(range({len(params)})) AS trial)", f"""
+SELECT trial, params, {r('mean_r2', 6)} AS mean_r2, row_number() OVER (ORDER BY round(mean_r2, 9) DESC, trial) AS rank
+FROM trials, (SELECT avg(R2) AS mean_r2 FROM scored)""")
+
+
+@query("grid_search_forest_exact", _trial_sql([f"max_depth={d}, min_samples_leaf={m}, n_estimators=4" for d in (4, 5) for m in (1, 2)]))
+def grid_search_forest_exact(spark, sf_dir):
+    done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
+    return rounded(grid_search(done, features, FOREST, _FOREST_GRID, 2).trials, 6)
+
+
+@query("random_search_forest_exact", _trial_sql(_RANDOM_TRIALS))
+def random_search_forest_exact(spark, sf_dir):
+    done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
+    return rounded(random_search(done, features, FOREST, _FOREST_SPACE, 3, 2).trials, 6)
+
+
+_FOLD_KEY = KEY[:4]  # whole numbers, which all engines write alike
+_KEY_TEXT = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in _FOLD_KEY)
+_DIGEST_FOLD = f"CAST('0x' || substr(md5({_KEY_TEXT}), 1, 8) AS BIGINT) % 5 + 1"
+
+
+@query("digest_folds", sql("wq", f"SELECT {_DIGEST_FOLD} AS fold, count(*) AS n_rows, sum(l_orderkey) AS keys FROM wq GROUP BY 1"))
+def digest_folds(spark, sf_dir):
+    rows = wq(spark, sf_dir).withColumn("fold", digest_fold(_FOLD_KEY, 5))
+    return rounded(rows.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("l_orderkey").alias("keys")))
+
+
+@query("shuffled_cv_digest", sql("wq", f"""
+ used AS (SELECT *, ln(1 + target) AS y, {_DIGEST_FOLD} AS part FROM wq WHERE target IS NOT NULL AND v1 IS NOT NULL)""", """
+ folds AS (SELECT unnest(range(1, 6)) AS fold)""", """
+ fits AS (SELECT fold, regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept FROM folds JOIN used ON part <> fold GROUP BY fold)""", """
+ tested AS (SELECT fold, y, intercept + slope * v1 AS p FROM used JOIN fits ON part = fold)""", f"""
+ scored AS (SELECT fold, {scores_sql()} FROM tested GROUP BY fold)""", f"""
+SELECT CAST(fold AS BIGINT) AS fold, {r('R2', 6)} AS R2_log, {r('RMSE', 6)} AS RMSE_log FROM scored"""))
+def shuffled_cv_digest(spark, sf_dir):
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v1"])
+    folded = rows.withColumn("fold", digest_fold(_FOLD_KEY, 5))
+    return rounded(shuffled_validation(folded, features, LINEAR, "fold", 5).select("fold", "R2_log", "RMSE_log"), 6)
+
+
+def _planted_basins(spark, sf_dir, groups):
+    """Basin features of suppliers in groups that lie far apart."""
+    group = F.col("s_suppkey") % groups
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("station_code"),
+                                                  (group * 100.0).alias("basin_area_a"), (group * 3.0 + 1).alias("mean_slope"))
+
+
+@query("station_clusters_planted", "SELECT 'S' || s_suppkey AS station_code, CAST(s_suppkey % 3 AS BIGINT) AS cluster_id FROM supplier")
+def station_clusters_planted(spark, sf_dir):
+    return rounded(station_clusters(_planted_basins(spark, sf_dir, 3), 3, ("basin_area_a", "mean_slope")))
+
+
+@query("cluster_runs_planted", sql("wq", f"""
+ used AS (SELECT *, ln(1 + target) AS y, l_suppkey % 2 AS cluster_id,
+  row_number() OVER (PARTITION BY l_suppkey % 2 ORDER BY {_ORDER}) - 1 AS row_idx FROM wq WHERE target IS NOT NULL AND v1 IS NOT NULL)""", """
+ ranges AS (SELECT cluster_id, f AS fold, n - (2 - f + 1) * t AS start, n - (2 - f) * t AS stop
+ FROM (SELECT cluster_id, count(*) AS n, count(*) // 3 AS t FROM used GROUP BY 1), range(1, 3) folds(f))""", """
+ fits AS (SELECT ranges.cluster_id, fold, regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept
+ FROM ranges JOIN used ON ranges.cluster_id = used.cluster_id AND row_idx < start GROUP BY ALL)""", """
+ tested AS (SELECT ranges.cluster_id, ranges.fold, y, intercept + slope * v1 AS p FROM ranges JOIN fits USING (cluster_id, fold)
+ JOIN used ON ranges.cluster_id = used.cluster_id AND row_idx >= start AND row_idx < stop)""", f"""
+ scored AS (SELECT cluster_id, fold, {scores_sql()} FROM tested GROUP BY ALL)""", f"""
+SELECT CAST(cluster_id AS BIGINT) AS cluster_id, CAST(fold AS BIGINT) AS fold, {r('R2', 6)} AS R2_log, {r('RMSE', 6)} AS RMSE_log FROM scored"""))
+def cluster_runs_planted(spark, sf_dir):
+    exp = Experiment("LINEAR_PLANTED", LINEAR, ("v1",), time_series_splits=2, n_clusters=2, cluster_features=("basin_area_a", "mean_slope"))
+    runs = run_per_cluster(wq(spark, sf_dir), _planted_basins(spark, sf_dir, 2), exp, ROLES)
+    return rounded(all_results(runs).select("cluster_id", "fold", "R2_log", "RMSE_log"), 6)
+
+
+@query("saved_model", sql("wq", *_model_sql("v1"), f"""
+ line AS (SELECT regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept FROM used)""", f"""
+SELECT date, {r('y', 6)} AS actual, {r('intercept + slope * v1', 6)} AS predicted FROM used, line"""))
+def saved_model(spark, sf_dir):
+    """A fitted pipeline and its features, saved, loaded and used."""
+    path = scratch(spark, "model")
+    rows, features = model_rows(wq(spark, sf_dir), ROLES, ["v1"])
+    sinks.save_model(fit_model(rows, features, LINEAR), path, features)
+    model, names = sinks.load_model(spark, path)
+    assert names == features
+    return rounded(predictions_over_time(predict(model, rows), "date"), 6)

@@ -55,7 +55,7 @@ def describe_numeric(spark, sf_dir):
     for c in ("target", "v4"))))
 def quantiles(spark, sf_dir):
     return rounded(exact_quantiles(wq(spark, sf_dir), ["basin"], ["target", "v4"],
-                                   {"p01": 0.01, "p90": 0.9, "top": 1.0}, "bracketed"))
+                                   {"p01": 0.01, "p90": 0.9, "top": 1.0}, "ranked"))
 
 
 _TEXTS = ("station_code", "basin", "raw_v1", "empty_text")

@@ -88,6 +88,7 @@ class RobustFilter:
     rows: DataFrame
     stations: DataFrame
     features: list[str]
+    dropped: DataFrame  # (stage, kind, name): what each stage takes out
 
 
 def robust_filter(df: DataFrame, roles: Roles, feature_set: Sequence[str],
@@ -109,15 +110,22 @@ def robust_filter(df: DataFrame, roles: Roles, feature_set: Sequence[str],
     seen = row[0] or 0
     kept = [i for i in range(len(water))
             if seen and 100.0 * (row[i + 1] or 0) / seen >= params.completeness_global]
-    stations = first
+    stations, sparse = first, first.limit(0)
     if kept:
         solid = total([F.when(F.col(f"all{i}") * F.lit(100.0) / F.col("n")
                               >= params.completeness_station, 1).otherwise(0) for i in kept])
-        stations = first.where(solid >= params.k_min_features)
+        stations, sparse = (first.where(solid >= params.k_min_features),
+                            first.where(solid < params.k_min_features))
     stations = stations.select(roles.station)
     wanted = set(feature_set)
     chosen = [water[i] for i in kept] + existing(df, extra)
     features = [f for f in chosen if f in wanted]
     columns = list(dict.fromkeys([*existing(df, roles.metadata), roles.target, *features]))
     rows = df.join(settle(stations), roles.station, "left_semi").select(*columns)
-    return RobustFilter(rows, stations.orderBy(roles.station), sorted(features))
+    lost = [water[i] for i in range(len(water)) if i not in kept]
+    named = lambda table, stage: table.select(F.lit(stage).alias("stage"), F.lit("station").alias("kind"),
+                                              F.col(roles.station).alias("name"))
+    variables = df.sparkSession.createDataFrame([(2, "variable", v) for v in lost], "stage int, kind string, name string")
+    dropped = (named(counts.where(F.col("n_target") < params.min_samples_target), 1)
+               .unionByName(variables).unionByName(named(sparse, 3)))
+    return RobustFilter(rows, stations.orderBy(roles.station), sorted(features), dropped)

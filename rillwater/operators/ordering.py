@@ -146,6 +146,12 @@ def shuffled_fold(key: Sequence[str], folds: int, seed: int = 42) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in key]), F.lit(folds)) + 1).cast("int")
 
 
+def digest_fold(key: Sequence[str], folds: int) -> Column:
+    """Fold 1..k of a row by the MD5 digest of its key, which other engines can compute too."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key])
+    return (F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(folds)) + 1).cast("int")
+
+
 def holdout_part(index: Column, n_rows: int, test_share: float = 0.2) -> Column:
     """``test`` for the last share of the ordered rows, else ``train``."""
     n_test = -int(-(n_rows * test_share) // 1)
