@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwater.llm.tables import col
+from rillwater.llm.tables import col, written
 
 NONE, POOLED = "(none)", "(other)"
 KINDS = ("source", "lang", "topic")
@@ -30,8 +30,13 @@ KINDS = ("source", "lang", "topic")
 def topic_of(text: Column) -> Column:
     """A coarse topic by fixed marks of a text; the first that holds."""
     text = F.coalesce(text, F.lit(""))
-    return (F.when(text.rlike(r"(?i)licen[sc]ed?\b|all rights reserved|copyright"), "legal")
-            .when(text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.|\+[0-9][0-9 ().-]{8}"), "contact")
+    low = F.lower(text)
+    legal = [F.contains(low, F.lit(w)) for w in ("license", "licence", "all rights reserved", "copyright")]
+    # The plain searches spare most texts the patterns.
+    address = F.contains(text, F.lit("@")) & text.rlike(r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]+\.")
+    number = F.contains(text, F.lit("+")) & text.rlike(r"\+[0-9][0-9 ().-]{8}")
+    return (F.when(legal[0] | legal[1] | legal[2] | legal[3], "legal")
+            .when(address | number, "contact")
             .when(text.rlike(r"[!*$%&#]{2}"), "noise")
             .when(F.length(text) < 600, "note")
             .when(F.length(text) < 6000, "article").otherwise("long form"))
@@ -69,9 +74,10 @@ def cell_probabilities(docs: DataFrame, kinds: dict[str, Column], tokens: Column
     names = list(kinds)
     given = docs.select(*[F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in kinds.items()], tokens.alias("tokens"))
     own: dict[str, list[str]] = {}
-    pooled = given
-    sums = given.groupBy(*names).agg(F.sum("tokens").alias("tokens"))
-    total = given.agg(F.sum("tokens")).first()[0] or 0
+    # The texts are read once for this; all else is made from the sums by category.
+    sums = written(given.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "token-sums")
+    total = sums.agg(F.sum("tokens")).first()[0] or 0
+    pooled = sums
     for n in names:
         large = sums.groupBy(n).agg(F.sum("tokens").alias("tokens")).where(F.col("tokens") >= max(1.0, least_share * total))
         own[n] = sorted(r[n] for r in large.select(n).collect())  # at most 1 / least_share
@@ -107,7 +113,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     own, cells = cell_probabilities(docs, kinds, tokens, **settings)
     grouped = {n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in kinds.items()}
     rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), F.xxhash64(col(id_col), F.lit(seed)).alias("draw"), tokens.alias("tokens"),
-                       *[F.when(c.isin(own[n]), c).otherwise(POOLED).alias(n) for n, c in grouped.items()])
+                       *[c.alias(n) for n, c in grouped.items()])
+    rows = rows.withColumns({n: F.when(F.col(n).isin(own[n]), F.col(n)).otherwise(POOLED) for n in KINDS})
     table = spark.createDataFrame(cells, "source string, lang string, topic string, cell_tokens bigint, cell_kept double, probability double")
     joined = rows.join(F.broadcast(table), list(KINDS))  # bounded by the number of categories
     share = F.shiftrightunsigned("draw", 11) / F.lit(float(1 << 53))
