@@ -103,8 +103,8 @@ def samples(spark, sf_dir):
     return rows.drop("station_code").withColumnRenamed("station_raw", "station_code")
 
 
-def basin_table(spark, sf_dir):
-    return basins.pivot_parameters(basin_long(spark, sf_dir), ["station_code", "basin"], "line",
+def basin_table(spark, sf_dir, holes=True):
+    return basins.pivot_parameters(basin_long(spark, sf_dir, holes), ["station_code", "basin"], "line",
                                    BASIN_PARAMETERS)
 
 
@@ -159,10 +159,10 @@ def enriched_station_summary(spark, sf_dir):
     return summaries.station_summary(rows, ROLES, list(_FLAGSHIP))
 
 
-@query("basin_pivot", sql("basin", f"""
+@query("basin_pivot", sql("basin_all", f"""
 SELECT station_code, basin, {', '.join(f'{r(c)} AS {c}' for c in BASIN_PARAMETERS)} FROM basin_wide"""))
 def basin_pivot(spark, sf_dir):
-    long = basin_long(spark, sf_dir)
+    long = basin_long(spark, sf_dir, holes=False)
     return rounded(basins.pivot_parameters(long, ["station_code", "basin"], "line",
                                            basins.parameter_names(long)))
 

@@ -51,13 +51,13 @@ def two_header_scan(spark, sf_dir):
     return rounded(weather.temperature_features(read, names=TEMP_NAMES))
 
 
-@query("basin_file_scan", sql("basin", f"""
+@query("basin_file_scan", sql("basin_all", f"""
 SELECT station_code, 'Otras Cuencas' AS basin, 'EPSG:32721' AS crs,
  {', '.join(f'{r(c)} AS {c}' for c in BASIN_PARAMETERS)} FROM basin_wide"""))
 def basin_file_scan(spark, sf_dir):
     """Parameter files found at any depth, station from the file path, pivoted."""
     path = scratch(spark, "parameters")
-    long = basin_long(spark, sf_dir)
+    long = basin_long(spark, sf_dir, holes=False)
     (long.select(F.concat(F.lit("report_"), "station_code").alias("file"), "Parameter", "Value",
                  F.lit("POINT (0 0)").alias("geometry"), F.lit("EPSG:32721").alias("crs"), "line")
      .repartition("file").sortWithinPartitions("file", "line").drop("line")

@@ -142,7 +142,7 @@ def shuffled_cv(spark, sf_dir):
 
 @query("station_clusters")
 def clusters(spark, sf_dir):
-    return rounded(station_clusters(basin_table(spark, sf_dir), 3, BASIN_PARAMETERS))
+    return rounded(station_clusters(basin_table(spark, sf_dir, holes=False), 3, BASIN_PARAMETERS))
 
 
 _RIDGE_RUN = Experiment("RIDGE_v4", RIDGE, ("v1", "v4"), search="grid",
@@ -187,7 +187,7 @@ def experiment_run(spark, sf_dir):
 def cluster_runs(spark, sf_dir):
     exp = Experiment("LINEAR_BY_CLUSTER", LINEAR, ("v1",), time_series_splits=2, n_clusters=2,
                      cluster_features=BASIN_PARAMETERS)
-    runs = run_per_cluster(wq(spark, sf_dir), basin_table(spark, sf_dir), exp, ROLES)
+    runs = run_per_cluster(wq(spark, sf_dir), basin_table(spark, sf_dir, holes=False), exp, ROLES)
     return rounded(all_results(runs).drop("training_time_secs"))
 
 

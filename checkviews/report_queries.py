@@ -164,11 +164,11 @@ def union_results(spark, sf_dir):
                         F.count("R2_log").alias("n_r2")))
 
 
-@query("cluster_profile", sql("basin", f"""
+@query("cluster_profile", sql("basin_all", f"""
 SELECT CAST(substr(station_code, 2) AS BIGINT) % 3 AS cluster_id,
  {', '.join(f"{r(f'avg({c})', 2)} AS {c}" for c in BASIN_PARAMETERS)} FROM basin_wide GROUP BY 1"""))
 def cluster_profile(spark, sf_dir):
-    basins = basin_table(spark, sf_dir)
+    basins = basin_table(spark, sf_dir, holes=False)
     clusters = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("station_code"),
         (F.col("s_suppkey") % 3).alias("cluster_id"))

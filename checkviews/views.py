@@ -107,12 +107,14 @@ TEMP = "temp AS (SELECT o_orderdate AS date, " + ", ".join(
     " GROUP BY o_orderdate)")
 
 
-def basin_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basin parameters in long form; stations ending in 3 have none.
+def basin_long(spark: SparkSession, sf_dir: str, holes: bool = True) -> DataFrame:
+    """Basin parameters in long form; with ``holes`` stations ending in 3 have none, for the
+    checks of unmatched and inherited rows.
 
     Every parameter is stated twice; the second statement is the one that counts.
     """
-    wide = (table(spark, sf_dir, "lineitem").where(F.col("l_suppkey") % 10 != 3)
+    lines = table(spark, sf_dir, "lineitem")
+    wide = ((lines.where(F.col("l_suppkey") % 10 != 3) if holes else lines)
             .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
             .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
             .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -135,6 +137,8 @@ BASIN = """basin_wide AS (
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
  JOIN nation ON s_nationkey = n_nationkey WHERE l_suppkey % 10 <> 3 GROUP BY 1, 2)"""
 
+BASIN_ALL = BASIN.replace(" WHERE l_suppkey % 10 <> 3", "")
+
 
 def inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations ending in 3 copy their neighbour; plus a child that exists (S5)
@@ -211,7 +215,7 @@ fold_results AS (
   CASE WHEN n % 2 = 0 THEN 'OK' WHEN n % 7 = 0 THEN 'Not Converged' ELSE 'N/A' END AS convergence_status
  FROM fold_scores)"""
 
-_NEEDS = {"wq": [WQ], "rain": [RAIN], "temp": [TEMP], "basin": [BASIN],
+_NEEDS = {"wq": [WQ], "rain": [RAIN], "temp": [TEMP], "basin": [BASIN], "basin_all": [BASIN_ALL],
           "inherited": [BASIN, INHERITED], "pred": [WQ, PRED], "folds": [WQ, PRED, FOLDS]}
 
 
