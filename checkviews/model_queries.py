@@ -18,7 +18,7 @@ from rillwater.operators.ordering import digest_fold, shuffled_fold
 from rillwater.operators.reports import kfold_rmse
 from rillwater.plans.keep import scratch
 from rillwater.plans.runs import all_results, run_experiment, run_per_cluster
-from rillwater.sources import sinks
+from rillwater.sources import discovery, sinks
 
 SPLITS = 3
 _ORDER = ", ".join(ROLES.sample_order)
@@ -325,6 +325,23 @@ def cluster_runs_planted(spark, sf_dir):
     return rounded(all_results(runs).select("cluster_id", "fold", "R2_log", "RMSE_log"), 6)
 
 
+@query("run_report_roundtrip", sql("wq", *_model_sql("v1"), """
+ fits AS (SELECT fold, regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept
+ FROM ranges JOIN used ON row_idx < start GROUP BY fold)""", """
+ tested AS (SELECT ranges.fold, y, intercept + slope * v1 AS p FROM ranges JOIN fits USING (fold)
+ JOIN used ON row_idx >= start AND row_idx < stop)""", f"""
+ scored AS (SELECT fold, {scores_sql()} FROM tested GROUP BY fold)""", f"""
+SELECT 'LINEAR_REPORT_1' AS experiment_id, 'Linear Regression' AS model, {r('avg(R2)')} AS R2_log_mean, {r('avg(RMSE)')} AS RMSE_log_mean,
+ {r('stddev_samp(RMSE)')} AS RMSE_log_std FROM scored"""))
+def run_report_roundtrip(spark, sf_dir):
+    """A run saved with a stamp, its two-header summary found again below the folder of all runs."""
+    path = scratch(spark, "saved-runs")
+    exp = Experiment("LINEAR_REPORT", LINEAR, ("v1",), time_series_splits=SPLITS)
+    run_experiment(wq(spark, sf_dir), exp, ROLES).save(path, ROLES, "1")
+    return discovery.discover_summaries(spark, f"{path}/*/{discovery.SUMMARY_FILE}", ["R2_log_mean", "RMSE_log_mean", "RMSE_log_std"], "part-*", 2) \
+        .select("experiment_id", "model", "R2_log_mean", "RMSE_log_mean", "RMSE_log_std")
+
+
 @query("saved_model", sql("wq", *_model_sql("v1"), f"""
  line AS (SELECT regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept FROM used)""", f"""
 SELECT date, {r('y', 6)} AS actual, {r('intercept + slope * v1', 6)} AS predicted FROM used, line"""))

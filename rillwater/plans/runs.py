@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -19,9 +20,9 @@ from rillwater.models.validation import (RESULT_SCHEMA, feature_importance, fit_
                                          sorted_model_rows)
 from rillwater.operators.cleaning import existing
 from rillwater.operators.filters import complete_cases, min_station_rows
-from rillwater.operators.reports import fold_summary, group_scores, regression_line, union_results
+from rillwater.operators.reports import experiment_comparison, fold_summary, group_scores, regression_line, union_results
 from rillwater.plans.keep import settle, store
-from rillwater.sources import sinks
+from rillwater.sources import discovery, sinks
 
 log = logging.getLogger(__name__)
 
@@ -53,15 +54,21 @@ class Run:
             return None
         return feature_importance(self.model, self.features, self.used_rows.sparkSession)
 
-    def save(self, folder: str, roles: Roles) -> None:
-        """Snapshot, fold results, summary, spatial report and model below ``folder``."""
-        base = f"{folder.rstrip('/')}/{self.experiment.id}"
+    def save(self, folder: str, roles: Roles, stamp: str | None = None) -> str:
+        """Snapshot, fold results, summaries, spatial report and model below ``folder``.
+
+        The run's folder is the experiment's id and a time stamp, so no run takes the place
+        of an earlier one. The two-header summary is what ``discover_summaries`` looks for.
+        """
+        base = f"{folder.rstrip('/')}/{self.experiment.id}_{stamp or time_stamp()}"
         sinks.write_csv(sinks.snapshot(self.used_rows, roles, self.features),
                         f"{base}/datos_usados_en_modelo")
         sinks.write_csv(self.results, f"{base}/folds")
         sinks.write_csv(self.summary(), f"{base}/summary")
+        sinks.write_two_headers(self.summary(), "model", f"{base}/{discovery.SUMMARY_FILE}")
         sinks.write_csv(self.spatial(roles), f"{base}/rendimiento")
         sinks.save_model(self.model, f"{base}/models", self.features)
+        return base
 
 
 def run_experiment(base: DataFrame, exp: Experiment, roles: Roles,
@@ -132,3 +139,16 @@ def run_all(base: DataFrame, basins: DataFrame | None, experiments: Sequence[Exp
 
 def all_results(runs: Sequence[Run]) -> DataFrame:
     return union_results([r.results for r in runs])
+
+
+def save_reports(runs: Sequence[Run], folder: str, stamp: str | None = None) -> str:
+    """The two tables of a whole session: every fold of every run, and the comparison of experiments."""
+    base = f"{folder.rstrip('/')}/reports_{stamp or time_stamp()}"
+    results = store(all_results(runs), "results")
+    sinks.write_csv(results, f"{base}/detailed")
+    sinks.write_csv(experiment_comparison(results), f"{base}/comparison")
+    return base
+
+
+def time_stamp() -> str:
+    return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")

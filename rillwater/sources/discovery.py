@@ -88,8 +88,11 @@ def skipped_summaries(spark: SparkSession, root: str, files: str = SUMMARY_FILE)
 
 
 def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str],
-                       files: str = SUMMARY_FILE) -> DataFrame:
-    """Every two-header summary below ``root``; the folder name is the run.
+                       files: str = SUMMARY_FILE, levels_up: int = 1) -> DataFrame:
+    """Every two-header summary below ``root``; the name of a folder above it is the run.
+
+    Summaries saved by ``Run.save`` are folders of that name: give ``<root>/*/summary_results.csv``,
+    ``part-*`` and two levels.
 
     The files hold one line per model. A file without the two headers and a data
     line gives no rows (see ``skipped_summaries``). Cells may be quoted. ``metrics``
@@ -98,7 +101,7 @@ def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str],
     names = F.transform(F.arrays_zip(_cells(F.col("h1")).alias("a"), _cells(F.col("h2")).alias("b")),
                         lambda h: F.concat(F.trim(h["a"]), F.lit("_"), F.trim(h["b"])))
     data = (_summary_lines(spark, root, files).where((F.col("at") > F.col("until")) & _figures(F.col("line")))
-            .select(folder_name(F.col("file")).alias("experiment_id"), names.alias("names"), _cells(F.col("line")).alias("cells")))
+            .select(folder_name(F.col("file"), levels_up).alias("experiment_id"), names.alias("names"), _cells(F.col("line")).alias("cells")))
     value = lambda m: F.try_element_at(F.col("cells"), F.array_position("names", m).cast("int"))
     known = lambda m: F.array_position("names", m) > 0
     return data.select(F.trim(F.col("cells")[0]).alias("model"), "experiment_id", *[

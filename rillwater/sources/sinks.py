@@ -26,6 +26,20 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_two_headers(df: DataFrame, index: str, path: str) -> None:
+    """One line per row under two header lines: the name before the last underscore, and the rest.
+
+    For reports of a few rows, which go into one file.
+    """
+    names = [c for c in df.columns if c != index]
+    heads = [[c.rpartition("_")[k] for c in names] for k in (0, 2)]
+    top = "\n".join([",".join(["", *h]) for h in heads] + [index + "," * len(names)])
+    quoted = F.concat(F.lit('"'), F.replace(F.col(index), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", quoted, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    lines = F.array_join(F.array_sort(F.collect_list(line)), "\n")
+    df.agg(F.concat(F.lit(top + "\n"), lines).alias("value")).write.mode("overwrite").text(path)
+
+
 def export_tables(df: DataFrame, folder: str, name: str = EXPORT_NAME,
                   keep_text: Sequence[str] = TEXT_COLUMNS) -> None:
     """Parquet with numbers in number columns, and CSV as it is; 4 decimals in both."""

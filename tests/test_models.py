@@ -182,15 +182,24 @@ def test_a_run_is_saved_and_found_again(spark, samples, tmp_path):
     assert table.count() == 4
     compared = reports.experiment_comparison(table).collect()
     assert {(r["base_experiment_id"], r["cluster_id"]) for r in compared} == {("R1", "General"), ("R1_VALIDATION", "General")}
-    done[1].save(str(tmp_path), ROLES)
-    model, features = sinks.load_model(spark, f"{tmp_path}/R1_VALIDATION/models")
+    first = done[1].save(str(tmp_path), ROLES, "1")
+    model, features = sinks.load_model(spark, f"{first}/models")
     assert features == FEATURES
     again = validation.predict(model, done[1].used_rows).agg(F.sum("prediction")).first()[0]
     assert again == pytest.approx(validation.predict(done[1].model, done[1].used_rows).agg(F.sum("prediction")).first()[0])
     from rillwater.sources import discovery
-    assert [r["experiment_id"] for r in discovery.read_run_summaries(spark, str(tmp_path)).collect()] == ["R1_VALIDATION"]
+    assert [r["experiment_id"] for r in discovery.read_run_summaries(spark, str(tmp_path)).collect()] == ["R1_VALIDATION_1"]
     found = discovery.discover_runs(spark, str(tmp_path), [exp]).collect()
-    assert [(r["run_id"], r["experiment"], r["strategy"]) for r in found] == [("R1_VALIDATION", "R1", "time_series_cv")]
+    assert [(r["run_id"], r["experiment"], r["strategy"]) for r in found] == [("R1_VALIDATION_1", "R1", "time_series_cv")]
+    summary = done[1].summary().first()
+    (flat,) = discovery.discover_summaries(spark, f"{tmp_path}/*/{discovery.SUMMARY_FILE}", ["R2_log_mean", "RMSE_log_std"],
+                                           "part-*", 2).collect()
+    assert (flat["experiment_id"], flat["model"]) == ("R1_VALIDATION_1", registry.RIDGE)
+    assert (flat["R2_log_mean"], flat["RMSE_log_std"]) == (summary["R2_log_mean"], summary["RMSE_log_std"])
+    assert done[1].save(str(tmp_path), ROLES) != done[1].save(str(tmp_path), ROLES)
+    saved = runs.save_reports(done, str(tmp_path))
+    assert spark.read.option("header", True).csv(f"{saved}/detailed").count() == 4
+    assert spark.read.option("header", True).csv(f"{saved}/comparison").count() == 2
 
 
 def test_small_tables_are_skipped(samples):
