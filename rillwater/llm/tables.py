@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwater.session import shared_folder
+from rillwater.plans.keep import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +21,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
     Cuts lineage so that a lost executor costs a file read and not the steps before. Tables
-    lie below the application's id, so that one folder can be removed when it has ended.
+    lie below the application's id and are removed by ``plans.keep.remove_stored``.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
