@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -26,7 +27,7 @@ def local_session(app: str = "rillwater", cpus: int | str = "*", partitions: int
 
 
 def _plain(path: str) -> str:
-    return path.removeprefix("file:").replace("//", "/").rstrip("/") + "/"
+    return re.sub("/+", "/", path.removeprefix("file:") + "/")
 
 
 def shared_folder(spark: SparkSession) -> str:
