@@ -44,7 +44,8 @@ def time_series_folds(spark, sf_dir):
 SELECT CAST(f AS BIGINT) AS fold, 'train' AS part, CAST(0 AS BIGINT) AS first, n - ({SPLITS} - f + 1) * t - 1 AS last FROM size, range(1, {SPLITS + 1}) folds(f)
 UNION ALL SELECT f, 'test', n - ({SPLITS} - f + 1) * t, n - ({SPLITS} - f) * t - 1 FROM size, range(1, {SPLITS + 1}) folds(f)"""))
 def cv_layout(spark, sf_dir):
-    return rounded(ordering.layout_ranges(wq(spark, sf_dir).count(), SPLITS, spark))
+    done = ordering.sort_rows(wq(spark, sf_dir).select(*KEY, "date", "station_code"), ROLES.sample_order)
+    return rounded(ordering.layout_ranges(done, SPLITS))
 
 
 @query("holdout_split", sql("wq", INDEXED, SIZE, """

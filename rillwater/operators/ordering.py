@@ -132,13 +132,18 @@ def fold_layout(table: SortedTable, splits: int, date: str) -> DataFrame:
                     "n_test", "first_test_date", "last_test_date"))
 
 
-def layout_ranges(n_rows: int, splits: int, spark) -> DataFrame:
-    """The layout as ranges (fold, part, first, last), as drawn in a split chart."""
-    rows = []
-    for f in forward_folds(n_rows, splits):
-        rows += [(f.fold, "train", 0, f.train_end - 1),
-                 (f.fold, "test", f.test_start, f.test_end - 1)]
-    return spark.createDataFrame(rows, "fold int, part string, first bigint, last bigint")
+def layout_ranges(table: SortedTable, splits: int) -> DataFrame:
+    """The layout as ranges (fold, part, first, last), as drawn in a split chart.
+
+    Counted on the rows: sizes of the blocks between the cuts, added up over splits + 1 rows.
+    """
+    cuts = [f.test_start for f in forward_folds(table.n_rows, splits)]
+    blocks = table.rows.groupBy(table.block(cuts).alias("fold")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = blocks.withColumn("stop", upto).withColumn("start", F.col("stop") - F.col("n")).where(F.col("fold") > 0)
+    ranges = F.array(F.struct(F.lit("train").alias("part"), F.lit(0).cast("bigint").alias("first"), (F.col("start") - 1).alias("last")),
+                     F.struct(F.lit("test").alias("part"), F.col("start").alias("first"), (F.col("stop") - 1).alias("last")))
+    return ends.select("fold", F.explode(ranges).alias("r")).select("fold", "r.*")
 
 
 def shuffled_fold(key: Sequence[str], folds: int, seed: int = 42) -> Column:
