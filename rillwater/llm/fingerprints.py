@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.llm.shingles import distinct, shingle_hashes
-from rillwater.llm.tables import col, shuffle_partitions
+from rillwater.llm.tables import col, shuffle_partitions, small_batches
 
 FRACTION = 1 / 16
 FLOOR = 64
@@ -100,7 +100,7 @@ def fingerprints(docs: DataFrame, keep: list[Column], text_col: str = "text", wo
                 found += [to_text(s) for s in sketches_of(group, words, fraction, floor)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=names)
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
@@ -201,4 +201,4 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if out := compared(waiting):
             yield out
 
-    return dealt.mapInArrow(run, schema)
+    return small_batches(dealt).mapInArrow(run, schema)

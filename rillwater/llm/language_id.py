@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.llm import subwords
-from rillwater.llm.tables import col
+from rillwater.llm.tables import col, small_batches
 
 UNDETERMINED = "und"
 
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
         table = subwords.WordTable(model.weights, model.sizes)
         for batch in batches:
             found, scores = [], []
-            for group in subwords.in_batches(batch.column(batch.num_columns - 1).to_pylist()):
+            for group in subwords.in_batches(t.as_py() for t in batch.column(batch.num_columns - 1)):
                 languages, score = _score(table, model, group)
                 found += languages
                 scores.append(score)
@@ -192,4 +192,4 @@ def predict(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(score),
                                               pa.array(rejected, pa.bool_())], names=names)
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)

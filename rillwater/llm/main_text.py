@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwater.llm.tables import col, written
+from rillwater.llm.tables import col, small_batches, written
 
 # Element names and the words by which pages mark what is no article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,7 +235,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", c
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()),
                                               pa.array(values, pa.int64())], names=["host", "node", "kind", "value"])
 
-    seen = given.mapInArrow(run, "host string, node bigint, kind int, value bigint")
+    seen = small_batches(given).mapInArrow(run, "host string, node bigint, kind int, value bigint")
     counts = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").cast("double").alias("n"))
     entropies = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     share = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
@@ -261,4 +261,4 @@ def main_text(pages: DataFrame, keep: list[Column], url_col: str = "url", html_c
             texts = [extract(h.as_py() or "", frozenset(x.as_py() or ())) for h, x in zip(html, low)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=names)
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)

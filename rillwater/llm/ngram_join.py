@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from rillwater.llm.components import components
 from rillwater.llm.shingles import _mix, distinct, shingle_hashes
-from rillwater.llm.tables import col, shuffle_partitions, written
+from rillwater.llm.tables import col, shuffle_partitions, small_batches, written
 
 GROUP_CHARS = 1 << 20
 BLOCK_NODES = 256
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, shape: tuple[int, int], words: int, id_col: str, t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists],
                                              names=["id", "text_hash", "node", "shingles", "bands"])
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)
 
 
 def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -113,7 +113,7 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
                 lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array([_node_of(s) for s in sets], pa.int64()), lists], names=["node", "hashes"])
 
-    return docs.mapInArrow(run, "node bigint, hashes array<bigint>")
+    return small_batches(docs).mapInArrow(run, "node bigint, hashes array<bigint>")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -210,7 +210,7 @@ def _verified(groups: DataFrame, threshold: float) -> DataFrame:
         if rows and (found := list(_verify(rows, one, threshold))):
             yield flush(found)
 
-    return groups.mapInArrow(run, "node bigint, documents bigint, texts bigint, edge bigint")
+    return small_batches(groups).mapInArrow(run, "node bigint, documents bigint, texts bigint, edge bigint")
 
 
 def _blocks(members: DataFrame, threshold: float) -> DataFrame:

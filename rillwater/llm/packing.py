@@ -30,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillwater.llm.tables import col
+from rillwater.llm.tables import col, small_batches
 
 END_TOKEN = 1
 TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 8 * 2048
 # Pieces that a task remembers at once; beyond that it forgets all and goes on.
-REMEMBERED_CHUNKS = 500_000
+REMEMBERED_CHUNKS = 250_000
 CHUNK_BATCH = 2000
 SEQUENCE_BITS = 33
 
@@ -295,12 +295,11 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: Column, text_col: str = "te
         key_arrow = None
         for batch in batches:
             key_arrow = batch.schema.field(0).type
-            texts = batch.column(1).to_pylist()
-            at = 0
+            texts, at = batch.column(1), 0
             while at < len(texts):
                 group, chars = [], 0
                 while at < len(texts) and chars < 2_000_000:
-                    group.append(texts[at] or "")
+                    group.append(texts[at].as_py() or "")
                     chars += len(group[-1])
                     at += 1
                 windows = []
@@ -318,5 +317,5 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: Column, text_col: str = "te
         if windows:
             yield placed(windows)
 
-    out = given.mapInArrow(run, f"_key_ {key_type}, {fields}")
+    out = small_batches(given).mapInArrow(run, f"_key_ {key_type}, {fields}")
     return out.withColumnRenamed("_key_", name)

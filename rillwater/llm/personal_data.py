@@ -30,7 +30,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from rillwater.llm.tables import col
+from rillwater.llm.tables import col, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "iban", "url", "secret")
@@ -215,4 +215,4 @@ def find(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFra
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t.as_py() or "", anchors)] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=names)
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)

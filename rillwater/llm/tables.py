@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rillwater.plans.keep import scratch
 
+ROWS_PER_BATCH = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,3 +32,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, for a session that hands rows to Python workers in small batches.
+
+    Documents are long: at the usual 10,000 rows a batch holds tens of megabytes, several
+    times over on its way into a worker.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, ROWS_PER_BATCH)
+    return df

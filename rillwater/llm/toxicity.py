@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwater.llm import subwords
-from rillwater.llm.tables import col
+from rillwater.llm.tables import col, small_batches
 
 # Letters, digits and the signs that stand for letters in disguised spellings.
 WORD = re.compile(r"[\w@$*]+")
@@ -227,9 +227,9 @@ def score(docs: DataFrame, model: Model, keep: list[Column], text_col: str = "te
         model = shared.value
         table = subwords.WordTable(model.weights, model.sizes, plain_spelling)
         for batch in batches:
-            groups = subwords.in_batches(batch.column(batch.num_columns - 1).to_pylist())
+            groups = subwords.in_batches(t.as_py() for t in batch.column(batch.num_columns - 1))
             found = [_score(table, model, g) for g in groups]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(found) if found else np.zeros(0))],
                                              names=names)
 
-    return given.mapInArrow(run, schema)
+    return small_batches(given).mapInArrow(run, schema)
