@@ -20,6 +20,8 @@ is a tree of its own. An empty table gives no rows. Other columns take no part.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,25 +43,28 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def _reach(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (tree, node, up, sum, steps): the message 1, 2, 4, ... replies up, null beyond the root.
+def _reach(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables (tree, node, up, sum, steps) of the messages that have one 1, 2, 4, ... replies up,
+    and the same for all messages up to their root.
 
-    ``sum`` and ``steps`` cover the messages passed on the way, the last table those up to the root.
+    ``sum`` and ``steps`` cover the messages passed on the way. Only messages that have not
+    reached their root take part in the next round.
     """
     known = nodes.select(F.col("tree").alias("t2"), F.col("node").alias("n2"))
     first = nodes.join(known, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("parent") == F.col("n2")), "left")
-    tables = [written(first.select("tree", "node", F.col("n2").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("bigint").alias("steps")), "reach")]
-    while True:
-        last = tables[-1]
-        if last.where("up is not null").isEmpty():
-            return tables
-        if len(tables) > 1 and 2 ** (len(tables) - 1) > nodes.count():
-            break  # longer than any path without a circle
-        more = last.select(F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
-        joined = last.join(more, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")), "left")
-        tables.append(written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-                                            (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), "reach"))
-    return tables
+    first = written(first.select("tree", "node", F.col("n2").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("bigint").alias("steps")), "reach")
+    on_the_way, arrived = [first.where("up is not null")], [first.where("up is null")]
+    longest = 2 * first.count()  # no path without a circle is longer
+    while 2 ** len(on_the_way) <= longest and not on_the_way[-1].isEmpty():
+        last = on_the_way[-1]
+        state = reduce(DataFrame.unionByName, [*arrived, last]).select(
+            F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("steps").alias("steps2"))
+        joined = last.join(state, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("up") == F.col("n2")))
+        further = written(joined.select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"),
+                                        (F.col("steps") + F.col("steps2")).alias("steps")), "reach")
+        on_the_way.append(further.where("up is not null"))
+        arrived.append(further.where("up is null"))
+    return on_the_way, reduce(DataFrame.unionByName, arrived)
 
 
 def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
@@ -68,14 +73,14 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     Branches are ranked by the mean score of their messages; of equal ones the leaf with the smaller
     number comes first. ``back`` counts replies from the leaf.
     """
-    tables = _reach(nodes)
+    tables, arrived = _reach(nodes)
     parents = nodes.where("parent is not null").select(F.col("tree").alias("t2"), F.col("parent").alias("n2")).distinct()
-    leaves = tables[-1].where("up is null").join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+    leaves = arrived.join(parents, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
     order = Window.partitionBy("tree").orderBy((F.col("sum") / F.col("steps")).desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= paths)
     found = written(chosen.select("tree", F.col("rank").alias("branch"), "node", F.lit(0).cast("bigint").alias("back")), "paths")
     for power in range(len(tables) - 1, -1, -1):
-        up = tables[power].where("up is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+        up = tables[power].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         above = found.join(up, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("node") == F.col("n2")))
         above = above.select("tree", "branch", F.col("up").alias("node"), (F.col("back") + 2 ** power).alias("back"))
         found = written(found.unionByName(above), "paths")
