@@ -28,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from rillwater.llm.tables import col, small_batches
 
@@ -185,9 +184,6 @@ class Packer:
                     return gap, document, start
         return None
 
-    def left(self) -> int:
-        return sum(p[0] for pool in self.pools.values() for p in pool)
-
     def windows(self, last: bool) -> Iterator[list[tuple[int, int, int]]]:
         """Full windows from the pools; with ``last`` until nothing is left."""
         for tier in self.tiers:
