@@ -248,7 +248,11 @@ def _blocks(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8,
                     recall: float = 0.9997) -> DataFrame:
-    """A row for each document: id, text_hash, class_id, n_links (documents), n_text_links (different texts)."""
+    """A row for each document: id, text_hash, class_id, class_key, n_links (documents), n_text_links (different texts).
+
+    ``class_id`` is the smallest id of the class, which classes may share where ids are null or repeat;
+    ``class_key``, the smallest node of the class, is its own.
+    """
     spark = docs.sparkSession
     sketched = written(sketches(docs, band_shape(threshold, recall), words, id_col, text_col), "sketches")
     nodes = written(sketched.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"),
@@ -274,17 +278,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = components(verified.where("edge != node").select(F.col("node").alias("u"), F.col("edge").alias("v")))
     classes = written(classes, "classes")
     ids = classes.join(nodes.select("node", "first_id"), "node").groupBy("component").agg(F.min("first_id").alias("class_id"))
-    named = classes.join(written(ids, "class-ids"), "component").select("node", "class_id")
+    named = classes.join(written(ids, "class-ids"), "component").select("node", "class_id", F.col("component").alias("class_key"))
     about = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(named, "node", "left")
-    about = written(about.select("node", F.coalesce("class_id", "first_id").alias("class_id"),
+    # A class of null ids only has no name, but it has a key.
+    about = written(about.select("node", F.coalesce("class_id", "first_id").alias("class_id"), F.coalesce("class_key", "node").alias("class_key"),
                                  (F.coalesce("documents", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
                                  F.coalesce("texts", F.lit(0)).alias("n_text_links")), "about")
-    return sketched.select("id", "text_hash", "node").join(about, "node").select("id", "text_hash", "class_id", "n_links", "n_text_links")
+    return sketched.select("id", "text_hash", "node").join(about, "node").select(
+        "id", "text_hash", "class_id", "class_key", "n_links", "n_text_links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents without all of each class but the one with the smallest id, with the columns they came with."""
-    found = written(near_duplicates(docs, id_col, text_col, **settings).groupBy("id", "text_hash", "class_id").agg(F.count("*").alias("alike")), "near-duplicates")
+    found = near_duplicates(docs, id_col, text_col, **settings).groupBy("id", "text_hash", "class_id", "class_key").agg(F.count("*").alias("alike"))
+    found = written(found, "near-duplicates")
     out = F.struct(*[col(c) for c in docs.columns]).alias("row")
     rows = docs.select(out, col(id_col).alias("id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("text_hash"))
 
@@ -296,12 +303,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     keeps = F.col("id").eqNullSafe(F.col("class_id"))
     # An id with several texts of one class stays with one of them, and so does a row that repeats.
-    first = found.where(keeps).groupBy("class_id").agg(F.min("text_hash").alias("text_hash"), F.sum("alike").alias("alike"))
+    first = found.where(keeps).groupBy("class_key").agg(F.first("class_id").alias("class_id"), F.min("text_hash").alias("text_hash"), F.sum("alike").alias("alike"))
     repeated = written(first.where("alike > 1"), "repeated")
     lost = pairs(~keeps)
     if repeated.isEmpty():
         return rows.join(lost, same(lost), "left_anti").select("row.*")
-    doubled = written(pairs(keeps).join(repeated.select("class_id"), F.col("id2").eqNullSafe(F.col("class_id")), "left_semi"), "doubled")
+    doubled = found.where(keeps).join(repeated.select("class_key"), "class_key", "left_semi")
+    doubled = written(doubled.select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2")), "doubled")
     away = lost.unionByName(doubled)
     single = rows.join(away, same(away), "left_anti").select("row")
     chosen = repeated.select(F.col("class_id").alias("id2"), F.col("text_hash").alias("hash2"))

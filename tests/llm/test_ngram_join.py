@@ -80,6 +80,20 @@ def test_one_document_of_each_class_stays(make_docs, planted):
     assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted({repr(c) for _, c, _, _ in brute(planted)})
 
 
+def test_unlike_texts_of_one_id_all_stay(make_docs):
+    def text(mark):
+        return " ".join(f"{mark}{i}" for i in range(40))
+
+    near = text("a").replace("a39", "x")  # of the first null text
+    rows = [(None, text("a")), (None, near), (None, text("b")), (None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")),
+            (7, text("e")), (8, text("e")), (9, text("f")), (None, text("f")), (None, ""), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.drop_near_duplicates(make_docs(rows)).collect()]
+    want = [(None, text("b")), (None, text("c")), (7, text("d")), (7, text("e")), (9, text("f"))]
+    assert len([k for k in kept if k in ((None, text("a")), (None, near))]) == 1
+    assert sorted((k for k in kept if k in want), key=repr) == sorted(want, key=repr)
+    assert len([k for k in kept if not k[1]]) == 1 and len(kept) == 7
+
+
 def test_empty_table(make_docs):
     assert ngram_join.near_duplicates(make_docs([])).count() == 0
     assert ngram_join.drop_near_duplicates(make_docs([])).count() == 0
