@@ -13,7 +13,9 @@ Base kinds (per kind leftmost, without overlap; a candidate that fails its test
 * ``phone``  plus sign, digit, then digits, blanks, brackets, dots, hyphens up to a digit; 10 to 15 digits
 
 Added kinds: ``account`` (a run of 14 to 19 digits with right Luhn sum inside a longer chain that
-failed as a card), ``iban`` (cue: two letters and two check digits, remainder 1 of 97), ``url``
+failed as a card), ``iban`` (cue: two letters and two check digits; as long as its country's numbers
+are, or for other countries the longest that fits and ends with a group; remainder 1 of 97, no letter or
+digit behind it), ``url``
 (scheme to white space or quote) and ``secret`` (value after a cue such as ``password=``, or a key
 that starts with a known prefix).
 
@@ -40,10 +42,17 @@ SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 SECRET_CUES = ("password=", "passwd=", "secret=", "api_key=", "apikey=", "token=")
 KEY_PREFIXES = {"AKIA": 20, "ASIA": 20, "ghp_": 40}
 
+IBAN_LENGTHS = {country: int(length) for length, countries in (
+    (15, "NO"), (16, "BE"), (18, "DK FI FK FO GL NL SD"), (19, "MK SI"), (20, "AT BA EE KZ LT LU MN XK"), (21, "CH HR LI LV"),
+    (22, "BG BH CR DE GB GE IE ME RS VA"), (23, "AE GI IL IQ OM SO TL"), (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "LY PT ST"),
+    (26, "IS TR"), (27, "BI DJ FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HN HU LB NI PL SV"), (29, "BR EG PS QA UA"),
+    (30, "JO KW MU YE"), (31, "MT SC"), (32, "LC"), (33, "RU")) for country in countries.split()}
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 DIGIT = frozenset("0123456789")
 PHONE = frozenset("0123456789 ().-")
+IBAN_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 Span = tuple[str, int, int]
@@ -161,15 +170,34 @@ def _phones(text: str, anchors: list[int]) -> Iterator[Span]:
             yield "phone", at, end
 
 
+def _iban_ends(text: str, start: int) -> list[int]:
+    """Where an account number that starts at ``start`` may end, the longest first.
+
+    Single blanks may lie between its signs. Of countries without a known length every end of a group counts.
+    """
+    wanted = IBAN_LENGTHS.get(text[start:start + 2])
+    ends, signs, at = [], 4, start + 4
+    while signs < (wanted or 34):
+        if at + 1 < len(text) and text[at] == " " and text[at + 1] in IBAN_SIGNS:
+            at += 1
+        elif at >= len(text) or text[at] not in IBAN_SIGNS:
+            break
+        at, signs = at + 1, signs + 1
+        if (signs == wanted or (not wanted and signs >= 15)) and (at == len(text) or not (text[at].isalnum() or text[at] == "_")):
+            ends.append(at)
+    return ends[::-1]
+
+
 def _ibans(text: str, runs: list[tuple[int, int]]) -> Iterator[Span]:
     done = 0
     for a, b in runs:
         if b - a >= 2 and a - 2 >= done and re.fullmatch("[A-Z]{2}", text[a - 2:a]) and (a == 2 or text[a - 3] not in KEY):
-            m = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}").match(text, a - 2)
-            if m and 15 <= len(plain := m.group().replace(" ", "")) <= 34:
+            for end in _iban_ends(text, a - 2):
+                plain = text[a - 2:end].replace(" ", "")
                 if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
-                    yield "iban", a - 2, m.end()
-                    done = m.end()
+                    yield "iban", a - 2, end
+                    done = end
+                    break
 
 
 def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:

@@ -64,6 +64,21 @@ def test_added_kinds():
     assert kinds("plain text, 12 numbers, a+b = c") == []
 
 
+def test_ibans_end_at_their_own_length():
+    found = lambda t: [t[a:b] for k, a, b in personal_data.spans(t, ANCHORS) if k == "iban"]
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"
+    for behind in ("", " Please", " BIC COBADEFF", " 12 EUR", ".", "\nNext", " TODAY AND THEN"):
+        assert found("to " + de + behind) == [de]
+        assert found(gb + behind) == [gb] and found(no + behind) == [no]
+        assert found(de.replace(" ", "") + behind) == [de.replace(" ", "")]
+    assert found(f"{de} {gb} {no}") == [de, gb, no]
+    assert found("MT84 MALT 0110 0001 2345 MTLC AST0 01S A") == ["MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    # No known length: the longest group end that is right.
+    other = next(t for t in (f"ZZ{k:02} 1234 5678 9012 3456" for k in range(2, 99)) if int("".join(str(int(c, 36)) for c in (t[4:] + t[:4]).replace(" ", ""))) % 97 == 1)
+    assert found(other + " Please") == [other]
+    assert found(de + "0") == found(de + "x") == found("DE89 3704 0044 0532 0130 01") == found("DE89 3704 0044") == []
+
+
 def test_odd_rows(make_docs):
     docs = make_docs([(1, None), (2, ""), (None, "q@w.ee"), (3, "q@w.ee"), (3, "q@w.ee"), (4, "z" * 2_000_000 + " q@w.ee")]).withColumn("found", F.lit(1))
     out = personal_data.find(docs, [F.col("doc_id")]).collect()
