@@ -75,3 +75,40 @@ def test_given_targets(make_docs):
     assert np.mean([r["source_group"] == "small" for r in kept]) == pytest.approx(0.2, abs=0.03)
     assert np.mean([r["lang_group"] == "de" for r in kept]) == pytest.approx(0.5, abs=0.04)
     assert len(kept) == pytest.approx(1200, rel=0.1)
+
+
+def small_sources(make_docs):
+    rows = [(i, "a b c d", "en", "hot") for i in range(2000)] + [(2000 + i, "a b c d", "en" if i % 2 else "de", f"s{i % 100}") for i in range(1000)]
+    return make_docs(rows)
+
+
+@pytest.mark.parametrize("driver_cells", [100_000, 0])
+def test_each_small_source_has_its_own_marginal(make_docs, monkeypatch, driver_cells):
+    monkeypatch.setattr(mixing, "DRIVER_CELLS", driver_cells)
+    settings = {} if driver_cells else {"rounds": 3}
+    out = mixing.mix(small_sources(make_docs), keep_share=0.3, **settings).collect()
+    assert {r["source_group"] for r in out} == {"hot", *(f"s{i}" for i in range(100))}
+    mass = {}
+    for r in out:
+        key = (r["source_group"], r["lang_group"], r["topic"])
+        mass[key] = mass.get(key, 0) + r["tokens"]
+    targets = []
+    for axis in range(3):
+        sums = {}
+        for k, v in mass.items():
+            sums[k[axis]] = sums.get(k[axis], 0) + v / 12000
+        targets.append({k: v ** 0.7 / sum(x ** 0.7 for x in sums.values()) for k, v in sums.items()})
+    want = plain_rake(mass, targets, 0.3 * 12000, settings.get("rounds", 200))
+    for r in out:
+        key = (r["source_group"], r["lang_group"], r["topic"])
+        assert r["probability"] == pytest.approx(want[key] / mass[key], rel=1e-6)
+
+
+@pytest.mark.parametrize("least_share", [0.0, 0.01])
+def test_a_rare_source_that_targets_name_is_raised(make_docs, least_share):
+    docs = make_docs([(i, "a b c d", "en", "rare" if i % 200 == 0 else f"big{i % 2}") for i in range(4000)])
+    targets = {"source": {"big0": 0.4, "big1": 0.4, "rare": 0.2}}
+    out = mixing.mix(docs, targets=targets, keep_share=0.02, least_share=least_share).collect()
+    assert {round(r["probability"], 6) for r in out if r["source_group"] == "rare"} == {0.8}
+    rest = mixing.mix(docs, targets={"source": {"big0": 0.5, "(other)": 0.5}}, keep_share=0.1, least_share=least_share).collect()
+    assert {r["source_group"] for r in rest} == {"big0", "(other)"} and all(r["probability"] > 0 for r in rest)
