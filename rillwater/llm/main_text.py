@@ -7,8 +7,12 @@ normalised entropy of both: near 0 where every page repeats the same thing in th
 form (menus, boxes, boilerplate), near 1 where pages differ. Branches of low importance are
 removed from each page; elements whose tag, role or class says that they are no part of an
 article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
-scripts, styles, hidden parts) are removed whatever their importance. Where a page marks
-its article, the text inside counts and is protected from the tree's vote.
+scripts, styles, hidden parts) are removed whatever their importance. Blocks inside articles and
+main parts are judged like all others; the article or main element itself and the elements around
+it are not removed, and where the vote would take half of the text of an article or main part or
+more, that part is left as it is. What is left decides where the main text is: in the articles, if
+the longest of them has no less text than lies outside all articles; else in the main parts, by the
+same comparison; else it is the text of the body, articles included.
 
 Defined results: a null or empty page gives an empty text. Pages without host, and nodes
 that fewer than ``least_pages`` pages of the host have, are not judged by the tree. Where
@@ -20,9 +24,10 @@ are ignored. Pages are read whole; rows that repeat and other columns change not
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -76,48 +81,54 @@ def _says_no_text(tag: str, attributes: dict[str, str], inside: bool) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "silent", "scope", "path", "start", "children", "block")
+    __slots__ = ("tag", "silent", "scope", "opens", "path", "start", "end", "children", "block", "holds", "inner")
 
-    def __init__(self, tag, silent, scope, path, start, block):
-        self.tag, self.silent, self.scope, self.path, self.start, self.block = tag, silent, scope, path, start, block
+    def __init__(self, tag, silent, scope, opens, path, start, block):
+        self.tag, self.silent, self.scope, self.opens, self.path, self.start, self.block = tag, silent, scope, opens, path, start, block
+        self.end = start
+        self.holds = False  # an article or a main part
         self.children: list[str] = []
+        self.inner: list[_Element] = []  # blocks
+
+
+def _squeezed(parts: Iterable[str]) -> str:
+    return " ".join("".join(parts).split())
 
 
 class Page:
-    """One page read from front to back: its texts by scope, and its nodes for the style tree."""
-
-    def __init__(self, html: str, low: frozenset[int] = frozenset(), nodes: bool = False):
-        self.low, self.want_nodes = low, nodes
-        self.parts: list[str] = []  # of the body outside articles and inside them
-        self.article: list[str] = []
-        self.main: list[str] = []
-        self.nodes: dict[str, list[tuple[str, str]]] = {}
-        self.stack: list[_Element] = [_Element("", False, "", "", 0, True)]
+    """One page read from front to back: its text in parts, and its blocks for the style tree."""
+
+    def __init__(self, html: str):
+        self.parts: list[str] = []
+        self.scopes: list[tuple[int, int]] = []  # number of the article and of the main part around each part, 0 for none
+        self.opened = 0
+        self.around = [(0, 0)]
+        self.stack: list[_Element] = [_Element("", False, "", False, "", 0, True)]
+        self.root = self.stack[0]
         self._read(html)
+        self.root.end = len(self.parts)
 
     def _text(self, raw: str) -> None:
         top = self.stack[-1]
         if top.silent or not raw:
             return
-        text = unescape(raw) if "&" in raw else raw
-        self.parts.append(text)
-        if top.scope == "article":
-            self.article.append(text)
-        if top.scope:
-            self.main.append(text)
+        self.parts.append(unescape(raw) if "&" in raw else raw)
+        self.scopes.append(self.around[-1])
 
     def _break(self) -> None:
-        for found in (self.parts, self.article, self.main):
-            if found and found[-1] != " ":
-                found.append(" ")
+        if self.parts and self.parts[-1] != " ":
+            self.parts.append(" ")
+            self.scopes.append(self.around[-1])
 
     def _pop(self) -> None:
         e = self.stack.pop()
         if e.block:
             self._break()
-            if self.want_nodes and e.path and not e.silent and not e.scope:
-                content = " ".join("".join(self.parts[e.start:]).split())
-                self.nodes.setdefault(e.path, []).append((content, ",".join(e.children)))
+        if e.opens:
+            self.around.pop()
+        e.end = len(self.parts)
+        if e.opens or e.holds:
+            self.stack[-1].holds = True
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -149,21 +160,25 @@ class Page:
         if block:
             self._break()
         scope = parent.scope
-        silent = parent.silent or _says_no_text(tag, attributes, bool(scope))
+        silent, opens = parent.silent or _says_no_text(tag, attributes, bool(scope)), False
         if not silent and (tag == "article" or attributes.get("itemprop", "").lower() == "articlebody"):
-            scope = "article"
+            scope, opens = "article", True
         elif not silent and not scope and (tag == "main" or attributes.get("role", "").lower() == "main"):
-            scope = "main"
+            scope, opens = "main", True
         path = parent.path
-        if block and not scope and len(self.stack) <= DEEPEST:
+        if block and len(self.stack) <= DEEPEST:
             path += "/" + tag + "".join("." + w for w in sorted(WORDS.findall(attributes.get("class", "").lower())))
             parent.children.append(tag)
-            if tag not in ("html", "body") and not silent and self.low and node_id(path) in self.low:
-                silent = True
-        if tag not in VOID:
-            self.stack.append(_Element(tag, silent, scope, path if block else "", len(self.parts), block))
-            if not block:
-                self.stack[-1].path = parent.path
+        if tag in VOID:
+            return
+        if opens:
+            self.opened += 1
+            article, main = self.around[-1]
+            # An article inside an article is a part of it.
+            self.around.append((article or self.opened, main) if scope == "article" else (article, self.opened))
+        self.stack.append(_Element(tag, silent, scope, opens, path, len(self.parts), block))
+        if block and not silent and path != parent.path:
+            next(e for e in reversed(self.stack[:-1]) if e.block).inner.append(self.stack[-1])
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -191,12 +206,48 @@ class Page:
         while len(self.stack) > 1:
             self._pop()
 
-    def text(self) -> str:
-        for found in (self.article, self.main, self.parts):
-            joined = " ".join("".join(found).split())
-            if joined:
-                return joined
-        return ""
+    def nodes(self) -> dict[str, list[tuple[str, str]]]:
+        """Content and child sequence of the blocks that the tree judges, by path."""
+        found: dict[str, list[tuple[str, str]]] = {}
+
+        def walk(e: _Element) -> None:
+            for x in e.inner:
+                walk(x)
+                if not x.opens:
+                    found.setdefault(x.path, []).append((_squeezed(self.parts[x.start:x.end]), ",".join(x.children)))
+
+        walk(self.root)
+        return found
+
+    def _voted_out(self, e: _Element, low: frozenset[int]) -> list[tuple[int, int]]:
+        """Ranges of parts inside ``e`` that the tree removes."""
+        out: list[tuple[int, int]] = []
+        for x in e.inner:
+            if x.tag not in ("html", "body") and not x.opens and not x.holds and node_id(x.path) in low:
+                out.append((x.start, x.end))
+            else:
+                out += self._voted_out(x, low)
+        if e.opens and out:
+            lost = sum(len(_squeezed(self.parts[a:b])) for a, b in out)
+            if 2 * lost >= len(_squeezed(self.parts[e.start:e.end])):
+                return []
+        return out
+
+    def text(self, low: frozenset[int] = frozenset()) -> str:
+        gone = np.zeros(len(self.parts), bool)
+        for a, b in self._voted_out(self.root, low) if low else ():
+            gone[a:b] = True
+        # A removed block still parts what is before and behind it.
+        left = [(" " if g else p, s) for g, p, s in zip(gone, self.parts, self.scopes)]
+        for kind in (0, 1):
+            inside: dict[int, list[str]] = {}
+            for p, s in left:
+                inside.setdefault(s[kind], []).append(p)
+            outside = len(_squeezed(inside.pop(0, ())))
+            longest = max((len(_squeezed(x)) for x in inside.values()), default=0)
+            if longest and longest >= outside:
+                return _squeezed(p if s[kind] else " " for p, s in left)
+        return _squeezed(p for p, _ in left)
 
 
 def node_id(path: str) -> int:
@@ -204,8 +255,8 @@ def node_id(path: str) -> int:
 
 
 def extract(html: str, low: frozenset[int] = frozenset()) -> str:
-    found = Page(html, low).text()
-    return found or (Page(html).text() if low else "")
+    page = Page(html)
+    return page.text(low) or (page.text() if low else "")
 
 
 def host_of(url: Column) -> Column:
@@ -226,7 +277,7 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", c
         for batch in batches:
             hosts, nodes, kinds, values = [], [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for path, found in Page(html.as_py(), nodes=True).nodes.items():
+                for path, found in Page(html.as_py()).nodes().items():
                     for kind in (0, 1):  # content, then sequence of children
                         hosts.append(host)
                         nodes.append(node_id(path))

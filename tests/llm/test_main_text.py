@@ -56,3 +56,28 @@ def test_markup_cases():
     assert x("<p>open") == "open" and x("<p") == "" and x("") == ""
     assert x("<ul><li>a<ul><li>b</ul><li>c</ul>") == "a b c"
     assert x("<p>" + "long " * 300_000 + "</p>") == ("long " * 300_000).strip()
+
+
+def texts(spark, rows):
+    pages = spark.createDataFrame([(i, f"http://h.example.org/{i}", html) for i, html in enumerate(rows)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in main_text.main_text(pages, [F.col("page_id")]).collect()}
+
+
+def test_repeated_boxes_inside_articles_go(spark):
+    page = "<body><{1}><div class=kasten>Our app is new. Get it.</div><h1>Title {0}</h1><p>{2}</p></{1}></body>"
+    story = [" ".join(f"word{i}x{k}" for k in range(20)) for i in range(8)]
+    for tag in ("article", "main"):
+        out = texts(spark, [page.format(i, tag, story[i]) for i in range(8)])
+        assert out == {i: f"Title {i} {story[i]}" for i in range(8)}
+    # Half of an article or more is never voted out.
+    same = "<body><p>date {0}</p><article><p>" + story[0] + "</p></article></body>"
+    assert texts(spark, [same.format(i) for i in range(8)]) == {i: story[0] for i in range(8)}
+
+
+def test_story_beside_teaser_articles(spark):
+    page = "<body><div class=x><p>{0}</p></div><article><h3>More {1}</h3></article><article><p>Nice {1}</p></article></body>"
+    story = [" ".join(f"word{i}x{k}" for k in range(20)) for i in range(8)]
+    out = texts(spark, [page.format(story[i], i) for i in range(8)])
+    assert all(story[i] in out[i] for i in range(8))
+    assert main_text.extract(page.format(story[0], 1)).startswith(story[0])
+    assert main_text.extract(f"<main><p>m</p></main><div>{story[0]}</div>").endswith(story[0])
