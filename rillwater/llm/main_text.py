@@ -5,7 +5,9 @@ The pages of a host are merged into one tree: its nodes are the paths of block e
 it had there and which sequences of child elements. The importance of a node is the
 normalised entropy of both: near 0 where every page repeats the same thing in the same
 form (menus, boxes, boilerplate), near 1 where pages differ. Branches of low importance are
-removed from each page; elements whose tag, role or class says that they are no part of an
+removed from each page, but where a block holds most of the text that the vote leaves and is not what
+the node mostly holds, only the parts of it that repeat go. Pages of a host with the same contents count
+once, so a page that is copied many times is no boilerplate. Elements whose tag, role or class says that they are no part of an
 article (menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
 scripts, styles, hidden parts) are removed whatever their importance. Blocks inside articles and
 main parts are judged like all others; the article or main element itself and the elements around
@@ -219,24 +221,37 @@ class Page:
         walk(self.root)
         return found
 
-    def _voted_out(self, e: _Element, low: frozenset[int]) -> list[tuple[int, int]]:
-        """Ranges of parts inside ``e`` that the tree removes."""
-        out: list[tuple[int, int]] = []
+    def _length(self, e: _Element) -> int:
+        return len(_squeezed(self.parts[e.start:e.end]))
+
+    def _voted_out(self, e: _Element, low: dict[int, int], repeated: dict[str, int] | None = None) -> list[_Element]:
+        """Elements inside ``e`` that the tree removes; with ``repeated``, the contents of this page by path, only
+        those that hold what their node mostly holds."""
+        out: list[_Element] = []
         for x in e.inner:
-            if x.tag not in ("html", "body") and not x.opens and not x.holds and node_id(x.path) in low:
-                out.append((x.start, x.end))
+            node = node_id(x.path)
+            if x.tag not in ("html", "body") and not x.opens and not x.holds and node in low and (
+                    repeated is None or repeated[x.path] == low[node]):
+                out.append(x)
             else:
-                out += self._voted_out(x, low)
-        if e.opens and out:
-            lost = sum(len(_squeezed(self.parts[a:b])) for a, b in out)
-            if 2 * lost >= len(_squeezed(self.parts[e.start:e.end])):
-                return []
-        return out
-
-    def text(self, low: frozenset[int] = frozenset()) -> str:
+                out += self._voted_out(x, low, repeated)
+        return [] if e.opens and out and 2 * sum(map(self._length, out)) >= self._length(e) else out
+
+    def _removed(self, low: dict[int, int]) -> list[_Element]:
+        out = self._voted_out(self.root, low)
+        rest = self._length(self.root) - sum(map(self._length, out))
+        large = [x for x in out if self._length(x) > max(rest, 0)]
+        if not large:
+            return out
+        contents = {path: value_of(found, 0) for path, found in self.nodes().items()}
+        unlike = [x for x in large if contents[x.path] != low[node_id(x.path)]]
+        kept = [x for x in out if x not in unlike]
+        return kept + [y for x in unlike for y in self._voted_out(x, low, contents)]
+
+    def text(self, low: dict[int, int] | None = None) -> str:
         gone = np.zeros(len(self.parts), bool)
-        for a, b in self._voted_out(self.root, low) if low else ():
-            gone[a:b] = True
+        for e in self._removed(low) if low else ():
+            gone[e.start:e.end] = True
         # A removed block still parts what is before and behind it.
         left = [(" " if g else p, s) for g, p, s in zip(gone, self.parts, self.scopes)]
         for kind in (0, 1):
@@ -254,7 +269,13 @@ def node_id(path: str) -> int:
     return xxhash.xxh3_64_intdigest(path) - (1 << 63)
 
 
-def extract(html: str, low: frozenset[int] = frozenset()) -> str:
+def value_of(found: list[tuple[str, str]], kind: int) -> int:
+    """Hash of the contents (0) or child sequences (1) that a page has at a path."""
+    return node_id("\n".join(x[kind] for x in found))
+
+
+def extract(html: str, low: dict[int, int] | None = None) -> str:
+    """Main text; ``low`` has the nodes of low importance of the host, and the content that each mostly holds."""
     page = Page(html)
     return page.text(low) or (page.text() if low else "")
 
@@ -266,32 +287,36 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html", content_weight: float = 0.9) -> DataFrame:
-    """Nodes of the style trees of all hosts: host, node, pages, importance.
+    """Nodes of the style trees of all hosts: host, node, pages (of unlike contents), importance, common (content that most of them have).
 
-    Every page sends its nodes as hashes; contents and child sequences are counted before
-    and after a shuffle, so a host with a large part of the pages is no hot spot.
+    Every page sends its nodes as hashes; equal pages of a host are made one, and contents and child
+    sequences are counted, before and after a shuffle, so a host with a large part of the pages is no hot spot.
     """
     given = pages.select(host_of(col(url_col)).alias("host"), col(html_col).alias("html")).where("host is not null and html is not null")
+    names = ["host", "page", "node", "content", "children"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, kinds, values = [], [], [], []
-            for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for path, found in Page(html.as_py()).nodes().items():
-                    for kind in (0, 1):  # content, then sequence of children
-                        hosts.append(host)
-                        nodes.append(node_id(path))
-                        kinds.append(kind)
-                        values.append(node_id("\n".join(x[kind] for x in found)))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int64()), pa.array(kinds, pa.int32()),
-                                              pa.array(values, pa.int64())], names=["host", "node", "kind", "value"])
-
-    seen = small_batches(given).mapInArrow(run, "host string, node bigint, kind int, value bigint")
+            found = []
+            for html in batch.column(1):
+                paths = sorted(Page(html.as_py()).nodes().items())
+                lists = [[node_id(p) for p, _ in paths], *([value_of(x, kind) for _, x in paths] for kind in (0, 1))]
+                found.append((node_id(repr(lists)), *lists))
+            columns = [pa.array([f[k] for f in found], pa.int64() if k == 0 else pa.list_(pa.int64())) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    read = small_batches(given).mapInArrow(run, "host string, page bigint, node array<bigint>, content array<bigint>, children array<bigint>")
+    unlike = read.groupBy("host", "page").agg(F.first(F.struct(*names[2:])).alias("p"))
+    nodes = unlike.select("host", F.explode(F.arrays_zip("p.node", "p.content", "p.children")).alias("n"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n.{c}").alias("value")) for k, c in enumerate(names[3:])])
+    seen = nodes.select("host", "n.node", F.inline(kinds))
     counts = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").cast("double").alias("n"))
-    entropies = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    entropies = counts.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("s"),
+                                                           F.max(F.struct("n", "value"))["value"].alias("common"))
     share = F.when(F.col("pages") > 1, (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")).otherwise(1.0)
     weight = F.when(F.col("kind") == 0, content_weight).otherwise(1 - content_weight)
-    return entropies.groupBy("host", "node").agg(F.max("pages").cast("long").alias("pages"), F.sum(share * weight).alias("importance"))
+    return entropies.groupBy("host", "node").agg(F.max("pages").cast("long").alias("pages"), F.sum(share * weight).alias("importance"),
+                                                 F.max(F.when(F.col("kind") == 0, F.col("common"))).alias("common"))
 
 
 def main_text(pages: DataFrame, keep: list[Column], url_col: str = "url", html_col: str = "html",
@@ -299,7 +324,7 @@ def main_text(pages: DataFrame, keep: list[Column], url_col: str = "url", html_c
     """``keep`` columns and the main text of every page."""
     tree = style_tree(pages, url_col, html_col).where((F.col("importance") < lowest) & (F.col("pages") >= least_pages))
     # Nodes that are common on a host are few, however many pages it has.
-    low = written(tree.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("low")), "low-nodes")
+    low = written(tree.groupBy("host").agg(F.sort_array(F.collect_list(F.array("node", "common"))).alias("low")), "low-nodes")
     given = pages.select(*keep, col(html_col).alias("_html_"), host_of(col(url_col)).alias("_host_"))
     given = given.join(low.withColumnRenamed("host", "_host_").withColumnRenamed("low", "_low_"), "_host_", "left").drop("_host_")
     kept = given.drop("_html_", "_low_")
@@ -309,7 +334,7 @@ def main_text(pages: DataFrame, keep: list[Column], url_col: str = "url", html_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             html, low = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            texts = [extract(h.as_py() or "", frozenset(x.as_py() or ())) for h, x in zip(html, low)]
+            texts = [extract(h.as_py() or "", dict(x.as_py() or ())) for h, x in zip(html, low)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=names)
 
     return small_batches(given).mapInArrow(run, schema)

@@ -81,3 +81,20 @@ def test_story_beside_teaser_articles(spark):
     assert all(story[i] in out[i] for i in range(8))
     assert main_text.extract(page.format(story[0], 1)).startswith(story[0])
     assert main_text.extract(f"<main><p>m</p></main><div>{story[0]}</div>").endswith(story[0])
+
+
+def test_copies_do_not_silence_the_story(spark):
+    page = "<body><div class=kasten>Our app is new</div><div class=wrap><h1>Title {0}</h1><p>{1}</p></div><p>{2}</p></body>"
+    story = [" ".join(f"word{i}x{k}" for k in range(20)) for i in range(12)]
+    # Equal copies of one page, and pages unlike them.
+    rows = [page.format("c", "copied text", "today")] * 190 + [page.format(i, story[i], "today") for i in range(10)]
+    out = texts(spark, rows)
+    assert all(out[190 + i].startswith(f"Title {i} {story[i]}") and "app" not in out[190 + i] for i in range(10))
+    # Copies that differ in a date only: what repeats is judged low, but not what unlike pages have there.
+    rows = [page.format("c", "copied text", f"day {i}") for i in range(190)] + [page.format(i, story[i], f"day 1{i}") for i in range(10)]
+    out = texts(spark, rows)
+    assert all(out[190 + i] == f"Title {i} {story[i]} day 1{i}" for i in range(10))
+    # An article inside such a wrapper stays.
+    marked = page.replace("<h1>", "<article><h1>").replace("</p></div>", "</p></article></div>")
+    out = texts(spark, [marked.format("c", "copied text", f"day {i}") for i in range(190)])
+    assert set(out.values()) == {"Title c copied text"}
