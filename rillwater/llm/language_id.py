@@ -31,9 +31,11 @@ UNDETERMINED = "und"
 
 @dataclass
 class Settings:
-    """``train_rows`` bounds the sample that is trained on (expected number of rows)."""
+    """``train_rows`` bounds the sample that is trained on (expected number of rows); up to half as many
+    again give each label ``least_rows``, or all rows it has."""
 
     train_rows: int = 3000
+    least_rows: int = 50
     buckets: int = 1 << 16
     dimension: int = 16
     sizes: tuple[int, int] = (2, 4)
@@ -122,13 +124,18 @@ def fit(texts: list[str], labels: list[str], s: Settings) -> Model:
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang",
           settings: Settings | None = None) -> Model:
-    """A model from a bounded sample of the rows that have text and label."""
+    """A model from a bounded sample, drawn by label, of the rows that have text and label."""
     s = settings or Settings()
     usable = labelled.where(col(label_col).isNotNull() & col(text_col).isNotNull())
-    ids = usable.select(col(id_col))
-    n = ids.count()
-    share = F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 30))
-    chosen = usable if n <= s.train_rows else usable.where(share < int((1 << 30) * s.train_rows / n))
+    counts = usable.groupBy(col(label_col).alias("label")).agg(F.count("*").alias("n")).collect()  # a row for each class of the model
+    n, chosen = sum(c["n"] for c in counts), usable
+    if n > s.train_rows:
+        # Rows of a label in proportion to its share, but as many as can be given to every label.
+        least = min(s.least_rows, max(1, s.train_rows // (2 * len(counts))))
+        share = [(c["label"], int((1 << 30) * min(1.0, max(s.train_rows / n, least / c["n"])))) for c in counts]
+        wanted = usable.sparkSession.createDataFrame(share, "_label_ string, _share_ bigint")
+        drawn = F.pmod(F.xxhash64(col(id_col)), F.lit(1 << 30)) < F.col("_share_")
+        chosen = usable.join(F.broadcast(wanted), col(label_col).cast("string") == F.col("_label_")).where(drawn)
     # The sample is bounded by the parameter, whatever the number of rows.
     rows = sorted((r for r in chosen.select(F.crc32(F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary")).alias("k"),
                                             col(text_col).alias("t"), col(label_col).alias("y")).limit(2 * s.train_rows).collect()),

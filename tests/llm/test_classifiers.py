@@ -41,6 +41,15 @@ def test_odd_rows_and_clashing_names(make_docs):
     assert out[None]["lang_pred"] == "en" and out[103]["lang_pred"] == "en" and out[0]["lang_pred"] == "de"
 
 
+def test_rare_labels_are_in_the_sample(make_docs, monkeypatch):
+    rows = [(i, f"the house {i}" if i % 2 else f"das haus {i}", "en" if i % 2 else "de") for i in range(8000)]
+    docs = make_docs(rows + [(10_000 + i, f"la casa {i}", "es") for i in range(16)])
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels, s: seen.extend(labels))
+    language_id.train(docs, settings=language_id.Settings(train_rows=200))
+    assert seen.count("es") == 16 and seen.count("en") > 60 and seen.count("de") > 60 and len(seen) <= 400
+
+
 def test_without_labels_and_without_rows(make_docs):
     docs = make_docs([(1, "some text"), (2, None)])
     model = language_id.train(docs)
