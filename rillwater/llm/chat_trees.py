@@ -14,8 +14,9 @@ assistant's texts, end exclusive.
 
 Defined results: null texts and roles count as empty. Messages whose parent is missing are roots;
 messages that reply to each other in a circle have no root and are left out. Of messages with
-the same tree and node all are kept, as turns of one place ordered by role and text. A null tree
-is a tree of its own. An empty table gives no rows. Other columns take no part.
+the same tree and node all are kept, as turns of one place ordered by role and text; messages
+without a node have no place in a tree and are left out. A null tree is a tree
+of its own. An empty table gives no rows. Other columns take no part.
 """
 
 from __future__ import annotations

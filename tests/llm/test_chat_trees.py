@@ -61,3 +61,12 @@ def test_long_chain_and_empty_table(spark, tree):
     got = read(chat_trees.conversations(chain, "t", "n", "p"))
     assert [t["text"] for t in got[(1, 1)]["turns"]] == [f"m{i}" for i in range(300)]
     assert chat_trees.conversations(tree.limit(0), "t", "n", "p").count() == 0
+
+
+def test_messages_without_a_node_are_left_out(spark):
+    rows = [(1, "a", None, "user", "hi"), (1, "b", "a", "assistant", "yes"), (1, None, "a", "user", "lost"), (1, None, None, "user", "lost"),
+            (2, None, None, "user", "lost"), (None, "c", None, "user", "kept")]
+    messages = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string")
+    found = read(chat_trees.conversations(messages, "tree", "node", "parent", paths=3))
+    turns = {k: [tuple(t) for t in r["turns"]] for k, r in found.items()}
+    assert turns == {(1, 1): [("user", "hi"), ("assistant", "yes")], (None, 1): [("user", "kept")]}
