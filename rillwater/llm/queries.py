@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, toxicity
+from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, toxicity, vector_codes
 from rillwater.llm.pipeline import vocabulary
 from rillwater.llm.tables import table
 
@@ -127,3 +127,38 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = main_text.main_text(table(spark, sf_dir, "pages"), [F.col("page_id"), F.col("url")])
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other, every part compared with every entry."""
+    def near(n: int) -> str:
+        return f"""n{n} AS MATERIALIZED (SELECT nth, part, min({{'apart': list_sum(list_transform(list_zip(piece, middle), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT,
+                                     'entry': entry}}) AS best FROM pieces JOIN b{n} USING (part) GROUP BY nth, part)"""
+
+    def move(n: int) -> str:
+        return f"""s{n} AS (SELECT part, entry, place, sum(x)::HUGEINT AS total, count(*) AS number
+               FROM (SELECT part, best.entry AS entry, unnest(piece) AS x, generate_subscripts(piece, 1) AS place FROM n{n} JOIN pieces USING (nth, part))
+               GROUP BY part, entry, place),
+        t{n} AS (SELECT part, entry, list((total - (total % number + number) % number) // number ORDER BY place) AS middle FROM s{n} GROUP BY part, entry),
+        b{n + 1} AS MATERIALIZED (SELECT part, entry, coalesce(t{n}.middle, b{n}.middle)::BIGINT[] AS middle FROM b{n} LEFT JOIN t{n} USING (part, entry))"""
+
+    steps = ", ".join(f"{near(n)}, {move(n)}" for n in range(rounds))
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS nth, vec_id, label,
+                     list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT nth, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS piece
+           FROM kept, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, nth AS entry, piece AS middle FROM pieces WHERE nth < {entries}),
+{steps},
+{near(rounds)},
+codes AS (SELECT nth, string_agg(format('{{:02x}}', best.entry), '' ORDER BY part) AS code, sum(best.apart)::BIGINT AS error FROM n{rounds} GROUP BY nth)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(middle, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM codes JOIN kept USING (nth)"""
+
+
+@query("op11_vector_codes", _vector_codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
