@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, toxicity, vector_codes
+from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, ranked_search, toxicity, vector_codes
 from rillwater.llm.pipeline import vocabulary
 from rillwater.llm.tables import table
 
@@ -162,3 +162,22 @@ FROM codes JOIN kept USING (nth)"""
 def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = vector_codes.compress(table(spark, sf_dir, "embeddings"))
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+@query("op13_ranked_search", r"""
+WITH words AS (SELECT n, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents)),
+counted AS MATERIALIZED (SELECT n, doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT n, sum(tf)::BIGINT AS terms FROM counted GROUP BY n),
+whole AS (SELECT count(*) AS documents, sum(terms)::BIGINT AS terms FROM sizes),
+asked AS MATERIALIZED (SELECT DISTINCT i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+weights AS (SELECT term, floor(1000 * ln((2 * whole.documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole
+            WHERE term IN (SELECT term FROM asked) GROUP BY term, whole.documents),
+scored AS (SELECT i, item_id, n, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * sizes.terms * whole.documents) // whole.terms))))::BIGINT AS score
+           FROM asked JOIN weights USING (term) JOIN counted USING (term) JOIN sizes USING (n), whole GROUP BY i, item_id, n, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM
+    (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")

@@ -6,7 +6,7 @@ fewer words than the n-gram has one shingle of all its words; a text without wor
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -25,23 +25,29 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _PLACES = _mix(np.arange(1, _LONGEST + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _cuts(data: bytes) -> Iterator[bytes]:
-    """The bytes of a text in groups that end between words (a word longer than a group is cut)."""
+VISIBLE = np.arange(256) > 32
+
+
+def _cuts(data: bytes, letters: np.ndarray) -> Iterator[bytes]:
+    """The bytes of a text in groups that end between words (a word longer than a group stays whole)."""
     start = 0
     while len(data) - start > GROUP_BYTES:
-        end = start + GROUP_BYTES
-        while end > start and data[end] > 32:
-            end -= 1
-        end = end if end > start else start + GROUP_BYTES
+        codes = np.frombuffer(data, np.uint8, GROUP_BYTES, start)
+        gaps = np.flatnonzero(~letters[codes[::-1]][:GROUP_BYTES - 1])
+        if len(gaps):
+            end = start + GROUP_BYTES - 1 - int(gaps[0])
+        else:
+            after = np.flatnonzero(~letters[np.frombuffer(data, np.uint8, offset=start + GROUP_BYTES)])
+            end = start + GROUP_BYTES + int(after[0]) if len(after) else len(data)
         yield data[start:end]
         start = end
     yield data[start:]
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(data: bytes, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first byte of every word: a sum of its bytes, each times a number of its place."""
     codes = np.frombuffer(data, np.uint8)
-    letters = codes > 32
+    letters = letters[codes]
     edges = np.flatnonzero(np.diff(letters, prepend=False, append=False))
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
@@ -56,10 +62,10 @@ def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _mix(np.add.reduceat(value, firsts) + sizes.astype(np.uint64)), starts
 
 
-def _all_words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def _all_words(data: Iterable[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts end to end, and how many each text has."""
     hashes: list[np.ndarray] = [np.zeros(0, np.uint64)]
-    counts = np.zeros(len(texts), np.int64)
+    counts: list[int] = []
     group: list[bytes] = []
     owners: list[int] = []
     size = 0
@@ -67,28 +73,39 @@ def _all_words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     def settle() -> None:
         nonlocal size
         if group:
-            found, starts = _word_hashes(b" ".join(group))
+            found, starts = _word_hashes(b" ".join(group), letters)
             ends = np.cumsum([len(g) + 1 for g in group])
-            np.add.at(counts, owners, np.diff(np.searchsorted(starts, ends), prepend=0))
+            for owner, n in zip(owners, np.diff(np.searchsorted(starts, ends), prepend=0).tolist()):
+                counts[owner] += n
             hashes.append(found)
         group.clear()
         owners.clear()
         size = 0
 
-    for i, text in enumerate(texts):
-        for part in _cuts(text.lower().encode("utf-8", "surrogatepass")):
+    for i, text in enumerate(data):
+        counts.append(0)
+        for part in _cuts(text, letters):
             group.append(part)
             owners.append(i)
             size += len(part)
             if size >= GROUP_BYTES:
                 settle()
     settle()
-    return np.concatenate(hashes), counts
+    return np.concatenate(hashes), np.array(counts, np.int64)
+
+
+def word_hashes(texts: Sequence[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of the given bytes, A-Z lowered, of all texts end to end, and how many each text has."""
+    return _all_words((text.encode("utf-8", "surrogatepass").lower() for text in texts), letters)
 
 
 def shingle_hashes(texts: Sequence[str], words: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of all texts end to end (with repetitions), and how many each text has."""
-    hashed, counts = _all_words(texts)
+    return word_runs(*_all_words((text.lower().encode("utf-8", "surrogatepass") for text in texts), VISIBLE), words)
+
+
+def word_runs(hashed: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of so many words of texts given by their words' hashes, and how many each text has."""
     starts = np.cumsum(counts) - counts
     n = np.where(counts >= words, counts - words + 1, (counts > 0).astype(np.int64))
     at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(n.sum())
