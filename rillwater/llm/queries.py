@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rillwater.llm import chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, ranked_search, toxicity, vector_codes
+from rillwater.llm import bbit_minhash, chat_trees, exact_dedup, fingerprints, language_id, main_text, mixing, ngram_join, packing, personal_data, ranked_search, toxicity, vector_codes
 from rillwater.llm.pipeline import vocabulary
 from rillwater.llm.tables import table
 
@@ -164,6 +164,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
+@query("op12_bbit_minhash")
+def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @query("op13_ranked_search", r"""
 WITH words AS (SELECT n, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT row_number() OVER () AS n, doc_id, text FROM documents)),
