@@ -164,7 +164,21 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
 
 
-@query("op12_bbit_minhash")
+@query("op12_bbit_minhash", r"""
+WITH RECURSIVE words AS MATERIALIZED (
+    SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                 '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT n, doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(generate_series(1, greatest(len(w) - 3, 1)),
+                      lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM words),
+nodes AS MATERIALIZED (SELECT row_number() OVER () AS node, s, len(s) AS size, min(doc_id) AS first_id FROM sets WHERE len(s) > 0 GROUP BY s),
+held AS MATERIALIZED (SELECT node, size, unnest(s) AS x FROM nodes),
+links AS MATERIALIZED (SELECT a.node AS u, b.node AS v FROM held a JOIN held b ON a.x = b.x AND a.node <> b.node AND 5 * a.size >= 4 * b.size AND 5 * b.size >= 4 * a.size
+                       GROUP BY a.node, b.node, a.size, b.size HAVING 100 * count(*) >= 80 * (a.size + b.size - count(*))),
+reached(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, l.v FROM reached r JOIN links l ON l.u = r.other),
+names AS (SELECT r.node, min(o.first_id) AS component_id FROM reached r JOIN nodes o ON o.node = r.other GROUP BY r.node)
+SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) > 0 THEN component_id ELSE doc_id END AS component_id,
+       doc_id IS NOT DISTINCT FROM CASE WHEN len(sets.s) > 0 THEN component_id ELSE doc_id END AS kept
+FROM sets LEFT JOIN (SELECT s, component_id FROM nodes JOIN names USING (node)) named ON named.s = sets.s""")
 def op12_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bbit_minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
