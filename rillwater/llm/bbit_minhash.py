@@ -10,9 +10,9 @@
 3. What is left is confirmed on full sets: the nodes of a centre are dealt into groups of about
    ``GROUP_NODES``, and all pairs of a group are compared. Components of the links are first classes.
 4. Buckets of which all nodes are in one class are finished. In the others only pairs of different classes
-   are open: the largest class of a bucket and the rest are cut into blocks, the rest's blocks meet each
-   other and the largest class's, signatures are compared by matrix, and nodes with an open candidate
-   are confirmed on full sets. So each two nodes that share a bucket have been compared or are in one
+   are open: the nodes outside a bucket's largest class meet each other, and those of all buckets with the same
+   largest class meet that class once, in blocks of which signatures are compared by matrix; nodes with an
+   open candidate are confirmed on full sets. So each two nodes that share a bucket have been compared or are in one
    class already, and no list of a group's pairs is ever made.
 5. Components of all links name the classes.
 
@@ -43,7 +43,8 @@ from rillwater.llm.tables import col, shuffle_partitions, small_batches, written
 
 BITS = 2
 SIGMAS = 6.0
-GROUP_NODES = 64
+GROUP_NODES = 64  # of a centre that are confirmed together
+BLOCK_NODES = 512  # whose signatures are compared with another block's
 
 WORD_BYTES = np.ones(256, bool)
 WORD_BYTES[[32, *range(9, 14)]] = False
@@ -180,23 +181,40 @@ def confirmed(tasks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _open_blocks(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows (task, node, mark, list) of blocks whose nodes of different classes are still to be compared, from (band, node, label)."""
+    """Rows (task, node, mark, list) of blocks whose nodes of different classes are still to be compared, from (band, node, label).
+
+    A class that is the largest in many buckets meets the others of all of them once, not once a bucket.
+    """
     groups = members.groupBy("band", "label").agg(F.count("*").alias("n"))
     about = groups.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("main_nodes"), F.sum("n").alias("all_nodes"))
     # Buckets of two nodes were compared as node and centre.
-    about = written(about.where("main_nodes < all_nodes and all_nodes > 2").select(
-        "band", "main", F.ceil(F.col("main_nodes") / GROUP_NODES).cast("int").alias("mains"),
-        F.ceil((F.col("all_nodes") - F.col("main_nodes")) / GROUP_NODES).cast("int").alias("rests")), "open-buckets")
-    dealt = members.join(about, "band").withColumn("is_main", F.col("label") == F.col("main"))
-    block = F.pmod(F.xxhash64("node", F.lit(31)), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    dealt = dealt.withColumn("block", block)
-    zero, own = F.lit(0), F.col("block")
-    with_main = F.transform(F.sequence(zero, F.col("rests") - 1), lambda r: F.struct(zero.alias("kind"), own.alias("i"), r.alias("j")))
-    rest_and_main = F.transform(F.sequence(zero, F.col("mains") - 1), lambda m: F.struct(zero.alias("kind"), m.alias("i"), own.alias("j")))
-    rest_and_rest = F.transform(F.sequence(zero, F.col("rests") - 1), lambda r: F.struct(F.lit(1).alias("kind"), F.least(own, r).alias("i"), F.greatest(own, r).alias("j")))
-    each = dealt.select("node", "label", "band", F.explode(F.when(F.col("is_main"), with_main).otherwise(F.concat(rest_and_main, rest_and_rest))).alias("p"))
-    each = each.select(F.concat_ws("/", "band", "p.kind", "p.i", "p.j").alias("task"), "node", F.col("label").alias("mark"))
-    return each.join(nodes.select("node", F.col("signature").alias("list")), "node")
+    about = written(about.where("main_nodes < all_nodes and all_nodes > 2").select("band", "main"), "open-buckets")
+    opened = written(members.join(about, "band"), "open-members")
+    zero, own, is_main = F.lit(0), F.col("block"), F.col("label") == F.col("main")
+
+    def numbers(n: str) -> Column:
+        return F.sequence(zero, F.col(n) - 1)
+
+    def block(*salts) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(31)), *salts).cast("int")
+
+    sides = written(opened.select("main", "node", "label").distinct(), "sides")
+    size = sides.groupBy("main").agg(F.ceil(F.count_if(is_main) / BLOCK_NODES).cast("int").alias("mains"),
+                                     F.ceil(F.count_if(~is_main) / BLOCK_NODES).cast("int").alias("rests"))
+    dealt = sides.join(written(size, "side-sizes"), "main").withColumn("block", block(F.when(is_main, F.col("mains")).otherwise(F.col("rests"))))
+    pairs = F.when(is_main, F.transform(numbers("rests"), lambda r: F.struct(own.alias("i"), r.alias("j")))).otherwise(
+        F.transform(numbers("mains"), lambda m: F.struct(m.alias("i"), own.alias("j"))))
+    across = dealt.select("node", "label", "main", F.explode(pairs).alias("p")).select(
+        F.concat_ws("/", F.lit("m"), "main", "p.i", "p.j").alias("task"), "node", F.col("label").alias("mark"))
+
+    rest = opened.where(~is_main).select("band", "node", "label")
+    size = rest.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("rests"), F.min("label").alias("low"), F.max("label").alias("high"))
+    size = written(size.where("low != high").select("band", "rests"), "rest-sizes")
+    dealt = rest.join(size, "band").withColumn("block", block(F.col("rests")))
+    pairs = F.transform(numbers("rests"), lambda r: F.struct(F.least(own, r).alias("i"), F.greatest(own, r).alias("j")))
+    among = dealt.select("node", "label", "band", F.explode(pairs).alias("p")).select(
+        F.concat_ws("/", F.lit("r"), "band", "p.i", "p.j").alias("task"), "node", F.col("label").alias("mark"))
+    return across.unionByName(among).join(nodes.select("node", F.col("signature").alias("list")), "node")
 
 
 def _open_nodes(blocks: DataFrame, most: int) -> DataFrame:

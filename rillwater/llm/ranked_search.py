@@ -41,9 +41,10 @@ from pyspark.sql import functions as F
 
 from rillwater.llm.shingles import word_hashes
 from rillwater.llm.tables import col, small_batches, written
+from rillwater.plans.keep import scratch
 
-BLOCK_DOCS = 4096
-BLOCK_CHARS = 12 << 20
+BLOCK_DOCS = 2048
+BLOCK_CHARS = 4 << 20
 ITEM_TERMS = 500_000  # terms of items that are searched in one pass
 ITEMS_AT_ONCE = 16
 RANGES_AT_ONCE = 256
@@ -340,6 +341,15 @@ def build_index(docs: DataFrame, counts: tuple[int, int], id_col: str = "doc_id"
     return small_batches(given).mapInArrow(run, schema)
 
 
+def _stored(index: DataFrame) -> DataFrame:
+    """The index in the shared folder. Its rows are megabytes each, so the writer looks at their size after every one."""
+    path = scratch(index.sparkSession, "treaps")
+    index.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20),
+                           "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+                           "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}).parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def holders(index: DataFrame, words: np.ndarray) -> dict[int, int]:
     """How many documents hold each of the sorted term hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +410,7 @@ def rank(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """(item, rank, id, score): for each item its best documents with a score above 0."""
     spark = docs.sparkSession
     counts = corpus_counts(docs, text_col)
-    index = written(build_index(docs, counts, id_col, text_col), "treaps")
+    index = _stored(build_index(docs, counts, id_col, text_col))
     item_type = items.schema[item_col].dataType
     found = None
     for names, words in _item_groups(items, item_col, item_text_col):

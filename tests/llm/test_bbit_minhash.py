@@ -84,6 +84,7 @@ def test_equals_brute_force(make_docs, planted):
 
 def test_small_groups_and_blocks_change_nothing(make_docs, planted, monkeypatch):
     monkeypatch.setattr(bbit_minhash, "GROUP_NODES", 3)
+    monkeypatch.setattr(bbit_minhash, "BLOCK_NODES", 4)
     rows = [r for r in planted if r[0] is not None and len(r[1] or "") < 10_000]
     assert found(bbit_minhash.near_duplicates(make_docs(rows))) == brute(rows)
 
