@@ -90,10 +90,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return _stored[-1][1]
 
 
-def remove_stored() -> None:
-    """Delete the tables that ``store`` and ``scratch`` made, once their results are used up."""
-    while _stored:
-        spark, path = _stored.pop()
+def stored() -> int:
+    """How many tables ``store`` and ``scratch`` have made and not removed."""
+    return len(_stored)
+
+
+def remove_stored(since: int = 0, until: int | None = None) -> None:
+    """Delete tables that ``store`` and ``scratch`` made, once their results are used up.
+
+    ``since`` and ``until`` are numbers given by ``stored``: only what was made in between goes.
+    """
+    gone = _stored[since:until]
+    del _stored[since:until]
+    for spark, path in reversed(gone):
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
