@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillwater.llm import sieve
 from rillwater.llm.tables import col, written
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -70,20 +71,21 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pref
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64) -> DataFrame:
-    """The documents without all copies but one, with the columns they came with."""
+    """The documents without all copies but one, with the columns they came with.
+
+    Which rows go is decided on ids and hashes. A bitmap of their keys lets the other rows pass as they are
+    read; of whole rows only those that share a bit with a key are shuffled (see ``sieve``).
+    """
     groups = copy_groups(docs, id_col, text_col, prefix)
-    rows = docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), col(id_col).alias("id"),
-                       full_hash(col(text_col)).alias("text_sha256"))
-    kept = rows.join(groups, "text_sha256", "left").where(
-        F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))
-    # Of rows alike in id and text all pass so far; ids that do so are few, and found on the small columns.
-    pairs = docs.select(col(id_col).alias("id"), full_hash(col(text_col)).alias("text_sha256"))
-    again = pairs.groupBy("id", "text_sha256").agg(F.count("*").alias("alike")).where("alike > 1")
-    again = written(again.join(groups, "text_sha256", "left_semi"), "alike").select(
-        F.col("id").alias("id2"), F.col("text_sha256").alias("hash2"))
-    if again.isEmpty():
-        return kept.select("row.*")
-    same = F.col("id").eqNullSafe(F.col("id2")) & (F.col("text_sha256") == F.col("hash2"))
-    single = kept.join(again, same, "left_anti").select("row")
-    repeated = kept.join(again, same, "left_semi").groupBy("id", "text_sha256").agg(F.first("row").alias("row"))
-    return single.unionByName(repeated.select("row")).select("row.*")
+    row = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    keyed = docs.select(row, col(id_col).alias("id"), full_hash(col(text_col)).alias("text_sha256"))
+    keyed = keyed.withColumn("key", sieve.text_key(F.col("text_sha256"), F.col("id")))
+    keys = written(keyed.select("id", "text_sha256", "key"), "keys-of-rows")
+    members = written(sieve.split(keys, "text_sha256", groups)[1].join(groups, "text_sha256"), "copies")
+    stays = F.col("id").eqNullSafe(F.col("keep_id"))
+    # Rows alike in id and text would all stay: they go as well, and one of them comes back.
+    alike = written(members.where(stays).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "alike")
+    gone = written(members.where(~stays).select("key").unionByName(alike), "gone")
+    kept = sieve.anti(keyed.select("row", "key"), "key", gone, keys)
+    one = sieve.semi(keyed.select("row", "key"), "key", alike).groupBy("key").agg(F.first("row").alias("row"))
+    return kept.select("row").unionByName(one.select("row")).select("row.*")

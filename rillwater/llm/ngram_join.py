@@ -27,9 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillwater.llm import sieve
 from rillwater.llm.components import components
 from rillwater.llm.shingles import _mix, distinct, shingle_hashes
 from rillwater.llm.tables import col, shuffle_partitions, small_batches, written
@@ -265,8 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = clusters.join(nodes.select("node", "first_id", "copies", "shingles"), "node")
     members = written(members.select("component", "node", "first_id", "copies", "shingles"), "cluster-members")
     wanted = members.select("first_id").distinct()
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("t"))
-    texts = texts.join(wanted, F.col("id").eqNullSafe(F.col("first_id")), "left_semi").select("t")
+    # Texts that no cluster needs leave before any shuffle; of the others a few too many are hashed, and leave as sets.
+    texts = sieve.split(docs.select(col(id_col).alias("first_id"), col(text_col).alias("t")), "first_id", wanted)[1].select("t")
     sets = _shingle_sets(texts, words).join(members.select("node"), "node", "left_semi").dropDuplicates(["node"])
     sets = written(sets, "shingle-sets")
     pairs = written(_blocks(members.select("component", "node", "copies", "shingles"), threshold), "block-pairs")
@@ -289,29 +290,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The documents without all of each class but the one with the smallest id, with the columns they came with."""
-    found = near_duplicates(docs, id_col, text_col, **settings).groupBy("id", "text_hash", "class_id", "class_key").agg(F.count("*").alias("alike"))
-    found = written(found, "near-duplicates")
-    out = F.struct(*[col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(out, col(id_col).alias("id"), F.xxhash64(F.coalesce(col(text_col), F.lit(""))).alias("text_hash"))
-
-    def same(other: DataFrame) -> Column:
-        return rows["id"].eqNullSafe(other["id2"]) & (rows["text_hash"] == other["hash2"])
-
-    def pairs(where: Column) -> DataFrame:
-        return found.where(where).select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2"))
+    """The documents without all of each class but the one with the smallest id, with the columns they came with.
 
+    Which rows go is decided on ids and hashes; the others pass a bitmap as they are read (see ``sieve``).
+    """
+    found = near_duplicates(docs, id_col, text_col, **settings).groupBy("id", "text_hash", "class_id", "class_key").agg(F.count("*").alias("alike"))
+    found = written(found.withColumn("key", sieve.text_key(F.col("id"), F.col("text_hash"))), "near-duplicates")
+    row = F.struct(*[col(c) for c in docs.columns]).alias("row")
+    keyed = docs.select(row, sieve.text_key(col(id_col), F.xxhash64(F.coalesce(col(text_col), F.lit("")))).alias("key"))
     keeps = F.col("id").eqNullSafe(F.col("class_id"))
     # An id with several texts of one class stays with one of them, and so does a row that repeats.
-    first = found.where(keeps).groupBy("class_key").agg(F.first("class_id").alias("class_id"), F.min("text_hash").alias("text_hash"), F.sum("alike").alias("alike"))
+    first = found.where(keeps).groupBy("class_key").agg(F.min_by("key", "text_hash").alias("key"), F.sum("alike").alias("alike"))
     repeated = written(first.where("alike > 1"), "repeated")
-    lost = pairs(~keeps)
-    if repeated.isEmpty():
-        return rows.join(lost, same(lost), "left_anti").select("row.*")
     doubled = found.where(keeps).join(repeated.select("class_key"), "class_key", "left_semi")
-    doubled = written(doubled.select(F.col("id").alias("id2"), F.col("text_hash").alias("hash2")), "doubled")
-    away = lost.unionByName(doubled)
-    single = rows.join(away, same(away), "left_anti").select("row")
-    chosen = repeated.select(F.col("class_id").alias("id2"), F.col("text_hash").alias("hash2"))
-    one = rows.join(chosen, same(chosen), "left_semi").groupBy("id", "text_hash").agg(F.first("row").alias("row")).select("row")
-    return single.unionByName(one).select("row.*")
+    gone = written(found.where(~keeps).select("key").unionByName(doubled.select("key")), "gone")
+    kept = sieve.anti(keyed, "key", gone, found)
+    one = sieve.semi(keyed, "key", repeated).groupBy("key").agg(F.first("row").alias("row"))
+    return kept.select("row").unionByName(one.select("row")).select("row.*")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rillwater.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from rillwater.llm.tables import col, table, written
+from rillwater.plans import keep
 
 ORACLE_SQL: str | None = None  # the language model and MinHash cannot be stated in SQL; see tests/llm
 
@@ -61,5 +62,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = keep.stored()
+        out = stage(spark, docs, sf_dir)
+        after = keep.stored()
+        docs = written(out, name.replace(" ", "-"))
+        keep.remove_stored(before, after)  # the stage's own tables, now that its result is stored
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -37,3 +37,24 @@ def split(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFr
     there = F.coalesce((byte.bitwiseAND(F.lit(255)) / F.pow(F.lit(2), bit % 8)).cast("int") % 2 == 1, F.lit(False))
     marked = marked.withColumn("__there", there)
     return tuple(marked.where(F.col("__there") == found).select(*[F.col(f"`{c}`") for c in rows.columns]) for found in (False, True))
+
+
+def semi(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows that have one of the keys; only these and the few that share a bit with them are shuffled."""
+    return split(rows, key, keys)[1].join(keys.select(key).distinct(), key, "left_semi").select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def anti(rows: DataFrame, key: str, keys: DataFrame, all_keys: DataFrame) -> DataFrame:
+    """The rows that have none of the keys.
+
+    ``all_keys`` has the key of every row and little else: there it is found which rows only share
+    a bit with one of the keys. Rows that do have one are never shuffled, so many of them cost no more than few.
+    """
+    without, maybe = split(rows, key, keys)
+    spared = split(all_keys.select(key), key, keys)[1].join(keys.select(key).distinct(), key, "left_anti")
+    return without.unionByName(semi(maybe, key, written(spared.distinct(), "spared")))
+
+
+def text_key(*parts: Column) -> Column:
+    """One text for several columns; nulls differ from all values."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("="), F.replace(p.cast("string"), F.lit("|"), F.lit("||"))), F.lit("-")) for p in parts])
