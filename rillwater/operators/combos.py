@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rillwater.config import Roles
 from rillwater.functions.numbers import min_max, total
 from rillwater.operators.correlation import target_correlation
-from rillwater.plans.keep import cached
+from rillwater.plans.keep import cached, store
 
 # Bits handled per round when adding up supersets: a mask yields at most 2^6 rows.
 BITS_PER_ROUND = 6
@@ -78,7 +78,7 @@ def combination_counts(masks: DataFrame, variables: Sequence[str], sizes: Sequen
         raise ValueError(f"masks have {MASK_BITS} bits; {p} variables do not fit")
     wanted = sorted({k for k in sizes if 0 < k <= p})
     every = subsets(masks.sparkSession, p, wanted)
-    if sum(comb(p, k) for k in range(max(wanted, default=0) + 1)) * 4 < 1 << p:
+    if wanted and not _few_masks(p, wanted):
         # Few of all combinations are wanted: a row is handed to those of its mask.
         counts = subset_counts(masks.select("mask", "n_rows"), p, wanted)
     else:
@@ -97,25 +97,37 @@ def _grown(rows: DataFrame, p: int, allowed: Column) -> DataFrame:
 
 
 def subsets(spark: SparkSession, p: int, sizes: Sequence[int]) -> DataFrame:
-    """(k, mask) of every subset of the given sizes, made size by size from the sizes below only."""
+    """(k, mask) of every subset of the given sizes.
+
+    Where they are a good part of all 2^p masks these are counted through; else each size is made
+    from the one below and stored, so that no step is done again for the next.
+    """
+    if not sizes:
+        return spark.range(0).select(F.lit(0).alias("k"), F.col("id").alias("mask"))
+    if _few_masks(p, sizes):
+        every = spark.range(1 << p).select(F.bit_count("id").alias("k"), F.col("id").alias("mask"))
+        return every.where(F.col("k").isin([int(k) for k in sizes]))
     rows = spark.range(1).select(F.lit(0).cast("bigint").alias("mask"), F.lit(p).alias("lowest"))
     found = []
-    for k in range(1, max(sizes, default=0) + 1):
-        rows = _grown(rows, p, F.lit((1 << p) - 1).cast("bigint"))
+    for k in range(1, max(sizes) + 1):
+        rows = store(_grown(rows, p, F.lit((1 << p) - 1).cast("bigint")), "subsets")
         if k in sizes:
             found.append(rows.select(F.lit(k).alias("k"), "mask"))
-    if not found:
-        return rows.select(F.lit(0).alias("k"), "mask").limit(0)
     return reduce(DataFrame.unionByName, found)
 
 
+def _few_masks(p: int, sizes: Sequence[int]) -> bool:
+    """Whether counting through all masks is less work than making the subsets of the sizes up to the largest."""
+    return 1 << p <= max(4 * sum(comb(p, k) for k in range(max(sizes, default=0) + 1)), 1 << 16)
+
+
 def subset_counts(masks: DataFrame, p: int, sizes: Sequence[int]) -> DataFrame:
     """For every subset of the given sizes that a mask contains, the rows of those masks."""
     rows = masks.groupBy(F.col("mask").alias("whole")).agg(F.sum("n_rows").alias("n_rows")).select(
         "whole", "n_rows", F.lit(0).cast("bigint").alias("mask"), F.lit(p).alias("lowest"))
     found = []
     for k in range(1, max(sizes, default=0) + 1):
-        rows = _grown(rows, p, F.col("whole"))
+        rows = store(_grown(rows, p, F.col("whole")), "subset-rows")
         if k in sizes:
             found.append(rows.select("mask", "n_rows"))
     return reduce(DataFrame.unionByName, found).groupBy("mask").agg(F.sum("n_rows").alias("n_rows"))

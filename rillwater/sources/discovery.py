@@ -75,16 +75,33 @@ def _figures(line: Column) -> Column:
     return F.exists(F.slice(cells, F.lit(2), F.size(cells)), lambda c: F.trim(c) != "")
 
 
+def files_below(spark: SparkSession, root: str, files: str) -> DataFrame:
+    """(file) of every file whose name matches, empty ones included.
+
+    Scans leave files without bytes out of their plans, but Spark's listing, which is spread
+    over the cluster where there are many folders, has them.
+    """
+    listed = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).format("binaryFile")
+              .load(root).inputFiles())
+    return spark.createDataFrame([(f,) for f in listed], "file string")
+
+
 def skipped_summaries(spark: SparkSession, root: str, files: str = SUMMARY_FILE) -> DataFrame:
-    """(experiment_id, reason) of the summary files that ``discover_summaries`` reads nothing from."""
-    paths = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).format("binaryFile")
-             .load(root).select(F.col("path").alias("file")))
-    counts = _summary_lines(spark, root, files).groupBy("file").agg(
-        F.count("*").alias("lines"), F.count(F.when((F.col("at") > F.col("until")) & _figures(F.col("line")), 1)).alias("figures"))
+    """(experiment_id, reason) of the summary files that ``discover_summaries`` reads nothing or not everything from.
+
+    ``empty``, ``no data line``, ``no figures``, or ``cut short`` where a line has fewer cells than the headers.
+    """
+    lines = _summary_lines(spark, root, files)
+    data = F.col("at") > F.col("until")
+    short = data & (F.size(_cells(F.col("line"))) < F.size(_cells(F.col("h1")))) & _figures(F.col("line"))
+    counts = lines.groupBy("file").agg(F.count("*").alias("lines"), F.count(F.when(data & _figures(F.col("line")), 1)).alias("figures"),
+                                       F.count(F.when(short, 1)).alias("short"))
     reason = (F.when(F.col("lines").isNull(), "empty").when(F.col("lines") < 3, "no data line")
-              .when(F.col("figures") == 0, "no figures"))
-    return (paths.join(counts, "file", "left").select(folder_name(F.col("file")).alias("experiment_id"), reason.alias("reason"))
-            .where(F.col("reason").isNotNull()))
+              .when(F.col("figures") == 0, "no figures").when(F.col("short") > 0, "cut short"))
+    plain = F.regexp_replace("file", "^file:/+", "/")
+    paths = files_below(spark, root, files).select(plain.alias("plain")).distinct()
+    return (paths.join(counts.withColumn("plain", plain), "plain", "left")
+            .select(folder_name(F.col("plain")).alias("experiment_id"), reason.alias("reason")).where(F.col("reason").isNotNull()))
 
 
 def discover_summaries(spark: SparkSession, root: str, metrics: Sequence[str],
@@ -121,9 +138,7 @@ def discover_runs(spark: SparkSession, root: str, experiments: Sequence[Experime
     The first experiment whose id is part of the folder name counts. ``snapshot``
     names the folder with the rows inside a run; None if they lie in the run itself.
     """
-    parts = (spark.read.option("recursiveFileLookup", True)
-             .option("pathGlobFilter", "part-*").format("binaryFile").load(root)
-             .select(F.col("path")))
+    parts = files_below(spark, root, "part-*").select(F.col("file").alias("path"))
     if snapshot:
         parts = parts.where(F.col("path").contains(f"/{snapshot}/"))
     runs = parts.select(folder_name(F.col("path"), 2 if snapshot else 1).alias("run_id"),

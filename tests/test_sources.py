@@ -124,14 +124,14 @@ def test_all_lines_and_quoted_cells_of_a_summary_are_read(spark, tmp_path):
     run.mkdir()
     lines = [",R2_log,R2_log", ",mean,std", "model,,", '"a, ""b""",0.5,0.1'] + [f"m{i},{i},1" for i in range(1_000_010)]
     (run / "summary_results.csv").write_text("\n".join(lines))
-    for name, text in (("EMPTY", ""), ("SHORT", ",a\n,b\n"), ("BARE", ",a\n,b\nmodel,\n")):
+    for name, text in (("EMPTY", ""), ("SHORT", ",a\n,b\n"), ("BARE", ",a\n,b\nmodel,\n"), ("CUT", ",a,c\n,b,d\nm,1,2\nn,1")):
         (tmp_path / name).mkdir()
         (tmp_path / name / "summary_results.csv").write_text(text)
     found = discovery.discover_summaries(spark, str(tmp_path), ["R2_log_mean"])
-    assert found.count() == 1_000_011
+    assert found.count() == 1_000_013
     assert found.where("experiment_id = 'EXP_1_20240101' and model = 'a, \"b\"' and R2_log_mean = 0.5").count() == 1
     skipped = {r["experiment_id"]: r["reason"] for r in discovery.skipped_summaries(spark, str(tmp_path)).collect()}
-    assert skipped == {"EMPTY": "empty", "SHORT": "no data line", "BARE": "no figures"}
+    assert skipped == {"EMPTY": "empty", "SHORT": "no data line", "BARE": "no figures", "CUT": "cut short"}
 
 
 def test_swapped_headers_are_an_error(spark, tmp_path):
