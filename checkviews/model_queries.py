@@ -8,8 +8,9 @@ from checkviews.catalog import query, rounded
 from checkviews.feature_queries import basin_table
 from checkviews.views import BASIN_PARAMETERS, KEY, ROLES, r, scores_sql, sql, table, wq
 from rillwater.config import Experiment
+from rillwater.models.adaptive import candidate_scores
 from rillwater.models.clusters import station_clusters
-from rillwater.models.registry import BOOSTING, FOREST, LINEAR, PREDICTION, RIDGE
+from rillwater.models.registry import BOOSTING, FOREST, LINEAR, NETWORK, PREDICTION, RIDGE
 from rillwater.models.search import grid_search, random_search, random_trials
 from rillwater.models.validation import (feature_importance, fit_model, forward_validation,
                                          model_rows, predict, predictions_over_time,
@@ -50,6 +51,66 @@ def linear_cv(spark, sf_dir):
     return rounded(results.select("fold", "model", *_SCORES), 6)
 
 
+@query("network_cv_linear", sql("wq", *_model_sql("v1"), """
+ fits AS (SELECT fold, regr_slope(y, v1) AS slope, regr_intercept(y, v1) AS intercept
+ FROM ranges JOIN used ON row_idx < start GROUP BY fold)""", """
+ tested AS (SELECT ranges.fold, y, intercept + slope * v1 AS p FROM ranges JOIN fits USING (fold)
+ JOIN used ON row_idx >= start AND row_idx < stop)""", f"""
+ scored AS (SELECT fold, {scores_sql()} FROM tested GROUP BY fold)""", f"""
+SELECT CAST(fold AS BIGINT) AS fold, 'MLP Neural Network' AS model, {r('R2')} AS R2_log, {r('RMSE')} AS RMSE_log,
+ 'OK' AS convergence_status FROM scored"""))
+def network_cv_linear(spark, sf_dir):
+    """A network whose units are linear finds the regression line."""
+    done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1"])
+    settings = {"hidden_layer_sizes": (3,), "activation": "identity", "alpha": 0.0, "tol": 1e-7}
+    results = forward_validation(done, features, NETWORK, settings, splits=SPLITS).results
+    return rounded(results.select("fold", "model", "R2_log", "RMSE_log", "convergence_status"))
+
+
+_SEARCH_SPACE = {"n_estimators": (50, 500), "max_depth": (5, 40), "min_samples_leaf": (1, 10)}
+_trial_values = {"n_estimators": "50 + {k} * 37 % 451", "max_depth": "5 + {k} * 11 % 36", "min_samples_leaf": "1 + {k} * 7 % 10"}
+
+
+_RATIO = ("sum(ln((g + 1.0::DOUBLE / (high - low + 1)) / (n_good + 1)) "
+          "- ln((b + 1.0::DOUBLE / (high - low + 1)) / (n_bad + 1)))")
+
+
+def _kernel(part: str) -> str:
+    test = "good" if part == "good" else "NOT good"
+    return f"coalesce(sum(CASE WHEN {test} THEN exp(-0.5 * ((value - center) / h_{part}) ** 2) / (h_{part} * sqrt(2 * pi())) END), 0)"
+
+
+def _bandwidth(n: str) -> str:
+    return f"greatest(1.0::DOUBLE, (high - low) / 5.0::DOUBLE / power(greatest({n}, 1), 0.2::DOUBLE))"
+
+
+@query("adaptive_search_scores", sql("wq", """
+ results AS (SELECT CAST(l_suppkey AS INTEGER) AS trial, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE round(avg(v1), 6) END AS score FROM wq GROUP BY l_suppkey)""", f"""
+ history AS ({' UNION ALL '.join(f"SELECT trial, '{p}' AS parameter, {v.format(k='trial')} AS value, score FROM results" for p, v in _trial_values.items())})""", f"""
+ candidates AS ({' UNION ALL '.join(f"SELECT p_partkey AS candidate, '{p}' AS parameter, {v.format(k='p_partkey')} AS value FROM part" for p, v in _trial_values.items())})""", f"""
+ ranges(parameter, low, high) AS (VALUES {', '.join(f"('{p}', {low}, {high})" for p, (low, high) in _SEARCH_SPACE.items())})""", """
+ best AS (SELECT trial FROM results WHERE score IS NOT NULL ORDER BY score DESC, trial
+          LIMIT (SELECT CAST(ceil(count(score) * 0.25) AS BIGINT) FROM results))""", """
+ marked AS (SELECT parameter, value AS center, trial IN (SELECT trial FROM best) AS good FROM history)""", f"""
+ sizes AS (SELECT *, {_bandwidth('n_good')} AS h_good, {_bandwidth('n_bad')} AS h_bad FROM ranges JOIN (
+   SELECT parameter, count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_bad FROM marked GROUP BY parameter) USING (parameter))""", f"""
+ sums AS (SELECT candidate, parameter, low, high, n_good, n_bad, {_kernel('good')} AS g, {_kernel('bad')} AS b
+   FROM candidates JOIN sizes USING (parameter) JOIN marked USING (parameter) GROUP BY ALL)""", f"""
+SELECT CAST(candidate AS BIGINT) AS candidate, {r(_RATIO, 6)} AS score FROM sums GROUP BY candidate"""))
+def adaptive_search_scores(spark, sf_dir):
+    """Stations as trials, parts as candidates: what the sampler makes of a history of any size."""
+    results = wq(spark, sf_dir).groupBy(F.col("l_suppkey").cast("int").alias("trial")).agg(F.avg("v1").alias("score"))
+    results = results.withColumn("score", F.when(F.col("trial") % 9 != 0, F.round("score", 6)))
+
+    def values(rows, key):
+        return rows.select("*", F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.expr(v.format(k=key)).alias("value"))
+                                                    for p, v in _trial_values.items()])).alias("x")).select(*rows.columns, "x.*")
+
+    candidates = values(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("candidate")), "candidate")
+    ranges = spark.createDataFrame([(p, *ends) for p, ends in _SEARCH_SPACE.items()], "parameter string, low int, high int")
+    return rounded(candidate_scores(values(results, "trial"), candidates, ranges), 6)
+
+
 @query("ridge_closed_form", sql("wq", *_model_sql("v4"), """
  sums AS (SELECT avg(v4) AS mx, avg(y) AS my, covar_pop(v4, y) * count(*) AS sxy, var_pop(v4) * count(*) AS sxx FROM used)""", """
  line AS (SELECT sxy / (sxx + 100000000) AS slope, my - mx * sxy / (sxx + 100000000) AS intercept FROM sums)""", f"""

@@ -8,6 +8,8 @@ from collections.abc import Callable, Mapping
 from pyspark.ml.base import Estimator
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
+from rillwater.models.network import NetworkRegressor
+
 # Model names used in experiment definitions.
 FOREST = "Random Forest"
 BOOSTING = "Gradient Boosting"
@@ -63,8 +65,15 @@ _BOOSTING_PARAMS = {
     "max_bins": ("maxBins", int),
 }
 
+_NETWORK_PARAMS = {
+    "hidden_layer_sizes": ("hiddenLayers", lambda sizes: [int(s) for s in ([sizes] if isinstance(sizes, int) else sizes)]),
+    "activation": ("activation", str), "alpha": ("alpha", float), "max_iter": ("maxIter", int), "tol": ("tol", float),
+    "random_state": ("seed", int),
+}
+
 # Parameters that change the estimator.
-MAPPED = {FOREST: set(_FOREST_PARAMS), BOOSTING: set(_BOOSTING_PARAMS), LINEAR: set(), RIDGE: {"alpha"}}
+MAPPED = {FOREST: set(_FOREST_PARAMS), BOOSTING: set(_BOOSTING_PARAMS), LINEAR: set(), RIDGE: {"alpha"},
+          NETWORK: set(_NETWORK_PARAMS)}
 
 
 def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
@@ -91,11 +100,14 @@ def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
         return LinearRegression(**names, elasticNetParam=0.0, standardization=False,
                                 regParam=penalty, solver="normal")
     if name == NETWORK:
-        raise NotImplementedError("Spark ML has no neural-network regressor")
+        settings = _common(params, _NETWORK_PARAMS)
+        return NetworkRegressor(**names, **settings)
     raise ValueError(f"unknown model {name!r}")
 
 
 def grid_key(name: str, params: Mapping) -> tuple:
     """Trials that give the same estimator share a key and are fitted once."""
     used = MAPPED.get(name, set(params))
-    return tuple(sorted((k, repr(v)) for k, v in params.items() if k in used))
+    # No limit of depth and the deepest tree there can be are one estimator.
+    depth = lambda k, v: DEEPEST if k == "max_depth" and v is None and name in TREES else v
+    return tuple(sorted((k, repr(depth(k, v))) for k, v in params.items() if k in used))

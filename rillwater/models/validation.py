@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rillwater.config import Roles
 from rillwater.models.moments import penalty_of, score_penalties
+from rillwater.models.network import NetworkModel
 from rillwater.models.registry import (FEATURES, LABEL, PREDICTION, RIDGE, SCALED,
                                        make_estimator)
 from rillwater.operators.cleaning import existing
@@ -64,6 +65,8 @@ def fit_model(train: DataFrame, features: Sequence[str], name: str,
 def convergence(model: PipelineModel) -> str:
     """``OK`` or ``Not Converged`` for iterative solvers, ``N/A`` for all others."""
     last = model.stages[-1]
+    if isinstance(last, NetworkModel):
+        return "OK" if last.getOrDefault(last.converged) else "Not Converged"
     if not getattr(last, "hasSummary", False) or last.getSolver() == "normal":
         return "N/A"
     return "OK" if last.summary.totalIterations < last.getMaxIter() else "Not Converged"

@@ -106,8 +106,8 @@ def test_factory_maps_parameters():
     assert (boosting.getMaxIter(), boosting.getMaxDepth(), boosting.getStepSize()) == (100, 3, 0.3)
     with pytest.raises(ValueError):
         registry.make_estimator("other")
-    with pytest.raises(NotImplementedError):
-        registry.make_estimator(registry.NETWORK)
+    with pytest.raises(ValueError, match="activation"):
+        registry.make_estimator(registry.NETWORK, {"activation": "step"})
 
 
 def test_trials(samples):
