@@ -88,9 +88,11 @@ class ChunkTokenizer:
     the end of a word. All other chunks are encoded one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.encoder = Tokenizer.from_file(path)
         vocabulary = self.encoder.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -141,7 +143,7 @@ class ChunkTokenizer:
         whole = {i: self._encode(t) for i, t in enumerate(texts) if OTHER_SPACE.search(t)}
         words = [[] if i in whole else t.split() for i, t in enumerate(texts)]
         flat = list(chain.from_iterable(words))
-        if len(self.chunks) > REMEMBERED_CHUNKS:
+        if len(self.chunks) > self.remembered:
             self.forget()
         if new := [w for w in set(flat) if w not in self.chunks]:
             self._learn(new)
@@ -247,9 +249,12 @@ class Steps:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, keep: Column, text_col: str = "text", tiers: tuple[int, ...] = TIERS,
-         end_token: int = END_TOKEN, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+         end_token: int = END_TOKEN, step_tokens: int = STEP_TOKENS, with_ids: bool = False,
+         remembered: int = REMEMBERED_CHUNKS) -> DataFrame:
     """A row for each piece: the ``keep`` column, start, length, ids_crc32, doc_tokens, sequence_id,
-    offset, sequence_length, step_id (and with ``with_ids`` the piece's ids)."""
+    offset, sequence_length, step_id (and with ``with_ids`` the piece's ids).
+
+    ``remembered`` is how many words a task keeps with their ids; fewer take less memory and more time."""
     if list(tiers) != sorted(set(tiers), reverse=True) or any(t & (t - 1) for t in tiers):
         raise ValueError("tiers are different powers of two, longest first")
     given = docs.select(keep.alias("_key_"), col(text_col).alias("_text_"))
@@ -259,7 +264,7 @@ def pack(docs: DataFrame, tokenizer_path: str, keep: Column, text_col: str = "te
     key_type = given.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer, steps = ChunkTokenizer(tokenizer_path), Packer(tiers), Steps(step_tokens)
+        tokenizer, packer, steps = ChunkTokenizer(tokenizer_path, remembered), Packer(tiers), Steps(step_tokens)
         base = TaskContext.get().partitionId() << SEQUENCE_BITS
         sequence = number = 0
         keys: dict[int, object] = {}  # of documents with pieces that are not placed yet

@@ -19,6 +19,8 @@ from rillwater.llm import exact_dedup, language_id, mixing, ngram_join, packing
 from rillwater.llm.tables import col, table, written
 from rillwater.plans import keep
 
+REMEMBERED = 60_000  # words of a packing task, whose worker has run the other stages too
+
 ORACLE_SQL: str | None = None  # the language model and MinHash cannot be stated in SQL; see tests/llm
 
 
@@ -47,7 +49,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, vocabulary(), col("doc_id"))
+    return packing.pack(docs, vocabulary(), col("doc_id"), remembered=REMEMBERED)
 
 
 STAGES = [
