@@ -15,21 +15,23 @@ from rillwater.operators.products import cross_products, means
 ROUNDING = 1e-13
 
 
-def correlations(df: DataFrame, columns: Sequence[Column]) -> np.ndarray:
-    """Pairwise-complete correlation matrix; NaN where undefined.
+def correlations(df: DataFrame, columns: Sequence[Column], last_only: bool = False) -> np.ndarray:
+    """Pairwise-complete correlation matrix; NaN where undefined. With ``last_only`` the last column of it.
 
     Two scans: one for the means, one for the products around them, so that large
     offsets do not eat up the digits.
     """
     centred = [c.cast("double") - F.lit(m) for c, m in zip(columns, means(df, columns))]
-    found = cross_products(df, centred).get(0)
+    found = cross_products(df, centred, last_only=last_only).get(0)
     if found is None:
-        return np.full((len(columns), len(columns)), np.nan)
+        return np.full((len(columns), 1 if last_only else len(columns)), np.nan)
     n = np.where(found.both > 0, found.both, np.nan)
-    cov = found.product - found.first * found.first.T / n
-    var = found.square - found.first ** 2 / n
-    var = np.where(var > ROUNDING * found.square, var, np.nan)
-    return np.where(found.both >= 2, cov / np.sqrt(var * var.T), np.nan)
+    cov = found.product - found.first * found.other / n
+    spread = []
+    for total, square in ((found.first, found.square), (found.other, found.other_square)):
+        var = square - total ** 2 / n
+        spread.append(np.where(var > ROUNDING * square, var, np.nan))
+    return np.where(found.both >= 2, cov / np.sqrt(spread[0] * spread[1]), np.nan)
 
 
 def _number(r: float) -> float | None:
@@ -49,7 +51,7 @@ def target_correlation(df: DataFrame, features: Sequence[str], target: str,
     """Correlation of each numeric feature with the (log) target, largest first."""
     names = [f for f in features if f in numeric_columns(df) and f != target]
     y = F.log1p(target) if log else F.col(target)
-    r = correlations(df, [*[F.col(f"`{c}`") for c in names], y])
+    r = correlations(df, [*[F.col(f"`{c}`") for c in names], y], last_only=True)
     rows = [(c, _number(r[i, -1])) for i, c in enumerate(names)]
     table = df.sparkSession.createDataFrame(rows, "variable string, r double")
     return table.orderBy(F.col("r").desc_nulls_last(), "variable")

@@ -1,73 +1,79 @@
-"""Sums of products of many columns, as aggregates of the engine.
+"""Sums of products of many columns from one scan.
 
-p columns need about 4 p^2 sums. They are taken in tiles of a few columns by a few columns,
-each an aggregation small enough for generated code that reads only its own columns; tiles
-run side by side. Every sum is combined in the tasks before it is shuffled.
+Tasks read the columns in Arrow blocks and add up matrix products of the values and of their presence;
+matrices of many tasks are added up in parts of a size that the engine picks, so few reach the driver,
+each the square of the number of columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import inheritable_thread_target
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Columns on each side of a tile; a tile has at most six sums for each pair.
-TILE = 5
-AT_ONCE = 4
+SCHEMA = "block int, sums binary"
 
 
 @dataclass
 class Products:
-    """Sums over the rows in which both variables of a pair are present."""
+    """Sums over the rows in which both variables of a pair are present.
+
+    With ``last_only`` the second variable of every pair is the last column.
+    """
 
     both: np.ndarray    # rows with i and j
     product: np.ndarray  # sum of x_i * x_j
     first: np.ndarray   # sum of x_i where j is present
     square: np.ndarray  # sum of x_i^2 where j is present
+    other: np.ndarray   # sum of x_j where i is present
+    other_square: np.ndarray  # sum of x_j^2 where i is present
 
 
-def _tile(rows: DataFrame, pairs: Sequence[tuple[int, int]]) -> list:
-    sums = []
-    for i, j in pairs:
-        a, b = F.col(f"x{i}"), F.col(f"x{j}")
-        where_b, where_a = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-        sums += [F.count(where_b), F.sum(a * b), F.sum(where_b), F.sum(where_b * where_b)]
-        if i != j:
-            sums += [F.sum(where_a), F.sum(where_a * where_a)]
-    # One row per block comes back, whatever the number of rows.
-    return rows.groupBy("block").agg(*[s.alias(f"s{k}") for k, s in enumerate(sums)]).collect()
+def _sums(x: np.ndarray, last_only: bool) -> np.ndarray:
+    """The six tables of rows x columns values, NaN where absent."""
+    there = ~np.isnan(x)
+    x, there = np.where(there, x, 0.0), there.astype(float)
+    square, y, y_there = x * x, x[:, -1:] if last_only else x, there[:, -1:] if last_only else there
+    return np.stack([there.T @ y_there, x.T @ y, x.T @ y_there, square.T @ y_there, there.T @ y, there.T @ (y * y)])
 
 
-def cross_products(df: DataFrame, columns: Sequence[Column],
-                   block: Column | None = None) -> dict[int, Products]:
-    """Products of the columns per block (block 0 when none is given)."""
+def cross_products(df: DataFrame, columns: Sequence[Column], block: Column | None = None, last_only: bool = False) -> dict[int, Products]:
+    """Products of the columns per block (block 0 when none is given). NaN counts as absent."""
     p = len(columns)
+    shape = (6, p, 1 if last_only else p)
     rows = df.select((F.lit(0) if block is None else block).cast("int").alias("block"),
                      *[c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    starts = range(0, p, TILE)
-    tiles = [[(i, j) for i in range(a, min(a + TILE, p)) for j in range(b, min(b + TILE, p)) if i <= j]
-             for a in starts for b in starts if a <= b]
-    with ThreadPoolExecutor(max_workers=AT_ONCE) as pool:
-        found = list(pool.map(inheritable_thread_target(df.sparkSession)(lambda t: _tile(rows, t)), tiles))
+
+    def handed(found: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v.tobytes() for v in found.values()], pa.binary())],
+                                          names=["block", "sums"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            x = np.stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(p)], axis=1).astype(float)
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            for b in np.unique(numbers):
+                own = x if (numbers == b).all() else x[numbers == b]
+                found[int(b)] = found.get(int(b), 0.0) + _sums(own, last_only)
+        yield handed(found)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, sums in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found[b] = found.get(b, 0.0) + np.frombuffer(sums.as_py()).reshape(shape)
+        yield handed(found)
+
+    # Matrices of many tasks are brought together in parts of like size before the driver sees them.
+    sums = rows.mapInArrow(partial, SCHEMA).hint("rebalance").mapInArrow(added, SCHEMA)
     filled: dict[int, np.ndarray] = {}
-    for pairs, blocks in zip(tiles, found):
-        for row in blocks:
-            table = filled.setdefault(row[0], np.zeros((4, p, p)))
-            at = 1
-            for i, j in pairs:
-                n, product, first, square = (v or 0.0 for v in row[at:at + 4])
-                table[0, i, j] = table[0, j, i] = n
-                table[1, i, j] = table[1, j, i] = product
-                table[2, i, j], table[3, i, j] = first, square
-                at += 4
-                if i != j:
-                    table[2, j, i], table[3, j, i] = (v or 0.0 for v in row[at:at + 2])
-                    at += 2
+    for r in sums.collect():  # a row for each part and block
+        filled[r["block"]] = filled.get(r["block"], 0.0) + np.frombuffer(r["sums"]).reshape(shape)
     return {b: Products(*v) for b, v in filled.items()}
 
 
