@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checkviews.catalog import query, rounded
 from checkviews.views import ROLES, VARIABLES, r, sql, wq
-from rillwater.operators import combos
+from rillwater.operators import combos, pruned
 
 SIZES = (1, 2, 3, 4, 5, 6)
 _P = len(VARIABLES)
@@ -86,3 +86,29 @@ def combo_topk_many(spark, sf_dir):
     rows = wq(spark, sf_dir)
     rows = rows.select("station_code", "target", *[F.when(F.expr(_gap(i)) != 0, 1.0).alias(v) for i, v in enumerate(_MANY)])
     return rounded(combos.top_combinations(rows, ROLES, _MANY, (2, 3)))
+
+
+# Forty variables: fourteen that most rows have among others that few have. The SQL counts through the combinations of
+# the fourteen; its last condition proves that none with another variable could be among the best.
+_GOOD, _WIDE = 14, 40
+_wide = tuple(f"d{i}" for i in range(_WIDE))
+_wide_gap = lambda i: (f"(l_orderkey * {i + 1} + l_partkey) % {29 + 2 * i} <> 0" if i < _GOOD
+                       else f"(l_orderkey + l_partkey * {i}) % {5 + i % 3} = 0")
+_good_mask = " + ".join(f"CASE WHEN {_wide_gap(i)} THEN {1 << (_GOOD - 1 - i)} ELSE 0 END" for i in range(_GOOD))
+_good_names = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN s & {1 << (_GOOD - 1 - i)} <> 0 THEN '{v}' END" for i, v in enumerate(_wide[:_GOOD])) + ")"
+_poor = ", ".join(f"count(CASE WHEN {_wide_gap(i)} THEN 1 END)" for i in range(_GOOD, _WIDE))
+
+
+@query("combo_topk_wide", sql("wq", f"""
+ masks AS (SELECT {_good_mask} AS m, count(*) AS n FROM wq WHERE target IS NOT NULL GROUP BY 1)""", f"""
+ wanted AS (SELECT s, bit_count(CAST(s AS BIGINT)) AS k FROM range(1, {1 << _GOOD}) t(s) WHERE bit_count(CAST(s AS BIGINT)) BETWEEN 2 AND 10)""", """
+ counts AS (SELECT s, k, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM wanted LEFT JOIN masks ON m & s = s GROUP BY s, k)""", RANKED, f"""
+ poor AS (SELECT greatest({_poor}) AS n FROM wq WHERE target IS NOT NULL)""", f"""
+SELECT CAST(k AS BIGINT) AS k, place AS rank, {_good_names} AS combinacion, n AS filas_restantes FROM ranked
+WHERE place <= 10 AND n > (SELECT n FROM poor)"""))
+def combo_topk_wide(spark, sf_dir):
+    """The best of 1.2 billion combinations of up to ten variables out of forty."""
+    rows = wq(spark, sf_dir)
+    rows = rows.select("station_code", "target", *[F.when(F.expr(_wide_gap(i)), 1.0).alias(v) for i, v in enumerate(_wide)])
+    return rounded(pruned.pruned_combinations(rows, ROLES, _wide, range(2, 11)).best)
