@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from checkviews import sheets
 from checkviews.catalog import query, rounded
 from checkviews.feature_queries import RAIN_DAILY, RAIN_ROLLED, TEMP_DAILY, TEMP_ROLLED, TEMP_NAMES
 from checkviews.views import (BASIN_PARAMETERS, GAUGES, ROLES, SEGMENTS, VARIABLES, basin_long,
                               fold_results, r, rain, sql, temperature, wq)
 from rillwater.config import RAIN_FEATURES, Experiment
 from rillwater.operators import basins, cleaning, reports, summaries, weather
-from rillwater.plans.keep import scratch
-from rillwater.sources import discovery, sinks, tables
+from rillwater.plans.keep import scratch, store
+from rillwater.sources import discovery, manifest, sinks, tables, workbooks
 
 
 @query("gauge_file_scan", sql("rain", RAIN_DAILY, RAIN_ROLLED, "SELECT date, " + ", ".join(
@@ -149,3 +151,47 @@ def cached_result(spark, sf_dir):
     build = lambda: summaries.counts_by(rows, "basin")
     sinks.cached_result(spark, folder, key, build)
     return sinks.cached_result(spark, folder, key, build)
+
+
+SHEET_ROWS = 20000
+
+
+def _bound(frame: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one file as a workbook; every other file has its columns turned round."""
+    file = int(frame["file"].iloc[0])
+    names = [c for c in frame.columns if c != "file"][:: -1 if file % 2 else 1]
+    cells = [[None if v is None or v != v else v for v in row] for row in frame[names].itertuples(index=False)]
+    return pd.DataFrame({"path": [f"sheet-{file}.xlsx"], "content": [sheets.workbook([names, *cells])]})
+
+
+@query("workbook_scan", sql("wq", """
+SELECT station_code, count(*) AS n_rows, count(target) AS n_target, CAST(sum(target) AS DECIMAL(38, 2)) AS sum_target,
+ count(TRY_CAST(trim(raw_v1) AS DOUBLE)) AS n_v1, min(date) AS first_date, max(date) AS last_date FROM wq GROUP BY station_code"""))
+def workbook_scan(spark, sf_dir):
+    """The sample sheet as workbooks of some 20,000 rows each, read back as text and cleaned."""
+    rows = wq(spark, sf_dir)
+    files = rows.count() // SHEET_ROWS + 1
+    serial = F.datediff("date", F.lit("1899-12-30").cast("date"))
+    sheet = rows.select(F.col("station_raw").alias("Station Code"), F.col("basin").alias("Basin"), serial.alias("Date"),
+                        F.coalesce(F.col("target").cast("string"), F.lit("N/D")).alias("Target"), F.col("raw_v1").alias("V1"),
+                        F.pmod(F.xxhash64(*ROLES.sample_key), F.lit(files)).alias("file"))
+    books = store(sheet.groupBy("file").applyInPandas(_bound, "path string, content binary"), "workbooks")
+    clean = cleaning.clean_samples(workbooks.workbook_rows(books, "data"), ROLES)
+    return clean.groupBy("station_code").agg(
+        F.count("*").alias("n_rows"), F.count("target").alias("n_target"),
+        F.sum(F.col("target").cast("decimal(18,2)")).cast("decimal(38,2)").alias("sum_target"),
+        F.count("v1").alias("n_v1"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@query("source_manifest", sql("wq", """
+SELECT basin, count(*) AS n_rows, true AS same_content, 0 AS scanned_again FROM wq GROUP BY basin"""))
+def source_manifest(spark, sf_dir):
+    """A result kept under the fingerprint of its source files; the second look scans none of them."""
+    path, kept, folder = scratch(spark, "source"), scratch(spark, "manifest"), scratch(spark, "cache")
+    wq(spark, sf_dir).select("station_code", "basin", "date").write.parquet(path)
+    build = lambda: summaries.counts_by(spark.read.parquet(path), "basin")
+    first = manifest.content_fingerprint(spark, path, kept)
+    sinks.cached_result(spark, folder, ["basin counts", first.digest], build)
+    again = manifest.content_fingerprint(spark, path, kept)
+    counts = sinks.cached_result(spark, folder, ["basin counts", again.digest], build)
+    return counts.select("*", F.lit(first.digest == again.digest).alias("same_content"), F.lit(len(again.scanned)).alias("scanned_again"))
