@@ -26,7 +26,7 @@ repeated ones too; long texts are read whole; other columns take no part.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -53,6 +53,7 @@ LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DIGIT = frozenset("0123456789")
 PHONE = frozenset("0123456789 ().-")
 IBAN_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+URL_STOPS = "\"'<>"
 KEY = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
 
 Span = tuple[str, int, int]
@@ -80,6 +81,17 @@ def _run(text: str, at: int, allowed: frozenset) -> int:
     return at
 
 
+def _ends(text: str, starts: Sequence[int], stops: str) -> Iterator[int]:
+    """For ascending starts, where white space or a stop follows. Starts of one run share its end, so no run is walked twice."""
+    end = -1
+    for at in starts:
+        if at > end:
+            end = at
+            while end < len(text) and not text[end].isspace() and text[end] not in stops:
+                end += 1
+        yield end
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -209,21 +221,14 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> list[Span]:
     runs = _numbers(starts["digit"])
     out = [*_emails(text, starts["at"]), *_ips(text, runs), *_cards(text, runs), *_phones(text, starts["plus"]),
            *_ibans(text, runs)]
-    for a, b in found["scheme"]:
-        end = b
-        while end < len(text) and not text[end].isspace() and text[end] not in "\"'<>":
-            end += 1
-        if end > b:
-            out.append(("url", a, end))
-    for a, b in found["cue"]:
-        end = b
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        if end > b:
-            out.append(("secret", b, end))
+    ends = _ends(text, [b for _, b in found["scheme"]], URL_STOPS)
+    out += [("url", a, end) for (a, b), end in zip(found["scheme"], ends) if end > b]
+    ends = _ends(text, [b for _, b in found["cue"]], "")
+    out += [("secret", b, end) for (_, b), end in zip(found["cue"], ends) if end > b]
     for a, b in found["key"]:
-        end = _run(text, b, KEY)
-        if end - a == KEY_PREFIXES[text[a:b]] and (a == 0 or text[a - 1] not in KEY):
+        end = a + KEY_PREFIXES[text[a:b]]
+        whole = end <= len(text) and (a == 0 or text[a - 1] not in KEY) and (end == len(text) or text[end] not in KEY)
+        if whole and all(c in KEY for c in text[b:end]):
             out.append(("secret", a, end))
     return sorted(set(out), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

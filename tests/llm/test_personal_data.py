@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -84,3 +85,20 @@ def test_odd_rows(make_docs):
     out = personal_data.find(docs, [F.col("doc_id")]).collect()
     assert sorted((r["doc_id"] or 0, len(r["found"])) for r in out) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 1)]
     assert personal_data.find(make_docs([]), [F.col("doc_id")]).count() == 0
+
+
+def test_time_grows_with_the_text():
+    """A megabyte of anchors that share one run, or break each other off."""
+    for piece in ("token=", "http://", "AKIA", "a@", "+1", "+1(", "DE89 ", "1.", "1-", "ftp://mailto:"):
+        began = time.perf_counter()
+        personal_data.spans(piece * (1_000_000 // len(piece)), ANCHORS)
+        assert time.perf_counter() - began < 15, piece
+
+
+def test_anchors_inside_runs():
+    found = lambda t: [(k, t[a:b]) for k, a, b in personal_data.spans(t, ANCHORS)]
+    assert found("http://a/http://b c") == [("url", "http://a/http://b"), ("url", "http://b")]
+    assert found("token=token=x\"y z") == [("secret", "token=x\"y"), ("secret", "x\"y")]
+    assert found("http:// http://\"x http://y<") == [("url", "http://y")]
+    key = "AKIA" + "B" * 16
+    assert found(f"{key} x{key} {key}_ {key[:-1]}") == [("secret", key)] and found(key) == [("secret", key)]
