@@ -26,6 +26,7 @@ are ignored. Pages are read whole; rows that repeat and other columns change not
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -53,6 +54,7 @@ OUTSIDE_WORDS = frozenset(["header", "topbar"])  # no article text unless inside
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 LIST_ROOTS = frozenset("ul ol dl table tbody select body article main section div".split())
+MARKS = LIST_ROOTS.union(*CLOSES.values())
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
                  r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*>", re.S)
@@ -107,6 +109,9 @@ class Page:
         self.around = [(0, 0)]
         self.stack: list[_Element] = [_Element("", False, "", False, "", 0, True)]
         self.root = self.stack[0]
+        # Of the open elements: how many of each name, the blocks, and those that implied ends look at.
+        self.open_names: Counter[str] = Counter()
+        self.blocks, self.marks = [self.root], []
         self._read(html)
         self.root.end = len(self.parts)
 
@@ -124,8 +129,12 @@ class Page:
 
     def _pop(self) -> None:
         e = self.stack.pop()
+        self.open_names[e.tag] -= 1
         if e.block:
+            self.blocks.pop()
             self._break()
+        if e.tag in MARKS:
+            self.marks.pop()
         if e.opens:
             self.around.pop()
         e.end = len(self.parts)
@@ -133,27 +142,21 @@ class Page:
             self.stack[-1].holds = True
 
     def _close(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                while len(self.stack) > k:
-                    self._pop()
-                return
+        if self.open_names[tag] > 0:
+            while self.stack[-1].tag != tag:
+                self._pop()
+            self._pop()
 
     def _implied_ends(self, tag: str, block: bool) -> None:
         if tag in CLOSES:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag in CLOSES[tag]:
-                    self._close(self.stack[k].tag)
-                    return
-                if self.stack[k].tag in LIST_ROOTS:
+            for e in reversed(self.marks):
+                if e.tag in CLOSES[tag]:
+                    self._close(e.tag)
                     return
-        elif block:
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag == "p":
-                    self._close("p")
-                    return
-                if self.stack[k].block:
+                if e.tag in LIST_ROOTS:
                     return
+        elif block and self.blocks[-1].tag == "p":
+            self._close("p")
 
     def _open(self, tag: str, attributes: dict[str, str]) -> None:
         block = tag not in INLINE
@@ -178,9 +181,15 @@ class Page:
             article, main = self.around[-1]
             # An article inside an article is a part of it.
             self.around.append((article or self.opened, main) if scope == "article" else (article, self.opened))
-        self.stack.append(_Element(tag, silent, scope, opens, path, len(self.parts), block))
+        e = _Element(tag, silent, scope, opens, path, len(self.parts), block)
         if block and not silent and path != parent.path:
-            next(e for e in reversed(self.stack[:-1]) if e.block).inner.append(self.stack[-1])
+            self.blocks[-1].inner.append(e)
+        self.stack.append(e)
+        self.open_names[tag] += 1
+        if block:
+            self.blocks.append(e)
+        if tag in MARKS:
+            self.marks.append(e)
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from pyspark.sql import functions as F
@@ -98,3 +99,12 @@ def test_copies_do_not_silence_the_story(spark):
     marked = page.replace("<h1>", "<article><h1>").replace("</p></div>", "</p></article></div>")
     out = texts(spark, [marked.format("c", "copied text", f"day {i}") for i in range(190)])
     assert set(out.values()) == {"Title c copied text"}
+
+
+def test_time_grows_with_the_page():
+    """A megabyte of elements that are never closed, and of end tags without a start."""
+    for piece in ("<b><div>x</div>", "<b>x</i>", "<b><option>x</option>", "<p><b>x", "<li><b>x", "<td><i>x</td>", "<div><p>x</b>"):
+        began = time.perf_counter()
+        text = main_text.extract(piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 15, piece
+        assert text.count("x") == 1_000_000 // len(piece), piece
