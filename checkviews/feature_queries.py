@@ -327,7 +327,7 @@ def _treated_sql(bounds, strategy):
     return sql("wq", bounds, " UNION ALL ".join(parts))
 
 
-def _treated(spark, sf_dir, method, strategy, threshold=1.2, quantiles="ranked"):
+def _treated(spark, sf_dir, method, strategy, threshold=1.2, quantiles="bracketed"):
     rows = outliers.treat_outliers(wq(spark, sf_dir), _CHECKED, method, strategy, ["target"],
                                    threshold=threshold, quantiles=quantiles)
     wide = rows.agg(*[e.alias(f"{c}_{n}") for c in _CHECKED for n, e in (

@@ -17,12 +17,12 @@ _SUMMED = ("target", "v1", "v3", "v6")
 
 @query("station_summary", sql("wq", summary_sql(_SUMMED, "wq")))
 def station_summary(spark, sf_dir):
-    return summaries.station_summary(wq(spark, sf_dir), ROLES, list(_SUMMED), strategy="direct")
+    return summaries.station_summary(wq(spark, sf_dir), ROLES, list(_SUMMED))
 
 
 @query("station_summary_large_groups", sql("wq", summary_sql(_SUMMED, "wq")))
 def station_summary_large_groups(spark, sf_dir):
-    """The same report by the plan for groups too large for one task."""
+    """The same report by the plan that ranks all distinct values."""
     return summaries.station_summary(wq(spark, sf_dir), ROLES, list(_SUMMED), strategy="ranked")
 
 
@@ -55,7 +55,7 @@ def describe_numeric(spark, sf_dir):
     for c in ("target", "v4"))))
 def quantiles(spark, sf_dir):
     return rounded(exact_quantiles(wq(spark, sf_dir), ["basin"], ["target", "v4"],
-                                   {"p01": 0.01, "p90": 0.9, "top": 1.0}, "ranked"))
+                                   {"p01": 0.01, "p90": 0.9, "top": 1.0}))
 
 
 _TEXTS = ("station_code", "basin", "raw_v1", "empty_text")

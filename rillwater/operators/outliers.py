@@ -32,7 +32,7 @@ def _per_variable(table: DataFrame) -> dict[str, tuple]:
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MULTIPLIER,
-               log_columns: Sequence[str] = (), strategy: str = "ranked") -> Bounds:
+               log_columns: Sequence[str] = (), strategy: str = "bracketed") -> Bounds:
     """[Q1 - m*IQR, Q3 + m*IQR] of every column.
 
     For log columns the rule works on log1p and the bounds are mapped back.
@@ -47,7 +47,7 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], multiplier: float = IQR_MU
 
 
 def mad_bounds(df: DataFrame, columns: Sequence[str], threshold: float = MAD_THRESHOLD,
-               log_columns: Sequence[str] = (), strategy: str = "ranked") -> Bounds:
+               log_columns: Sequence[str] = (), strategy: str = "bracketed") -> Bounds:
     """Extreme values whose modified z is within the threshold.
 
     For log columns z is taken on log1p. The bounds are values of the data, not
@@ -75,7 +75,7 @@ def mad_bounds(df: DataFrame, columns: Sequence[str], threshold: float = MAD_THR
 
 def outlier_bounds(df: DataFrame, columns: Sequence[str], method: str = "iqr",
                    log_columns: Sequence[str] = (), multiplier: float = IQR_MULTIPLIER,
-                   threshold: float = MAD_THRESHOLD, strategy: str = "ranked") -> Bounds:
+                   threshold: float = MAD_THRESHOLD, strategy: str = "bracketed") -> Bounds:
     """Bounds on the original scale. An unknown method warns and bounds nothing."""
     if method == "iqr":
         return iqr_bounds(df, columns, multiplier, log_columns, strategy)
@@ -98,7 +98,7 @@ def flag_outliers(df: DataFrame, bounds: Bounds, suffix: str = "_is_outlier") ->
 def treat_outliers(df: DataFrame, columns: Sequence[str], method: str = "iqr",
                    strategy: str = "remove", log_columns: Sequence[str] = (),
                    multiplier: float = IQR_MULTIPLIER, threshold: float = MAD_THRESHOLD,
-                   quantiles: str = "ranked") -> DataFrame:
+                   quantiles: str = "bracketed") -> DataFrame:
     """Outliers to null (``remove``) or to the bound (``winsorize``), all columns in one pass.
 
     An unknown method or strategy leaves the table as it is.

@@ -41,7 +41,7 @@ def standard_stage(scale: Scale, suffix: str = "_std") -> SQLTransformer:
 
 
 def fill_median(df: DataFrame, train: DataFrame, columns: Sequence[str],
-                strategy: str = "ranked") -> DataFrame:
+                strategy: str = "bracketed") -> DataFrame:
     """Missing cells to the median of the training rows."""
     medians = {r["variable"]: r["m"] for r in
                exact_quantiles(train, (), columns, {"m": 0.5}, strategy).collect()}
@@ -49,7 +49,7 @@ def fill_median(df: DataFrame, train: DataFrame, columns: Sequence[str],
 
 
 def impute_and_scale(train: DataFrame, test: DataFrame, columns: Sequence[str],
-                     strategy: str = "ranked") -> tuple[DataFrame, DataFrame]:
+                     strategy: str = "bracketed") -> tuple[DataFrame, DataFrame]:
     """Median for missing cells, then standard scale; both learnt from ``train`` only."""
     filled = fill_median(train, train, columns, strategy)
     scale = fit_standard(filled, columns)

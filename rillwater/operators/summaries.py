@@ -19,7 +19,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
-                     by: Sequence[str] = (), strategy: str = "ranked",
+                     by: Sequence[str] = (), strategy: str = "bracketed",
                      digits: int | None = None) -> DataFrame:
     """Count, mean, sample std, min, quartiles, max of each variable (and group)."""
     columns = cleaning.numeric_columns(df) if columns is None else cleaning.existing(df, columns)
@@ -57,7 +57,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None,
 
 
 def station_summary(df: DataFrame, roles: Roles, variables: Sequence[str] | None = None,
-                    digits: int = 2, strategy: str = "ranked") -> DataFrame:
+                    digits: int = 2, strategy: str = "bracketed") -> DataFrame:
     """``describe_numeric`` per station, text variables read as numbers."""
     if variables is not None:
         df = df.transform(cleaning.to_numeric, variables)
@@ -205,14 +205,14 @@ def date_histogram(df: DataFrame, date: str, bins: int = 50) -> DataFrame:
     return every.join(filled, "bin", "left").fillna({"n": 0})
 
 
-def center_lines(df: DataFrame, variables: Sequence[str], strategy: str = "ranked") -> DataFrame:
+def center_lines(df: DataFrame, variables: Sequence[str], strategy: str = "bracketed") -> DataFrame:
     """Mean and median of each variable, the reference lines of a series plot."""
     return (describe_numeric(df, variables, strategy=strategy)
             .select("variable", "mean", "median"))
 
 
 def boxplot(df: DataFrame, roles: Roles, variable: str, area: str | None = None,
-            log: bool = False, whisker: float = 1.5, strategy: str = "ranked") -> DataFrame:
+            log: bool = False, whisker: float = 1.5, strategy: str = "bracketed") -> DataFrame:
     """Box statistics per station in plot order (basin, then basin area).
 
     Position counts from zero; ``new_basin`` marks where a divider line goes.

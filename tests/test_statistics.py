@@ -32,7 +32,7 @@ def skewed(spark):
 PROBS = {"p0": 0.0, "p01": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99, "p100": 1.0}
 
 
-@pytest.mark.parametrize("strategy", ["direct", "ranked"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked", "bracketed"])
 def test_quantiles_by_group_equal_pandas(skewed, strategy):
     frame, df = skewed
     found = quantiles.exact_quantiles(df, ["g"], ["x", "ties", "flat"], PROBS, strategy).collect()
@@ -46,7 +46,7 @@ def test_quantiles_by_group_equal_pandas(skewed, strategy):
                 assert r[name] == pytest.approx(values.quantile(p), rel=1e-12)
 
 
-@pytest.mark.parametrize("strategy", ["direct", "ranked"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked", "bracketed"])
 def test_quantiles_of_everything_equal_pandas(skewed, strategy):
     frame, df = skewed
     for r in quantiles.exact_quantiles(df, (), ["x", "ties"], PROBS, strategy).collect():
@@ -57,11 +57,41 @@ def test_quantiles_of_everything_equal_pandas(skewed, strategy):
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 11, 12, 99, 601])
 def test_small_groups_keep_their_ranks(spark, n):
     df = spark.range(n).select(F.lit("k").alias("g"), (F.col("id") * F.col("id")).cast("double").alias("x"))
-    row = quantiles.exact_quantiles(df, ["g"], ["x"], {"p90": 0.9, "p10": 0.1}, "ranked").first()
+    row = quantiles.exact_quantiles(df, ["g"], ["x"], {"p90": 0.9, "p10": 0.1}).first()
     want = pd.Series([float(i * i) for i in range(n)])
     assert row["p90"] == pytest.approx(want.quantile(0.9)) and row["p10"] == pytest.approx(want.quantile(0.1))
 
 
+@pytest.mark.parametrize("margins", [((2000, 0.002), (100, 0.021)), ((5, 0.0),), ((-1, 0.0),)])
+def test_bounds_that_miss_a_rank_are_made_good(skewed, margins):
+    """Without a margin the bounds hold one of two neighbouring ranks at most; groups of any size stay exact."""
+    frame, df = skewed
+    found = quantiles._bracketed(df, ["g"], ["x", "ties", "flat"], PROBS, 20, margins).collect()
+    assert len(found) == 3 * frame["g"].nunique(dropna=False)
+    for r in found:
+        values = frame[frame["g"].isna() if r["g"] is None else frame["g"] == r["g"]][r["variable"]].dropna()
+        for name, p in PROBS.items():
+            assert r[name] is None if values.empty else r[name] == pytest.approx(values.quantile(p), rel=1e-12)
+    for r in quantiles._bracketed(df, (), ["x", "ties"], PROBS, 20, margins).collect():
+        for name, p in PROBS.items():
+            assert r[name] == pytest.approx(frame[r["variable"]].quantile(p), rel=1e-12)
+
+
+def test_few_values_outlive_the_bounds(spark):
+    """Most of 200,000 values are counted in their gap, not kept."""
+    df = spark.range(200_000).select((F.hash("id") / 7).alias("x"))
+    limits = quantiles._bounds(df, (), ["x"], [0.25, 0.5, 0.75], quantiles.ACCURACY, quantiles.MARGINS).first()["_b0"]
+    held = quantiles._long(df, (), ["x"], [F.array(*[F.lit(v) for v in limits])], 3).where("_gap is null and _value is not null").count()
+    assert 3 * 0.002 * 200_000 < held < 3 * 0.008 * 200_000
+
+
+def test_values_that_are_not_numbers_come_last(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, float("nan")).otherwise(F.col("id").cast("double")).alias("x"))
+    for plan in ("ranked", "bracketed"):
+        row = quantiles.exact_quantiles(df, (), ["x"], {"low": 0.0, "middle": 0.25, "top": 1.0}, plan).first()
+        assert (row["low"], row["middle"]) == (1.0, 1125.5) and math.isnan(row["top"])
+
+
 def test_groups_without_values_and_unknown_plans(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", None), (None, 3.0)], "g string, x double")
     got = {r["g"]: r["m"] for r in quantiles.exact_quantiles(df, ["g"], ["x"], {"m": 0.5}).collect()}
@@ -72,7 +102,7 @@ def test_groups_without_values_and_unknown_plans(spark):
         quantiles.exact_quantiles(df, ["g"], ["x"], {"m": 0.5}, "auto")
 
 
-@pytest.mark.parametrize("strategy", ["direct", "ranked"])
+@pytest.mark.parametrize("strategy", ["direct", "ranked", "bracketed"])
 def test_summary_of_one_and_no_values(spark, strategy):
     df = spark.createDataFrame([("one", 5.0), ("none", None), ("two", 1.0), ("two", 2.0)], "station_code string, y double")
     rows = {r["station_code"]: r for r in summaries.station_summary(df, Roles(target="y"), ["y"], strategy=strategy).collect()}
@@ -139,7 +169,7 @@ def test_correlation_of_an_empty_table(spark):
     assert [r["r"] for r in correlation.correlation_matrix(df, ["a", "b"]).collect()] == [None]
 
 
-@pytest.mark.parametrize("quantile_plan", ["direct", "ranked"])
+@pytest.mark.parametrize("quantile_plan", ["direct", "ranked", "bracketed"])
 def test_outlier_rules(spark, quantile_plan):
     df = spark.createDataFrame([(float(x), 5.0, None) for x in [*range(20), 1000]] + [(None, 5.0, None)],
                                "x double, flat double, empty double")
