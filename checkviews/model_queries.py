@@ -142,7 +142,7 @@ SELECT trial, 'alpha=' || alpha AS params, {r('avg(r2)', 6)} AS mean_r2,
 def grid_search_ridge(spark, sf_dir):
     done, features = sorted_model_rows(wq(spark, sf_dir), ROLES, ["v1", "v3"])
     found = grid_search(done, features, RIDGE, {"alpha": list(_alphas)}, SPLITS)
-    return rounded(found.trials, 6)
+    return rounded(found.trials.drop("same_as"), 6)
 
 
 @query("predictions_table", sql("wq", *_model_sql("v1"), f"""
@@ -324,13 +324,13 @@ FROM trials, (SELECT avg(R2) AS mean_r2 FROM scored)""")
 @query("grid_search_forest_exact", _trial_sql([f"max_depth={d}, min_samples_leaf={m}, n_estimators=4" for d in (4, 5) for m in (1, 2)]))
 def grid_search_forest_exact(spark, sf_dir):
     done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
-    return rounded(grid_search(done, features, FOREST, _FOREST_GRID, 2).trials, 6)
+    return rounded(grid_search(done, features, FOREST, _FOREST_GRID, 2).trials.drop("same_as"), 6)
 
 
 @query("random_search_forest_exact", _trial_sql(_RANDOM_TRIALS))
 def random_search_forest_exact(spark, sf_dir):
     done, features = sorted_model_rows(_by_line(spark, sf_dir), ROLES, ["line", "v1"])
-    return rounded(random_search(done, features, FOREST, _FOREST_SPACE, 3, 2).trials, 6)
+    return rounded(random_search(done, features, FOREST, _FOREST_SPACE, 3, 2).trials.drop("same_as"), 6)
 
 
 _FOLD_KEY = KEY[:4]  # whole numbers, which all engines write alike

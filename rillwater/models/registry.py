@@ -22,6 +22,8 @@ SCALED = (LINEAR, NETWORK)
 TREES = (FOREST, BOOSTING)
 
 FEATURES, LABEL, PREDICTION = "features", "y", "prediction"
+# Number of trees, and how many there are where none is given.
+SIZE, USUAL_SIZE = "n_estimators", 100
 # Hard limit of the tree learner; "no limit" is mapped to it.
 DEEPEST = 30
 
@@ -82,11 +84,11 @@ def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
     params = params or {}
     names = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
     if name == FOREST:
-        settings = {"numTrees": 100, "maxDepth": DEEPEST, "featureSubsetStrategy": "all",
+        settings = {"numTrees": USUAL_SIZE, "maxDepth": DEEPEST, "featureSubsetStrategy": "all",
                     "seed": 42} | _common(params, _FOREST_PARAMS)
         return RandomForestRegressor(**names, **settings)
     if name == BOOSTING:
-        settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": 42} | _common(
+        settings = {"maxIter": USUAL_SIZE, "stepSize": 0.1, "maxDepth": 3, "seed": 42} | _common(
             params, _BOOSTING_PARAMS)
         return GBTRegressor(**names, **settings)
     if name == LINEAR:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwater.config import Experiment, Roles
-from rillwater.models import clusters, moments, registry, search, validation
+from rillwater.models import clusters, moments, prefixes, registry, search, validation
 from rillwater.operators import reports, scaling
 from rillwater.plans import runs
 from rillwater.sources import sinks
@@ -131,6 +131,49 @@ def test_ties_go_to_the_first_trial(samples):
         search.random_search(table, features, registry.RIDGE, {"alpha": (1, 2)})
 
 
+@pytest.mark.parametrize("name", [registry.FOREST, registry.BOOSTING])
+def test_sizes_of_one_fit_equal_the_ensemble_cut_by_hand(samples, name):
+    _, df = samples
+    train, test = df.where("date < '2020-03-15'"), df.where("date >= '2020-03-15'")
+    rows, tested = (validation.model_rows(part, ROLES, ["a", "b"])[0] for part in (train, test))
+    params = {"max_depth": 3, "random_state": 5}
+    got = prefixes.fit_sizes(rows, tested, ["a", "b"], name, params, [1, 3, 6])
+    model = validation.fit_model(rows, ["a", "b"], name, {**params, "n_estimators": 6})
+    inputs = model.stages[0].transform(tested)
+    weights = model.stages[-1].treeWeights
+    for i, tree in enumerate(model.stages[-1].trees):
+        inputs = tree.setPredictionCol(f"t{i}").transform(inputs)
+    frame = inputs.toPandas()
+    for size in (1, 3, 6):
+        total = sum(frame[f"t{i}"] * weights[i] for i in range(size))
+        guess = total / size if name == registry.FOREST else total
+        r2 = 1 - ((guess - frame["y"]) ** 2).sum() / ((frame["y"] - frame["y"].mean()) ** 2).sum()
+        assert got[size]["R2_log"] == pytest.approx(r2, abs=1e-9)
+        cut = prefixes.first_trees(df.sparkSession, model.stages[-1], size)
+        assert cut.getNumTrees == size
+    if name == registry.BOOSTING:  # three steps are the first three of six
+        short = validation.fit_fold(rows, tested, ["a", "b"], name, {**params, "n_estimators": 3}).scores
+        assert got[3]["R2_log"] == pytest.approx(short["R2_log"], abs=1e-9)
+    with pytest.raises(ValueError):
+        prefixes.first_trees(df.sparkSession, model.stages[-1], 7)
+
+
+def test_a_line_of_a_grid_is_fitted_once_for_each_fold(samples, monkeypatch):
+    fits = []
+    fit = prefixes.fit_model
+    monkeypatch.setattr(prefixes, "fit_model", lambda *a: fits.append(a[3]) or fit(*a))
+    table, features = validation.sorted_model_rows(samples[1], ROLES, ["a", "b"])
+    grid = {"n_estimators": [2, 4, 6], "max_depth": [2, 3], "min_samples_split": [2, 5]}
+    with pytest.warns(UserWarning, match="min_samples_split"):
+        found = search.grid_search(table, features, registry.FOREST, grid, 2)
+    assert sorted((p["max_depth"], p["n_estimators"]) for p in fits) == [(2, 6), (2, 6), (3, 6), (3, 6)]
+    rows = found.trials.orderBy("trial").collect()
+    assert len(rows) == 12 and sorted(r["rank"] for r in rows) == list(range(1, 13))
+    by_first = {r["trial"]: r["mean_r2"] for r in rows}
+    assert all(r["mean_r2"] == by_first[r["same_as"]] for r in rows)
+    assert len({r["same_as"] for r in rows}) == 6
+
+
 def test_scalers(spark):
     df = spark.createDataFrame([(1.0, 7.0), (3.0, 7.0), (None, None)], "x double, flat double")
     rows = scaling.standardize(df, ["x", "flat"]).collect()
