@@ -19,6 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwater.operators.ordering import sort_rows
+
 Space = Mapping[str, tuple[int, int]]
 
 SHARE = 0.25
@@ -34,32 +36,45 @@ def split_history(history: DataFrame, share: float = SHARE) -> DataFrame:
     """``history`` (trial, parameter, value, score) with ``good``: whether a trial is among the best share of judged ones.
 
     Equal scores go by trial; a trial without score is pending and not good. At least one trial is good if any is judged.
-    The place is found by counting better trials, which for the few hundred trials of a search is a small join.
+    Places come from a range sort over all tasks, so a history may be of any size.
     """
     scores = history.where(F.col("score").isNotNull()).select("trial", "score").distinct()
-    other = scores.select(F.col("trial").alias("other"), F.col("score").alias("other_score"))
-    better = (F.col("other_score") > F.col("score")) | ((F.col("other_score") == F.col("score")) & (F.col("other") < F.col("trial")))
-    wanted = scores.agg(F.ceil(F.count("*") * F.lit(share)).alias("wanted"))
-    places = scores.join(other, better, "left").groupBy("trial").agg(F.count("other").alias("place"))
-    good = places.join(F.broadcast(wanted)).where("place < wanted").select("trial", F.lit(True).alias("good"))
+    table = sort_rows(scores, [F.col("score").desc(), F.col("trial").asc_nulls_last()])
+    places = table.numbered("place").groupBy("trial").agg(F.sum("place").alias("place"))
+    good = places.where(F.col("place") < math.ceil(table.n_rows * share)).select("trial", F.lit(True).alias("good"))
     return history.join(good, "trial", "left").withColumn("good", F.coalesce("good", F.lit(False)))
 
 
-def candidate_scores(history: DataFrame, candidates: DataFrame, ranges: DataFrame, share: float = SHARE) -> DataFrame:
-    """(candidate, score): log ratio of the densities, from (candidate, parameter, value) and (parameter, low, high).
+def kernel_sums(split: DataFrame, candidates: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(parameter, value, low, high, n_good, n_bad, good, bad): sums of both parts' curves at every value of the candidates.
 
-    A part without trials has the even curve alone.
+    ``split`` is (parameter, good, center). A curve depends on a value and a centre only, and both are whole numbers of a
+    range: distinct values meet distinct centres, which carry how many trials they stand for. So the pairs grow with the
+    ranges, not with candidates times trials.
     """
-    split = split_history(history, share).select("parameter", "good", F.col("value").alias("center"))
-    sizes = ranges.join(split.groupBy("parameter").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad")), "parameter", "left")
+    centers = split.groupBy("parameter", "center", "good").agg(F.count("*").alias("trials"))
+    sizes = ranges.join(centers.groupBy("parameter").agg(F.sum(F.when(F.col("good"), F.col("trials"))).alias("n_good"),
+                                                         F.sum(F.when(~F.col("good"), F.col("trials"))).alias("n_bad")), "parameter", "left")
     sizes = sizes.na.fill(0, ["n_good", "n_bad"]).withColumns({
         "h_good": bandwidth(F.col("low"), F.col("high"), F.col("n_good")), "h_bad": bandwidth(F.col("low"), F.col("high"), F.col("n_bad"))})
-    pairs = candidates.join(sizes, "parameter").join(split, "parameter", "left")
+    pairs = candidates.select("parameter", "value").distinct().join(sizes, "parameter").join(centers, "parameter", "left")
     h = F.when(F.col("good"), F.col("h_good")).otherwise(F.col("h_bad"))
     z = (F.col("value") - F.col("center")) / h
-    curve = F.exp(-0.5 * z * z) / (h * math.sqrt(2 * math.pi))
-    sums = pairs.groupBy("candidate", "parameter", "low", "high", "n_good", "n_bad").agg(
-        F.coalesce(F.sum(F.when(F.col("good"), curve)), F.lit(0.0)).alias("good"), F.coalesce(F.sum(F.when(~F.col("good"), curve)), F.lit(0.0)).alias("bad"))
+    curves = F.col("trials") * F.exp(-0.5 * z * z) / (h * math.sqrt(2 * math.pi))
+    return pairs.groupBy("parameter", "value", "low", "high", "n_good", "n_bad").agg(
+        F.coalesce(F.sum(F.when(F.col("good"), curves)), F.lit(0.0)).alias("good"), F.coalesce(F.sum(F.when(~F.col("good"), curves)), F.lit(0.0)).alias("bad"))
+
+
+def candidate_scores(history: DataFrame, candidates: DataFrame, ranges: DataFrame, share: float = SHARE) -> DataFrame:
+    """(candidate, score): log ratio of the densities, from (candidate, parameter, value) and (parameter, low, high).
+
+    A part without trials has the even curve alone.
+    """
+    split = split_history(history, share).select("parameter", "good", F.col("value").alias("center"))
+    at = kernel_sums(split, candidates, ranges).withColumnsRenamed({"parameter": "at_parameter", "value": "at_value"})
+    rated = candidates.join(at, (F.col("parameter") == F.col("at_parameter")) & F.col("value").eqNullSafe(F.col("at_value")))
+    # A candidate that states a parameter twice has the curves of both.
+    sums = rated.groupBy("candidate", "parameter", "low", "high", "n_good", "n_bad").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     even = 1.0 / (F.col("high") - F.col("low") + 1)
     ratio = F.ln((F.col("good") + even) / (F.col("n_good") + 1)) - F.ln((F.col("bad") + even) / (F.col("n_bad") + 1))
     return sums.groupBy("candidate").agg(F.sum(ratio).alias("score"))

@@ -42,6 +42,35 @@ def test_scores_equal_the_formula_with_pending_and_tied_trials(spark):
         assert {r["candidate"]: round(r["score"], 9) for r in got} == {i: round(density_ratio(rows, c, SPACE), 9) for i, c in enumerate(candidates)}
 
 
+def joined_rows(plan):
+    """Rows that all joins of an executed plan gave."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return joined_rows(plan.executedPlan())
+    if plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        return joined_rows(plan.plan())
+    found = plan.children()
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.getClass().getSimpleName() else 0
+    return own + sum(joined_rows(found.apply(i)) for i in range(found.size()))
+
+
+def test_work_grows_with_the_ranges_not_with_candidates_times_trials(spark):
+    """3,000 candidates, some twice, some without a value, and 400 trials: the scores of the formula from few pairs."""
+    rng = random.Random(2)
+    history = [(i, rng.choice([None, rng.random()]), {"a": rng.randint(0, 20), "b": rng.randint(1, 9)}) for i in range(400)]
+    space = {"a": (0, 20), "b": (1, 9)}
+    candidates = [{"a": i % 21, "b": 1 + i % 9} for i in range(3000)]
+    ranges = spark.createDataFrame([(p, *r) for p, r in space.items()], "parameter string, low int, high int")
+    long = adaptive.long_rows(spark, [h[2] for h in history], "trial", [h[1] for h in history])
+    odd = spark.createDataFrame([(-1, "a", None), (-1, "b", 3), (None, "a", 5), (-2, "a", 4), (-2, "a", 4)], "candidate int, parameter string, value int")
+    scored = adaptive.candidate_scores(long, adaptive.long_rows(spark, candidates, "candidate").union(odd), ranges)
+    got = {r["candidate"]: r["score"] for r in scored.collect()}
+    assert len(got) == 3003
+    for i in (0, 1, 17, 2999):
+        assert got[i] == pytest.approx(density_ratio(history, candidates[i], space), abs=1e-9)
+    assert got[None] == pytest.approx(density_ratio(history, {"a": 5}, {"a": (0, 20)}), abs=1e-9)
+    assert joined_rows(scored._jdf.queryExecution().executedPlan()) < 50_000  # 2.4 million before
+
+
 def planted(t):
     return -((t["a"] - 37) / 60) ** 2 - ((t["b"] - 30) / 12) ** 2
 
