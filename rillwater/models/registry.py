@@ -24,6 +24,8 @@ TREES = (FOREST, BOOSTING)
 FEATURES, LABEL, PREDICTION = "features", "y", "prediction"
 # Number of trees, and how many there are where none is given.
 SIZE, USUAL_SIZE = "n_estimators", 100
+# Memory that the rows of one task may take while trees are fitted, and what a row takes besides its counts and bins.
+TASK_BYTES, ROW_BYTES = 128 * 1024 * 1024, 200
 # Hard limit of the tree learner; "no limit" is mapped to it.
 DEEPEST = 30
 
@@ -107,6 +109,12 @@ def make_estimator(name: str, params: Mapping | None = None, *, n_rows: int = 0,
     raise ValueError(f"unknown model {name!r}")
 
 
+def task_rows(name: str, params: Mapping | None, features: int) -> int:
+    """Rows that one task can keep while trees are fitted: the learner holds a count for each tree and a bin for each feature."""
+    trees = int((params or {}).get(SIZE, USUAL_SIZE)) if name == FOREST else 1
+    return max(1, TASK_BYTES // (ROW_BYTES + 4 * (trees + features)))
+
+
 def grid_key(name: str, params: Mapping) -> tuple:
     """Trials that give the same estimator share a key and are fitted once."""
     used = MAPPED.get(name, set(params))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rillwater.config import Roles
 from rillwater.models.moments import penalty_of, score_penalties
 from rillwater.models.network import NetworkModel
-from rillwater.models.registry import (FEATURES, LABEL, PREDICTION, RIDGE, SCALED,
-                                       make_estimator)
+from rillwater.models.registry import (FEATURES, LABEL, PREDICTION, RIDGE, SCALED, TREES,
+                                       make_estimator, task_rows)
 from rillwater.operators.cleaning import existing
 from rillwater.operators.ordering import SortedTable, forward_folds, sort_rows
 from rillwater.operators.reports import overall_scores
@@ -46,6 +46,20 @@ def sorted_model_rows(df: DataFrame, roles: Roles,
     return sort_rows(rows, existing(rows, roles.sample_order)), features
 
 
+def spread_rows(train: DataFrame, features: Sequence[str], name: str, params: Mapping | None = None) -> DataFrame:
+    """Training rows of a tree model in tasks of bounded size; what one task can hold is left as it is.
+
+    The learner keeps each task's rows in memory and reads them again for every level. Scans cut tasks by compressed
+    bytes, and a fold may lie in few of them. Rows are sorted in each task, so that the same rows give the same trees.
+    """
+    n_rows, most = train.count(), task_rows(name, params, len(features))
+    if n_rows <= most:
+        return train
+    tasks = max(-(-n_rows // most), train.sparkSession.sparkContext.defaultParallelism)
+    columns = list(dict.fromkeys([LABEL, *features]))
+    return train.select(*columns).repartition(tasks).sortWithinPartitions(*columns)
+
+
 def fit_model(train: DataFrame, features: Sequence[str], name: str,
               params: Mapping | None = None) -> PipelineModel:
     """Scale where the model wants it, assemble, fit; returns one pipeline model."""
@@ -57,6 +71,8 @@ def fit_model(train: DataFrame, features: Sequence[str], name: str,
     if name == RIDGE:
         n_rows, spread = train.agg(F.count("*"), F.stddev_pop(LABEL)).first()
         settings = {"n_rows": n_rows, "label_std": spread or 0.0}
+    if name in TREES:
+        train = spread_rows(train, features, name, params)
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="error"))
     stages.append(make_estimator(name, params, **settings))
     return Pipeline(stages=stages).fit(train)

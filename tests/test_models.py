@@ -88,6 +88,23 @@ def test_validation_reports_the_last_fold(samples):
     assert {"station_code", "basin", "date"} <= set(done.last_predictions.columns)
 
 
+@pytest.mark.parametrize("name", registry.TREES)
+def test_tasks_of_trees_hold_a_bounded_number_of_rows(spark, monkeypatch, name):
+    """Rows of one task are dealt out before trees are fitted, and the same rows give the same trees."""
+    monkeypatch.setattr(registry, "TASK_BYTES", 100 * (registry.ROW_BYTES + 4 * 3), raising=False)
+    rows = spark.range(2000).select((F.col("id") % 40).cast("double").alias("x"), F.sqrt("id").alias("z"),
+                                    (F.col("id") % 40 % 7).cast("double").alias(registry.LABEL)).coalesce(1)
+    seen, whole = [], validation.Pipeline.fit
+    def fit(pipeline, train):
+        seen.append([r["n"] for r in train.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return whole(pipeline, train)
+    monkeypatch.setattr(validation.Pipeline, "fit", fit)
+    params = {"n_estimators": 2, "max_depth": 8, "random_state": 1}
+    models = [validation.fit_model(rows, ["x", "z"], name, params) for _ in range(2)]
+    assert sum(seen[0]) == 2000 and max(seen[0]) <= 110
+    assert models[0].stages[-1].toDebugString.split("\n")[1:] == models[1].stages[-1].toDebugString.split("\n")[1:]
+
+
 def test_forest_is_repeatable_and_learns(samples):
     _, df = samples
     table, features = validation.sorted_model_rows(df, ROLES, FEATURES)
