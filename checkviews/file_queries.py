@@ -154,6 +154,7 @@ def cached_result(spark, sf_dir):
 
 
 SHEET_ROWS = 20000
+SHEETS_PER_TASK = 8
 
 
 def _bound(frame: pd.DataFrame) -> pd.DataFrame:
@@ -175,6 +176,8 @@ def workbook_scan(spark, sf_dir):
     sheet = rows.select(F.col("station_raw").alias("Station Code"), F.col("basin").alias("Basin"), serial.alias("Date"),
                         F.coalesce(F.col("target").cast("string"), F.lit("N/D")).alias("Target"), F.col("raw_v1").alias("V1"),
                         F.pmod(F.xxhash64(*ROLES.sample_key), F.lit(files)).alias("file"))
+    # Writing and reading a sheet costs far more than its bytes tell, so tasks are cut by sheets.
+    sheet = sheet.repartition(files // SHEETS_PER_TASK + 1, "file")
     books = store(sheet.groupBy("file").applyInPandas(_bound, "path string, content binary"), "workbooks")
     clean = cleaning.clean_samples(workbooks.workbook_rows(books, "data"), ROLES)
     return clean.groupBy("station_code").agg(

@@ -1,4 +1,6 @@
+import io
 import os
+import zipfile
 
 import pytest
 from pyspark.errors import PythonException
@@ -58,6 +60,59 @@ def test_more_rows_than_a_batch_and_far_columns(spark, tmp_path):
     assert tuple(row) == (n, n * (n - 1) / 2, 7, 0, n + 1)
 
 
+def book_of(data, strings="<sst/>"):
+    """A workbook whose sheet and strings are the given XML."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(sheets.workbook([]))) as plain, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        for name in plain.namelist():
+            text = {"xl/sharedStrings.xml": strings, "xl/worksheets/sheet2.xml": data}.get(name)
+            book.writestr(name, plain.read(name) if text is None else text)
+    return out.getvalue()
+
+
+def parsed(content):
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        strings = [workbooks._text(s) for s in workbooks._elements(book, "xl/sharedStrings.xml", "si")]
+        return list(workbooks._parsed_rows(book, "xl/worksheets/sheet2.xml", strings))
+
+
+def test_a_look_at_the_header_leaves_the_other_strings_alone(monkeypatch):
+    rows = [["a", "b"], *([f"text {n}", f"{n} and more"] for n in range(60000))]
+    content, read = sheets.workbook(rows), []
+    texts = workbooks._plain_strings
+    monkeypatch.setattr(workbooks, "_plain_strings", lambda *a: (read.append(t) or t for t in texts(*a)))
+    assert next(workbooks.sheet_rows(content, "data", "x", head=True)) == (1, ["a", "b"]) and read == ["a", "b"]
+    got = list(workbooks.sheet_rows(content, "data", "x"))
+    assert got == [(n + 1, row) for n, row in enumerate(rows)] == parsed(content)
+
+
+def test_rows_written_otherwise_are_parsed(monkeypatch):
+    row = lambda n, cells, more="": f'<row r="{n}"{more}>{cells}</row>'
+    plain = "".join(row(n, f'<c r="A{n}" t="s"><v>{n % 3}</v></c><c r="AB{n}" s="2"><v>{n}.5</v></c><c r="B{n}" s="1"/>', ' spans="1:28"')
+                    for n in range(1, 9001))
+    strings = "<sst><si><t>a &lt;&amp;&quot; ]x_x000A_</t></si><si><t xml:space=\"preserve\"> ñ </t></si><si><t></t></si></sst>"
+    odd = ("", row(9001, '<c r="A1" t="inlineStr"><is><t>in</t></is></c>'), row(9001, '<c r="A1"><f>B1</f><v>1</v></c>'), "<row><c><v>7</v></c></row>",
+           row(9001, '<!-- c --><c r="A1"><v><![CDATA[8]]></v></c>'), row(9001, '<c t="str" r="A1"><v>&#65;</v></c>'), '<row r="9005"/>')
+    parses, of = [], workbooks._parsed_rows
+    monkeypatch.setattr(workbooks, "_parsed_rows", lambda *a: parses.append(1) or of(*a))
+    for n, last in enumerate(odd):
+        for around in ("<worksheet><sheetData>{}</sheetData></worksheet>", '<?xml version="1.0"?><x:worksheet xmlns:x="u"><x:sheetData/><sheetData>{}</sheetData></x:worksheet>',
+                       "<worksheet><sheetData>{}</sheetData><rest><row><c><v>9</v></c></row></rest></worksheet>"):
+            content = book_of(around.format(plain + last + row(9009, '<c r="A9"><v>3</v></c>')), strings)
+            parses.clear()
+            got = list(workbooks.sheet_rows(content, "data", "x"))
+            assert bool(parses) == (n > 0 or "rest" in around)
+            assert got == parsed(content) and len(got) == 9001 + bool(last) + ("rest" in around), last
+
+
+def test_what_is_no_whole_xml_is_an_error():
+    good = '<row r="1"><c r="A1"><v>a</v></c></row><row r="2"><c r="A2"><v>b</v></c></row>'
+    for bad in (good.replace("b", "\x01"), good.replace("b", "]]>"), good.replace("b", "&no;"), good + "</worksheet>", good.replace('r="2"', 'r="2" s="1" s="1"'),
+                good.replace('r="2"', 'r="2" r="1"'), good.replace("b", "\ufffe"), good.replace("b", "<i>"), good + "<row>"):
+        with pytest.raises(ValueError, match="x is no whole workbook"):
+            list(workbooks._batches("x", book_of(f"<worksheet><sheetData>{bad}</sheetData></worksheet>"), "data", ["a"]))
+
+
 def test_what_is_no_workbook_is_an_error(spark, tmp_path):
     whole = sheets.workbook([["a"], [1]])
     for name, content, said in (("cut.xlsx", whole[: len(whole) // 2], "cut.xlsx is no whole workbook"),
