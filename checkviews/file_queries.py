@@ -60,10 +60,14 @@ def basin_file_scan(spark, sf_dir):
     """Parameter files found at any depth, station from the file path, pivoted."""
     path = scratch(spark, "parameters")
     long = basin_long(spark, sf_dir, holes=False)
-    (long.select(F.concat(F.lit("report_"), "station_code").alias("file"), "Parameter", "Value",
-                 F.lit("POINT (0 0)").alias("geometry"), F.lit("EPSG:32721").alias("crs"), "line")
-     .repartition("file").sortWithinPartitions("file", "line").drop("line")
-     .write.partitionBy("file").option("header", True).csv(path))
+    names = ("Parameter", "Value", "geometry", "crs")
+    rows = long.withColumns({"geometry": F.lit("POINT (0 0)"), "crs": F.lit("EPSG:32721")})
+    lines = F.array_sort(F.collect_list(F.struct("line", F.to_csv(F.struct(*names)).alias("text"))))
+    # The texts are small and the files many: dealt by bytes, one task would write most of them.
+    files = rows.select(F.concat(F.lit("report_"), "station_code").alias("file"), "line", *names) \
+        .repartition(4 * spark.sparkContext.defaultParallelism, "file").groupBy("file").agg(
+        F.concat(F.lit(",".join(names) + "\n"), F.array_join(lines["text"], "\n")).alias("value"))
+    sinks.write_folders(files, "file", path)
     rows = discovery.read_basin_parameters(spark, path, files="part-*",
                                            pattern=r"file=report_([^/]+)/")
     wide = basins.pivot_parameters(rows, ["station_code", "basin", "crs"], "line", BASIN_PARAMETERS)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Sequence
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from rillwater.config import Roles
@@ -40,6 +43,43 @@ def write_two_headers(df: DataFrame, index: str, path: str) -> None:
     df.agg(F.concat(F.lit(top + "\n"), lines).alias("value")).write.mode("overwrite").text(path)
 
 
+# Characters that Spark escapes in names of partition folders.
+_ESCAPED = re.compile(r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
+def _mounted(spark: SparkSession, path: str) -> str | None:
+    """The folder as programs name it, None if it lies in a store that only Hadoop opens."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store_of = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store_of.makeQualified(where).toUri()
+    return found.getPath() if found.getScheme() == "file" else None
+
+
+def write_folders(df: DataFrame, folder: str, path: str) -> None:
+    """One text file ``part-*`` per row in a folder ``<folder>=<its value>``; the other column is the text.
+
+    On a mounted file system the tasks write the files themselves: Hadoop's local file system starts two processes
+    for each file it makes, and for many small files that is most of the time. A file appears whole or not at all.
+    """
+    (text,) = [c for c in df.columns if c != folder]
+    root = _mounted(df.sparkSession, path)
+    if root is None:
+        df.write.partitionBy(folder).text(path)
+        return
+
+    def put(rows: Iterable[Row]) -> None:
+        for row in rows:
+            value = _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", row[folder])
+            place = os.path.join(root, f"{folder}={value}")
+            os.makedirs(place, exist_ok=True)
+            unfinished = os.path.join(place, f"_{uuid.uuid4().hex}")
+            with open(unfinished, "w", encoding="utf-8", newline="") as file:
+                file.write(row[text] + "\n")
+            os.replace(unfinished, os.path.join(place, "part-00000.txt"))
+
+    df.foreachPartition(put)
+
+
 def export_tables(df: DataFrame, folder: str, name: str = EXPORT_NAME,
                   keep_text: Sequence[str] = TEXT_COLUMNS) -> None:
     """Parquet with numbers in number columns, and CSV as it is; 4 decimals in both."""

@@ -51,6 +51,23 @@ def test_parameter_files_at_any_depth(spark, tmp_path):
     assert [tuple(r) for r in wide] == [("LP2", 2.5, None), ("MO1", 2.5, None)]
 
 
+def test_many_small_files_without_a_process_each(spark, tmp_path):
+    head = "Parameter,Value,geometry,crs\n"
+    names = [f"MO{n}" for n in range(300)] + ["a b", "100%", "x=y:ñ/['z"]
+    rows = spark.createDataFrame([(f"report_{n}", f'{head}area,{i}.5,"POINT (0, 0)",\nslope,,"",E') for i, n in enumerate(names)], "file string, value string")
+    path = str(tmp_path / "mine")
+    for _ in range(2):  # as a task that runs again does
+        sinks.write_folders(rows.repartition(7), "file", path)
+    # Files of Hadoop's local file system have checksums beside them, each made with a process of its own.
+    assert {f for _, _, files in os.walk(path) for f in files} == {"part-00000.txt"} and len(os.listdir(path)) == len(names)
+    read = lambda at: sorted((tuple(r)[:-1] for r in discovery.read_basin_parameters(
+        spark, at, files="part-*", pattern=r"file=report_([^/]+)/").collect()), key=str)
+    rows.write.partitionBy("file").text(str(tmp_path / "spark"))
+    got = read(path)
+    assert got == read(str(tmp_path / "spark")) and {"MO7", "a b"} < {r[0] for r in got} and len(got) == 2 * len(names)
+    assert sorted(os.listdir(path)) == sorted(f for f in os.listdir(tmp_path / "spark") if f.startswith("file="))
+
+
 def test_summaries_below_run_folders(spark, tmp_path):
     good = ",R2_log,R2_log,training_time_secs\n,mean,std,mean\nmodel,,,\nRidge,0.5,0.1,2\nForest,0.7,,3\n"
     write(str(tmp_path / "run1" / "summary_results.csv"), good)
