@@ -14,8 +14,8 @@ has its exact score. A range is given up once its bound is below the score that
 of documents has already reached, in this block or an earlier one of the task; equal scores are
 kept, so ties are exact.
 
-Three passes: counts of documents and terms over all texts; the index, one row a block, stored in the
-shared folder; the search. The number of documents that hold a term comes from the index. Items
+Three passes: counts of documents and terms over all texts; the index, one row a block, its arrays compressed
+where they are made, stored in the shared folder; the search. The number of documents that hold a term comes from the index. Items
 are taken ``ITEM_TERMS`` terms at a time, so that what a task is sent is bounded whatever the number of
 items. Each block returns at most ``top`` rows an item, ranked by a window that cuts before its shuffle.
 
@@ -296,8 +296,19 @@ class Block:
 ARRAYS = {"word": np.int64, "held": np.int32, "rank": np.int32, "place": np.int64, "level": np.uint8, "most": np.int32, "first": np.int32, "quarters": np.uint8}
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The bytes of an array, compressed, behind their number: what the JVM holds of a block, several times over, is a third of it."""
+    raw = values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(value: pa.BinaryScalar, kind: type) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd"), kind)
+
+
 def build_index(docs: DataFrame, counts: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each block of documents: ids in order, and the arrays of the tree as bytes."""
+    """One row for each block of documents: ids in order, and the arrays of the tree as compressed bytes."""
     given = docs.select(col(id_col).alias("id"), col(text_col).alias("t"))
     kind = given.schema["id"].dataType.simpleString()
     documents, terms = counts
@@ -312,7 +323,7 @@ def build_index(docs: DataFrame, counts: tuple[int, int], id_col: str = "doc_id"
         arrays = build_block(hashed, reps, documents, terms)
         key = key.take(pa.array(order))
         lists = pa.ListArray.from_arrays(pa.array([0, len(key)], pa.int32()), key)
-        return pa.RecordBatch.from_arrays([lists, *[pa.array([arrays[k].astype(v).tobytes()], pa.binary()) for k, v in ARRAYS.items()]], names=["ids", *ARRAYS])
+        return pa.RecordBatch.from_arrays([lists, *[pa.array([packed(arrays[k].astype(v))], pa.binary()) for k, v in ARRAYS.items()]], names=["ids", *ARRAYS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, sizes, chars, rows = [], [], [], 0, 0
@@ -342,9 +353,11 @@ def build_index(docs: DataFrame, counts: tuple[int, int], id_col: str = "doc_id"
 
 
 def _stored(index: DataFrame) -> DataFrame:
-    """The index in the shared folder. Its rows are megabytes each, so the writer looks at their size after every one."""
+    """The index in the shared folder. Its rows are megabytes each, so the writer looks at their size after every one and keeps
+    no least and greatest values, which are whole rows that it would hold until its file ends."""
     path = scratch(index.sparkSession, "treaps")
-    index.write.options(**{"compression": "zstd", "parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20),
+    index.write.options(**{"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(4 << 20),
+                           "parquet.column.statistics.enabled": "false", "parquet.size.statistics.enabled": "false",
                            "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
                            "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}).parquet(path)
     return index.sparkSession.read.schema(index.schema).parquet(path)
@@ -355,9 +368,9 @@ def holders(index: DataFrame, words: np.ndarray) -> dict[int, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for word, held in zip(batch.column(0), batch.column(1)):
-                own = np.frombuffer(word.as_py(), np.int64).view(np.uint64)
+                own = unpacked(word, np.int64).view(np.uint64)
                 there = np.isin(own, words)
-                yield pa.RecordBatch.from_arrays([pa.array(own[there].view(np.int64)), pa.array(np.frombuffer(held.as_py(), np.int32)[there].astype(np.int64))],
+                yield pa.RecordBatch.from_arrays([pa.array(own[there].view(np.int64)), pa.array(unpacked(held, np.int32)[there].astype(np.int64))],
                                                  names=["word", "held"])
 
     found = index.select("word", "held").mapInArrow(run, "word bigint, held bigint").groupBy("word").agg(F.sum("held").alias("n"))
@@ -391,7 +404,7 @@ def search_index(index: DataFrame, names: list, words: list[np.ndarray], documen
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = batch.column(0)[i].values
-                block = Block({k: np.frombuffer(batch.column(n + 1)[i].as_py(), kind) for n, (k, kind) in enumerate(ARRAYS.items())}, len(ids))
+                block = Block({k: unpacked(batch.column(n + 1)[i], kind) for n, (k, kind) in enumerate(ARRAYS.items())}, len(ids))
                 for at in range(0, len(names), ITEMS_AT_ONCE):
                     group = range(at, min(at + ITEMS_AT_ONCE, len(names)))
                     reached = np.array([met[g][0] if len(met[g]) == top else 0 for g in group], np.int64)

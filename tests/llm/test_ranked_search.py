@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from rillwater.llm import ranked_search
@@ -74,6 +75,26 @@ def test_empty_tables(spark, corpus):
     assert ranked(spark, [], corpus[1]) == [] and ranked(spark, corpus[0], []) == [] and ranked(spark, [(1, None)], corpus[1]) == []
 
 
+def test_the_index_is_handed_over_compressed_and_kept_without_extremes(spark):
+    """Each copy of a block in the JVM is its compressed arrays; least and greatest values would be whole rows that the writer holds for each block."""
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices([f"w{k}" for k in range(400)], k=60))) for i in range(300)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    counts = ranked_search.corpus_counts(table)
+    stored = ranked_search._stored(ranked_search.build_index(table, counts))
+    [row] = stored.collect()
+    hashes, sizes = ranked_search.terms_of([t for _, t in docs])
+    arrays = ranked_search.build_block(hashes, sizes, *counts)
+    raw = sum(len(arrays[k].astype(kind).tobytes()) for k, kind in ranked_search.ARRAYS.items())
+    assert sum(len(row[k]) for k in ranked_search.ARRAYS) < raw / 2
+    for file in stored.inputFiles():
+        groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+        for g in range(groups.num_row_groups):
+            for c in range(groups.num_columns):
+                found = groups.row_group(g).column(c).statistics
+                assert found is None or not found.has_min_max
+
+
 def test_a_tree_holds_every_cell_and_every_maximum():
     draw = np.random.default_rng(4)
     for n in (1, 2, 30, 400):
