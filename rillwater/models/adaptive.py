@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillwater.operators.ordering import sort_rows
+from rillwater.plans.keep import settle
 
 Space = Mapping[str, tuple[int, int]]
 
@@ -68,11 +69,12 @@ def kernel_sums(split: DataFrame, candidates: DataFrame, ranges: DataFrame) -> D
 def candidate_scores(history: DataFrame, candidates: DataFrame, ranges: DataFrame, share: float = SHARE) -> DataFrame:
     """(candidate, score): log ratio of the densities, from (candidate, parameter, value) and (parameter, low, high).
 
-    A part without trials has the even curve alone.
+    A part without trials has the even curve alone. The sums are measured and sent to the candidates if they are small. The planner
+    judges candidates by the size of their files, so it is told not to send them, however small they look.
     """
     split = split_history(history, share).select("parameter", "good", F.col("value").alias("center"))
-    at = kernel_sums(split, candidates, ranges).withColumnsRenamed({"parameter": "at_parameter", "value": "at_value"})
-    rated = candidates.join(at, (F.col("parameter") == F.col("at_parameter")) & F.col("value").eqNullSafe(F.col("at_value")))
+    at = settle(kernel_sums(split, candidates, ranges).withColumnsRenamed({"parameter": "at_parameter", "value": "at_value"}))
+    rated = candidates.hint("merge").join(at, (F.col("parameter") == F.col("at_parameter")) & F.col("value").eqNullSafe(F.col("at_value")))
     # A candidate that states a parameter twice has the curves of both.
     sums = rated.groupBy("candidate", "parameter", "low", "high", "n_good", "n_bad").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     even = 1.0 / (F.col("high") - F.col("low") + 1)

@@ -75,6 +75,25 @@ def planted(t):
     return -((t["a"] - 37) / 60) ** 2 - ((t["b"] - 30) / 12) ** 2
 
 
+def sent_columns(plan):
+    """Columns of all tables that a plan sends to every executor."""
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return sent_columns(plan.executedPlan())
+    own = {plan.output().apply(i).name() for i in range(plan.output().size())} if plan.getClass().getSimpleName() == "BroadcastExchangeExec" else set()
+    return own.union(*[sent_columns(plan.children().apply(i)) for i in range(plan.children().size())])
+
+
+def test_candidates_are_never_sent_around(spark):
+    """Their size is a guess from the files they come from; the sums are measured."""
+    history = adaptive.long_rows(spark, [{"a": i, "b": 1 + i % 40} for i in range(50)], "trial", [i / 50 for i in range(50)])
+    candidates = spark.range(2000).selectExpr("cast(id as int) candidate", "inline(array(struct('a' parameter, cast(id % 201 as int) value), struct('b' parameter, cast(1 + id % 40 as int) value)))")
+    ranges = spark.createDataFrame([(p, *r) for p, r in SPACE.items()], "parameter string, low int, high int")
+    scored = adaptive.candidate_scores(history, candidates, ranges)
+    sent = sent_columns(scored._jdf.queryExecution().executedPlan())
+    assert "at_value" in sent and "candidate" not in sent
+    assert scored.count() == 2000
+
+
 def test_learns_from_its_trials(spark):
     """At equal trials it finds better ones than random draws, and the same ones again."""
     ours, chance = [], []
