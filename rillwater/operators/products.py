@@ -7,14 +7,19 @@ each the square of the number of columns.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Python workers need not have the package: its functions are shipped by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCHEMA = "block int, sums binary"
 
 
